@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, line_dedup, sharding
-from corpusloom.llm.common import read_table
+from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, sharding
+from corpusloom.llm.common import materialize, read_table
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode_documents(bpe.encode_documents(docs).select("doc_id", "ids"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(read_table(spark, sf_dir, "documents"))
+    pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(pieces)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +38,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_line_dedup, op6_exact_dedup, op7_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op5_line_dedup, op6_exact_dedup, op7_sharding)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
