@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, sharding
+from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, sharding, warc
 from corpusloom.llm.common import materialize, read_table
 
 
@@ -38,7 +38,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op5_line_dedup, op6_exact_dedup, op7_sharding)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_warc(spark, path))
+    page = F.col("metadata.fields")["page-id"].cast("long")
+    flat = captures.select("capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("referred"))
+    flat = materialize(flat)  # small columns only; a revisit gets page and length from the response that it refers to
+    referred = flat.where("record_type = 'response'").select(F.col("capture_id").alias("referred"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("full_bytes"))
+    out = flat.join(referred, "referred", "left")
+    return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op5_line_dedup, op6_exact_dedup, op7_sharding, op10_warc)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
