@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, quality, sharding, simhash, warc
+from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.common import materialize, read_table
 
 
@@ -24,6 +24,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op10_warc)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
