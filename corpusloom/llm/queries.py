@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.common import materialize, read_table
 
 
@@ -54,6 +54,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.scan(docs, secrets.train(spark)).drop("text_hash")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
@@ -66,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
