@@ -18,13 +18,18 @@ def floor_rank(samples: Column, p: float) -> Column:
     return F.get(a, F.least(F.size(a) - 1, F.floor(F.lit(p) * F.size(a)).cast("int")))
 
 
+def exclusive_position(size: Column, i: int, n: int) -> tuple[Column, Column]:
+    """(j, delta) of cut point i of n by the exclusive method over `size` sorted samples."""
+    m = size + 1
+    j = F.greatest(F.lit(1), F.least(F.floor(F.lit(i) * m / n), size - 1))
+    return j, F.lit(i) * m - j * n
+
+
 def exclusive_quantile(samples: Column, i: int, n: int) -> Column:
     """Cut point i of n by the exclusive method, which may lie outside the sample; null under two samples."""
     a = F.transform(F.sort_array(samples), lambda x: x.cast("double"))
-    m = F.size(a) + 1
-    j = F.greatest(F.lit(1), F.least(F.floor(F.lit(i) * m / n).cast("int"), F.size(a) - 1))
-    delta = F.lit(i) * m - j * n
-    return F.when(F.size(a) >= 2, (F.get(a, j - 1) * (n - delta) + F.get(a, j) * delta) / n)
+    j, delta = exclusive_position(F.size(a), i, n)
+    return F.when(F.size(a) >= 2, (F.get(a, j.cast("int") - 1) * (n - delta) + F.get(a, j.cast("int")) * delta) / n)
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -79,3 +79,13 @@ def flatten_metrics(rows: DataFrame, keys: list[str], prefix: str = "") -> DataF
     walk(rows.schema, "", prefix)
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in leaves)))
     return rows.select(*keys, pairs.alias("_m")).select(*keys, "_m.metric", "_m.value").where("value IS NOT NULL")
+
+
+def order_statistics(rows: DataFrame, group: str, value: str, wanted: dict[str, Column]) -> DataFrame:
+    """Per group, the sorted sample's value at each 0-based index in `wanted`, an expression over the sample size n; null for a
+    null index. Values are counted first and a running count streams over them: no sample is gathered."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    sizes = per.groupBy(F.col(group).alias("_g")).agg(F.sum("_c").alias("n"))
+    run = per.withColumn("_run", F.sum("_c").over(Window.partitionBy(group).orderBy(value))).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    at = lambda i: F.max(F.when((F.col("_run") > i) & (F.col("_run") - F.col("_c") <= i), F.col(value)))
+    return run.groupBy(group, "n").agg(*(at(i).alias(name) for name, i in wanted.items()))

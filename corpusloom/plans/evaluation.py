@@ -31,9 +31,12 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
              + a[1 + greatest(1, least(floor(19 * (n + 1) / 20.0), n - 1))::INT] * (19 * (n + 1) - greatest(1, least(floor(19 * (n + 1) / 20.0), n - 1)) * 20)) / 20.0, 6) AS exclusive_p95
     FROM s""")
 def percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latency percentiles by three definitions. Samples are reduced to counts per distinct value before they are gathered."""
-    grouped = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.collect_list("value").alias("a"))
-    return grouped.select("event_type", "n", stats.nearest_rank(F.col("a"), 0.5).alias("p50"), stats.nearest_rank(F.col("a"), 0.95).alias("p95"), stats.floor_rank(F.col("a"), 0.95).alias("floor_p95"), F.round(stats.exclusive_quantile(F.col("a"), 19, 20), 6).alias("exclusive_p95"))
+    """Latency percentiles by three definitions."""
+    n, nearest = F.col("n"), lambda q: F.bround(F.lit(q) * (F.col("n") - 1), 0)
+    j, delta = stats.exclusive_position(n, 19, 20)
+    found = metrics.order_statistics(table(spark, sf_dir, "events"), "event_type", "value", {"p50": nearest(0.5), "p95": nearest(0.95), "floor_p95": F.least(n - 1, F.floor(0.95 * n)), "low": j - 1, "high": j})
+    exclusive = F.when(n >= 2, (F.col("low") * (20 - delta) + F.col("high") * delta) / 20)
+    return found.select("event_type", "n", "p50", "p95", "floor_p95", F.round(exclusive, 6).alias("exclusive_p95"))
 
 
 @query("""
