@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bloom import build_bloom, in_bloom
 from corpusloom.llm.common import materialize, text_of
-from corpusloom.llm.words import WordHashes, rolling, window_minima
+from corpusloom.llm.words import rolling, window_minima, word_hashes
 
 WINDOW, ANCHOR = 13, 5
 #: Suffixes of one anchor that one task may gather: above, the prefix grows. Groups of this size are some MB.
@@ -40,11 +40,10 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document. `docs`: _id, _text."""
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             found, counts, sizes = [], [], []
             for text in batch.column(1):
-                at, grams = _suffixes(hashes.of(text.as_py()), window)
+                at, grams = _suffixes(word_hashes(text.as_py()), window)
                 own, times = np.unique(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]] if len(at) else grams[:0], return_counts=True)
                 found.append(own)
                 counts.append(times)
@@ -65,11 +64,10 @@ def _candidates(docs: DataFrame, bloom: np.ndarray | None, hot: np.ndarray, wind
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, hot = shared.value
-        hashes = WordHashes()
         for batch in batches:
             of, pos, anchor, nodes, lengths, checks = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                words = hashes.of(text.as_py())
+                words = word_hashes(text.as_py())
                 at, grams = _suffixes(words, window)
                 if not len(at):
                     continue

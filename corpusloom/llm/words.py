@@ -9,24 +9,10 @@ import xxhash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered for up to `most` short words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
-
-    def of(self, text: str) -> np.ndarray:
-        """One hash per word of `[^\\x20\\x09-\\x0D]+`, in order."""
-        words = text.encode().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str) -> np.ndarray:
+    """One 64-bit hash per word of `[^\\x20\\x09-\\x0D]+`, in order. Hashing each word anew is faster than remembering hashes."""
+    words = text.encode().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,13 +30,19 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the leftmost least value of each `width` consecutive values, ascending, each once per run."""
+    """For each `width` consecutive values, the position of the least by its upper 40 bits, the leftmost of equal ones."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     out = []
-    step = 1 << 16  # the strided view is compared in slices, so long texts need no more memory
+    step = 1 << 23  # positions have 24 bits
     for start in range(0, n, step):
         part = values[start : min(start + step, n) + width - 1]
-        out.append(np.lib.stride_tricks.sliding_window_view(part, width).argmin(1) + np.arange(start, start + len(part) - width + 1))
+        least = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while span < width:  # minima of twice as many values each time
+            more = min(span, width - span)
+            least = np.minimum(least[:-more], least[more:])
+            span += more
+        out.append((least & np.uint64(0xFFFFFF)).astype(np.int64) + start)
     return np.concatenate(out)
