@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MATCH_THRESHOLD = 0.80
 _NOT_WORD = re.compile(r"[^\w\s]|_")
@@ -53,7 +54,7 @@ def key_of(title: str | None) -> str | None:
     return None if title is None else fold(romanize(unicodedata.normalize("NFC", title)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def match_key(titles: pd.Series) -> pd.Series:
     """The key that titles are compared by. Equal titles are computed once a batch."""
     known = {t: key_of(t) for t in titles.unique()}
@@ -78,7 +79,7 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
