@@ -30,12 +30,16 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(F.coalesce(F.length(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(raw, 0).cast("int")))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def split_paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n[ \t]*\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n[ \t]*\n"), strip), lambda x: x != "")
 
 
 def split_sentences(paragraph: Column) -> Column:
-    return F.filter(F.transform(F.split(paragraph, r"(?U)(?<=[.!?।॥])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(paragraph, r"(?U)(?<=[.!?।॥])\s+"), strip), lambda x: x != "")
 
 
 def is_supported(sentence: Column, source: Column) -> Column:

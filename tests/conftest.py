@@ -1,4 +1,14 @@
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, str(Path(__file__).parent.parent))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    return session
