@@ -27,8 +27,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = texts.select("_id", F.sha2("_text", 256).alias("sha"), F.xxhash64("_text").alias("h"))
     marked = materialize(marked.withColumn("maybe", bloom_column(spark, filter_words, "h")).drop("h"))
     maybe = marked.where("maybe").select("_id", "sha")
-    # partial aggregation reduces a text that a third of the rows hold before anything moves; the join may split it
-    groups = maybe.groupBy("sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # partial aggregation reduces a text that a third of the rows hold before anything moves; groups
+    # are read from a table, so both sides of the join are plain shuffles and a hot text's rows may be split
+    groups = materialize(maybe.groupBy("sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")))
     joined = maybe.join(groups, "sha").select("_id", "sha", "keep_id", "group_size")
     alone = marked.where("NOT maybe").select("_id", "sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return joined.unionByName(alone).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
