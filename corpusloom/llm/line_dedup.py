@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import SPACE, hash128, lower_ascii, materialize, text_of
+from corpusloom.llm.common import SPACE, free_name, hash128, lower_ascii, materialize, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _SLICES = 64
@@ -52,19 +52,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with _n_lines, _n_dropped and _kept_text: its lines without those that the bitmaps drop, joined by \\n."""
-    bitmaps = dropped.select(F.col(id_col).alias("_drop_id"), F.col("dropped").alias("_dropped"))
+    drop_id, bits = free_name(docs, "_drop_id"), free_name(docs, "_dropped")
+    bitmaps = dropped.select(F.col(id_col).alias(drop_id), F.col("dropped").alias(bits))
     lines = _lines(text_col)
-    word = lambda i: F.coalesce(F.element_at("_dropped", F.floor(i / 64).cast("long")), F.lit(0).cast("long"))
+    word = lambda i: F.coalesce(F.element_at(bits, F.floor(i / 64).cast("long")), F.lit(0).cast("long"))
     kept = F.filter(lines, lambda x, i: word(i).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) == 0)
-    joined = docs.join(bitmaps, F.col(id_col) == F.col("_drop_id"), "left")
-    out = joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_kept_text": F.when(F.col("_dropped").isNull(), text_of(text_col)).otherwise(F.array_join(kept, "\n")), "_n_dropped": F.aggregate(F.coalesce(F.map_values("_dropped"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))})
-    return out.drop("_drop_id", "_dropped")
+    joined = docs.join(bitmaps, F.col(id_col) == F.col(drop_id), "left")
+    out = joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_kept_text": F.when(F.col(bits).isNull(), text_of(text_col)).otherwise(F.array_join(kept, "\n")), "_n_dropped": F.aggregate(F.coalesce(F.map_values(bits), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))})
+    return out.drop(drop_id, bits)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of `docs` with _n_lines, _n_dropped and _kept_text added.
 
     A null or empty text is one empty line. Lines of a document that repeat within it stay or go together. Nulls and
-    clashing names in other columns don't matter; an empty table gives an empty one.
+    clashing names in other columns don't matter, but columns with one of the three names
+    are replaced; an empty table gives an empty one.
     """
     return drop_lines(docs, dropped_lines(docs, min_chars, min_docs, id_col, text_col), id_col, text_col)

@@ -167,6 +167,8 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
 
 
 def keep_clean(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that judge() keeps, with the columns of `docs`. The verdicts are written with the rows before the
-    filter, which is otherwise pushed below the statistics."""
-    return materialize(judge(docs, rules, text_col).select(*docs.columns, F.col("kept").alias("_kept"))).where("_kept").drop("_kept")
+    """The rows of `docs` that judge() keeps, with the columns of `docs`; these may have names that judge() gives. The verdicts
+    are written with the rows before the filter, which is otherwise pushed below the statistics."""
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    judged = judge(docs.select(*(F.col(c).alias(n) for c, n in own.items())), rules, own[text_col])
+    return materialize(judged.select(*own.values(), "kept")).where("kept").select(*(F.col(n).alias(c) for c, n in own.items()))

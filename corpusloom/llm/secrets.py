@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.common import free_name, materialize, text_of
 
 MAX_FINDINGS = 6000
 _KEYWORD = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
@@ -181,10 +181,11 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, its columns unchanged but `text_col`, in which each found secret is replaced by `mask`. Texts without one, nulls
     included, stay as they are."""
-    spans = materialize(findings.where("is_secret").select(F.col(id_col).alias("_rid"), F.col("text_hash").alias("_rhash"), F.struct("start", "length").alias("s")).distinct())
-    per_text = spans.groupBy("_rid", "_rhash").agg(F.sort_array(F.collect_list("s")).alias("_spans"))
-    joined = docs.join(per_text, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.xxhash64(text_of(text_col)) == F.col("_rhash")), "left")
+    rid, rhash, found = (free_name(docs, n) for n in ("_rid", "_rhash", "_spans"))
+    spans = materialize(findings.where("is_secret").select(F.col(id_col).alias(rid), F.col("text_hash").alias(rhash), F.struct("start", "length").alias("s")).distinct())
+    per_text = spans.groupBy(rid, rhash).agg(F.sort_array(F.collect_list("s")).alias(found))
+    joined = docs.join(per_text, F.col(id_col).eqNullSafe(F.col(rid)) & (F.xxhash64(text_of(text_col)) == F.col(rhash)), "left")
     piece = lambda s: F.struct(F.concat(s["done"]["text"], F.substring(F.col(text_col), s["done"]["at"] + 1, s["next"]["start"] - s["done"]["at"]), F.lit(mask)).alias("text"), (s["next"]["start"] + s["next"]["length"]).alias("at"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    whole = F.aggregate("_spans", start, lambda done, n: piece({"done": done, "next": n}), lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(whole)).select(*docs.columns)
+    whole = F.aggregate(found, start, lambda done, n: piece({"done": done, "next": n}), lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), F.col(text_col)).otherwise(whole)).select(*docs.columns)

@@ -95,3 +95,15 @@ def test_run_on_odd_documents(spark, tmp_path):
         empty = spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).coalesce(1)
         empty.write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    """Every stage but the last returns the columns it was given, whatever their names, with their values."""
+    extra = ["n_words", "kept", "rule", "base_failed", "_words", "_own0", "_dropped", "_drop_id", "_gone", "_rid", "_rhash", "_spans", "component_id", "fp", "start", "length", "_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 0").selectExpr("*", *(f"doc_id * {i + 2} AS {c}" for i, c in enumerate(extra)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id * (i + 2) for r in rows for i, c in enumerate(extra)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
