@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, packing, quality, secrets, simhash
-from corpusloom.llm.common import materialize, read_table, shared_dir
+from corpusloom.llm.common import free_name, materialize, read_table, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on 5-word shingles, the one with the smallest id stays. Documents
     without an id stay."""
     groups = simhash.near_duplicate_groups(docs, **simhash.NEAR_COPIES)
-    gone = materialize(groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = materialize(groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
