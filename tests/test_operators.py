@@ -148,3 +148,16 @@ def test_streams_agree_with_tables(spark, tmp_path):
     last = _stream(spark, requests.last_samples(requests.read_events(spark, path), 50), "samples", "update")
     totals = {r.status: r.n for r in last.groupBy("status").agg(F.max("requests").alias("n")).collect()}
     assert totals == {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
+
+
+def test_cards(spark):
+    from corpusloom.operators import cards
+
+    kind = "id long, title string, language string, year int, is_original boolean, akas array<string>, directors array<string>, leads array<string>"
+    rows = [(1, "A", "ml", 2013, True, ["Z"], ["D"], ["L", "M"]), (2, "B", None, None, None, [], None, None), (3, "C", "xx", 2015, False, None, None, None)]
+    edges = spark.createDataFrame([(2, "is_remake_of", 1), (2, "is_remake_of", 9), (3, "is_sequel_of", 1), (3, "is_official_dub_of", 9)], "src long, kind string, dst long")
+    full = cards.with_origin(spark.createDataFrame(rows, kind), edges)
+    got = {r.id: (r.h, r.c) for r in full.select("id", cards.header().alias("h"), cards.card().alias("c")).collect()}
+    assert got[1] == ("A (Malayalam, 2013). ", "A (Malayalam, 2013). This is the original version of this story. Also known as: Z. Directed by D. Starring L, M. A Malayalam film.")
+    assert got[2] == ("B (unknown language) — remake of A (Malayalam, 2013). ", "B (unknown language) — remake of A (Malayalam, 2013). A unknown language film.")
+    assert got[3] == ("C (xx, 2015). ", "C (xx, 2015). A xx film.")
