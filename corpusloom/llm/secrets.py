@@ -24,11 +24,19 @@ from corpusloom.llm.common import free_name, materialize, text_of
 
 MAX_FINDINGS = 6000
 _KEYWORD = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
-ASSIGNED = re.compile(rf"(?i){_KEYWORD}\w{{0,20}}[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"'`]?([^\s\"'`,;<>]{{6,400}})")
+# the whole name, so that no name is looked at twice; then the separator, amid any run of blanks
+_NAME = re.compile(rf"(?i){_KEYWORD}(?:\w|-(?=key))*+")
+_SEPARATOR = re.compile(r"[\"']?\s*+(?:=>|[:=])\s*+")
+# a quoted value ends at its quote, another one at white space, a quote, a tag, or where the next pair of a list begins
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`")
+_PLAIN = re.compile(r"(?:[^\s\"'`,;<>]|[,;](?=[^\s\"'`,;<>])(?![\w.-]{1,64}[=:])|<(?![/!\w])|(?<![\s=:])>(?=[^\s\"'`,;<>]))*+")
 PREFIXED = re.compile(r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,}|sk[-_](?:live|test|proj)[-_][0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{16,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.?[0-9A-Za-z_-]*)(?![0-9A-Za-z])")
-BARE = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[^\s]{0,400}[0-9])(?=[^\s]{0,400}[A-Za-z])[0-9A-Za-z+/_=-]{20,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
-_PATTERNS = (("private_key", PRIVATE_KEY, 0), ("prefixed", PREFIXED, 0), ("assigned", ASSIGNED, 1), ("bare", BARE, 0))
+BARE = re.compile(r"(?<![0-9A-Za-z+/_=.-])[0-9A-Za-z+/_=-]{20,}+")
+_DIGIT, _LETTER = re.compile(r"[\s0-9]"), re.compile(r"[\sA-Za-z]")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(?:\s*+[A-Z][A-Za-z-]*+: [^\n]*+\n)*+(?:\s*+[0-9A-Za-z+/=]{20,}+)*+(?:\r?\n[0-9A-Za-z+/=]++(?=\s*?(?:\n|\Z)))?")
+_KINDS = ("private_key", "prefixed", "assigned", "bare")
 # fixed values: words that stand near or in secrets, placeholders and other digests
 SECRET_WORDS = frozenset("password passwd passphrase pwd secret token key apikey credential credentials auth bearer login private access".split())
 PLACEHOLDER_WORDS = frozenset("example sample dummy fake placeholder changeme your test todo redacted xxxx xxxxxx none null default foo bar insert here".split())
@@ -38,25 +46,65 @@ _EXAMPLE_PATH = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|fixtur
 FEATURES = ("length", "transitions", "entropy", "distinct", "hex", "digits", "dictionary", "longest_letters", "example_path", "near_secret", "near_placeholder", "near_digest", "in_placeholder", "is_assigned", "is_prefixed", "is_bare", "is_private_key")
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, stop, kind) of candidates in a text; of overlapping ones, the kind named first in _PATTERNS stays."""
-    found: list[tuple[int, int, str]] = []
-    for kind, pattern, group in _PATTERNS:
-        for m in pattern.finditer(text):
-            found.append((m.start(group), m.end(group), kind))
-    rank = {kind: i for i, (kind, _, _) in enumerate(_PATTERNS)}
-    taken: list[tuple[int, int, str]] = []
-    end = -1
-    for start, stop, kind in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
-        if start < end and taken:
-            last = taken[-1]
-            if rank[kind] < rank[last[2]]:  # the better kind replaces what it overlaps
-                taken[-1] = (start, stop, kind)
-                end = stop
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """From each BEGIN to the next END; where another BEGIN or nothing comes first, header lines and body as far as they go."""
+    ends = _END.finditer(text)
+    end = next(ends, None)
+    begins = list(_BEGIN.finditer(text))
+    for m, after in zip(begins, [*begins[1:], None], strict=False):
+        while end and end.start() < m.end():
+            end = next(ends, None)
+        closed = end and (after is None or end.start() < after.start())
+        yield m.start(), end.end() if closed else _BODY.match(text, m.end()).end()
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values of 6 characters or more, whole, after a name and a separator."""
+    at = 0
+    while name := _NAME.search(text, at):
+        at = name.end()
+        if not (separator := _SEPARATOR.match(text, at)):
             continue
-        taken.append((start, stop, kind))
-        end = stop
-    return taken
+        start = separator.end()
+        if quoted := _QUOTED.match(text, start):
+            start, stop = start + 1, quoted.end() - 1
+        else:
+            start += text[start : start + 1] in ("'", '"', "`")
+            stop = _PLAIN.match(text, start).end()
+        if stop - start >= 6:
+            yield start, stop
+            at = stop
+
+
+def _bare(text: str) -> Iterator[tuple[int, int]]:
+    """Long tokens, if a digit and a letter come before the next white space."""
+    at = [-1, -1]
+    for m in BARE.finditer(text):
+        for i, pattern in enumerate((_DIGIT, _LETTER)):
+            if at[i] < m.start():
+                found = pattern.search(text, m.start())
+                at[i] = found.start() if found else len(text)
+        if all(i < len(text) and not text[i].isspace() for i in at):
+            yield m.span()
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of candidates in a text, whole and disjoint. Overlapping ones become one over both spans, of the
+    kind named first in _KINDS; but what ends in = before the better one is a name, and a candidate of its own if it is long."""
+    spans = (_private_keys(text), (m.span() for m in PREFIXED.finditer(text)), _assigned(text), _bare(text))
+    found = sorted((start, rank, stop) for rank, own in enumerate(spans) for start, stop in own)
+    taken: list[tuple[int, int, int]] = []
+    for start, rank, stop in found:
+        if taken and start < taken[-1][2]:
+            first, last, end = taken.pop()
+            if rank < last and text[start - 1] == "=" and first < start:
+                name = text[first : start - 1]
+                if len(name) >= 20 and re.search("[0-9]", name) and re.search("[A-Za-z]", name):
+                    taken.append((first, last, start - 1))
+                first = start
+            start, rank, stop = first, min(rank, last), max(stop, end)
+        taken.append((start, rank, stop))
+    return [(start, stop, _KINDS[rank]) for start, rank, stop in taken]
 
 
 def _class(c: str) -> int:
