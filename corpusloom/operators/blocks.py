@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import matching
+
 BLOCK = 1024
 
 
@@ -46,3 +48,36 @@ def top_pairs(queries: DataFrame, rows: DataFrame, score: Callable[[list[dict],
     found = pairs.mapInArrow(work, "query long, item long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")))
     return ranked.where(F.col("rank") <= k)
+
+
+def near_texts(queries: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(`key`, `text`, score): every row's text with a fuzzy ratio of `threshold` or more to that of a query, and the best of
+    each query in each block, however low. `rows`: different texts. Pairs whose lengths can't reach either aren't compared."""
+    left = in_blocks(queries, queries.count(), block // 4, key, text).select(F.col("rows").alias("q"))
+    right = in_blocks(rows, rows.count(), block, text).select(F.col("rows").alias("r"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, q in zip(batch.column(0), batch.column(1), strict=True):
+                texts = [x[text] for x in r.as_py()]
+                lengths = np.array([len(t) for t in texts])
+                out = []
+                for x in q.as_py():
+                    n = len(x[text])
+                    bound = np.where(lengths + n > 0, 2 * np.minimum(lengths, n) / np.maximum(1, lengths + n), 1.0)
+                    best, at_best = -1.0, None
+                    for i in np.argsort(-bound, kind="stable").tolist():
+                        if bound[i] < threshold and bound[i] <= best:
+                            break
+                        score = matching.ratio(x[text], texts[i])
+                        if score >= threshold:
+                            out.append((x[key], texts[i], score))
+                        elif score > best:
+                            at_best = (x[key], texts[i], score)
+                        best = max(best, score)
+                    if at_best and best < threshold:
+                        out.append(at_best)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)], names=[key, text, "score"])
+
+    return right.join(left, how="cross").mapInArrow(work, f"{key} long, {text} string, score double")

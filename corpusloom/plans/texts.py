@@ -104,11 +104,14 @@ def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark item, its most similar user utterance by fuzzy ratio, and whether it reaches the threshold.
-    Items and utterances are compared in blocks of both."""
+    """Each benchmark item with every conversation that violates it: a user utterance in it comes within the threshold by the
+    fuzzy ratio of match keys. One row per item and violating conversation, one with a null conv_id where there is none.
+    nearest and ratio: the most similar utterance by raw text; key_ratio and max_key_ratio: the highest ratio of keys, in the
+    conversation and in all. Items and utterances are compared in blocks of both, equal keys once."""
     import numpy as np
 
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def score(q: list[dict], r: list[dict]) -> np.ndarray:
@@ -117,7 +120,13 @@ def decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         return np.array([[one(a["text"], b["text"]) for b in r] for a in q])
 
     best = blocks.top_pairs(items, turns, score, "id", ["text"], 1, floor=-1.0, block=256, skip_self=False)
-    return items.join(best, F.col("id") == F.col("query"), "left").select(F.col("id").alias("item_id"), F.col("item").alias("nearest"), F.round("score", 4).alias("ratio"), F.coalesce(F.col("score") >= matching.MATCH_THRESHOLD, F.lit(False)).alias("violates"))
+    nearest = items.join(best, F.col("id") == F.col("query"), "left").select(F.col("id").alias("item_id"), F.col("item").alias("nearest"), F.round("score", 4).alias("ratio"))
+    said = users.where("text <> ''").select("conv_id", matching.match_key("text").alias("key"))
+    near = blocks.near_texts(items.select("id", matching.match_key("text").alias("key")), said.select("key").distinct(), "id", "key", matching.MATCH_THRESHOLD, block=256).repartition("key")
+    top = near.groupBy("id").agg(F.round(F.max("score"), 4).alias("max_key_ratio"))
+    violations = near.where(F.col("score") >= matching.MATCH_THRESHOLD).join(said.distinct(), "key").groupBy("id", "conv_id").agg(F.round(F.max("score"), 4).alias("key_ratio"))
+    out = nearest.join(top.withColumnRenamed("id", "item_id"), "item_id", "left").join(violations.withColumnRenamed("id", "item_id"), "item_id", "left")
+    return out.select("item_id", "nearest", "ratio", F.col("conv_id").isNotNull().alias("violates"), "conv_id", "key_ratio", "max_key_ratio")
 
 
 @query()

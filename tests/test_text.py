@@ -109,3 +109,26 @@ def test_decontamination(spark):
         able = [(round(-matching.ratio(items[r.item_id], t), 9), k) for k, t in turns if min(len(t), len(items[r.item_id])) >= 2 / 3 * max(len(t), len(items[r.item_id]))]
         want = min(able, default=None)
         assert (r.nearest, r.ratio) == ((want[1], pytest.approx(-want[0], abs=1e-4)) if want else (None, None))
+
+
+def test_decontamination_finds_every_violator(spark, tmp_path):
+    """Several conversations of one item, in other case, accents and punctuation, against brute force over keys."""
+    from corpusloom.plans import QUERIES
+
+    item, other = "Which river runs through the old town of Prague", "How many moons has Jupiter got by now, in all?"
+    texts = [item, item.upper() + "?!", "Whích -- rivér rúns thróugh; the old tówn of Prágue", item + ", do you know", "what time is it", "", None, item]
+    turns = [(i, 0, "user", t) for i, t in enumerate(texts)] + [(0, 2, "user", item), (20, 0, "assistant", item)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, item), (2, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["decontam"](spark, str(tmp_path)).collect()
+    want, top = {}, {}
+    for k, t in ((1, item), (2, other)):
+        for conv, _, role, said in turns:
+            if role == "user" and said:
+                r = matching.ratio(matching.key_of(t), matching.key_of(said))
+                top[k] = max(top.get(k, 0), r)
+                if r >= matching.MATCH_THRESHOLD:
+                    want[k, conv] = max(want.get((k, conv), 0), r)
+    assert {(r.item_id, r.conv_id): r.key_ratio for r in rows if r.violates} == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
+    assert {k for k, _ in want} == {1} and {c for _, c in want} == {0, 1, 2, 3, 7} and len(rows) == len(want) + 1
+    assert {r.item_id: r.max_key_ratio for r in rows} == {k: pytest.approx(v, abs=1e-4) for k, v in top.items()}
