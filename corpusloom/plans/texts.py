@@ -49,18 +49,21 @@ def script_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each benchmark item stands word for word, white space apart.
 
-    Items and documents meet by the item's first eight words (all, if it has fewer), hashed at every position of a document;
-    the whole is then compared."""
+    Items of three words or more meet documents by inner words, which stand between blanks wherever the item stands: eight from
+    the second on, or all but the first and last if there are fewer, hashed at every position of a document. Shorter items
+    are compared with all documents, in blocks of items. The whole is then compared."""
     norm = lambda c: text.collapse_space(F.col(c))
-    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("item")).withColumn("n", F.least(F.size(F.split("item", " ")), F.lit(8)))
-    items = items.withColumn("head", F.array_join(F.slice(F.split("item", " "), F.lit(1), F.col("n")), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", norm("text").alias("doc")).withColumn("w", F.split("doc", " "))
-    widths = [r.n for r in items.select("n").distinct().collect()]  # eight values at most
+    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("item")).withColumn("n", F.least(F.size(F.split("item", " ")) - 2, F.lit(8)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", norm("text").alias("doc"))
+    long = items.where("n >= 1").withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("item", " "), F.lit(2), F.col("n")), " ")))
+    short = blocks.in_blocks(items.where("n < 1"), items.where("n < 1").count(), blocks.BLOCK, "item_id", "item")
+    widths = [r.n for r in long.select("n").distinct().collect()]  # eight values at most
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     hashed = lambda n: F.transform(starts(n), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")))
-    heads = F.flatten(F.array(*map(hashed, widths)))
-    at = docs.select("doc_id", "doc", F.explode(F.array_distinct(heads)).alias("h"))
-    hits = at.join(items.withColumn("h", F.xxhash64("head")), "h").where(text.is_supported(F.col("item"), F.col("doc")))
+    hits = docs.join(short, how="cross").select("doc_id", F.explode(F.filter("rows", lambda x: text.is_supported(x["item"], F.col("doc")))).alias("x")).select("x.item_id", "doc_id")
+    if widths:
+        at = docs.withColumn("w", F.split("doc", " ")).select("doc_id", "doc", F.explode(F.array_distinct(F.flatten(F.array(*map(hashed, widths))))).alias("h"))
+        hits = hits.unionByName(at.join(long, "h").where(text.is_supported(F.col("item"), F.col("doc"))).select("item_id", "doc_id"))
     found = hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 

@@ -132,3 +132,17 @@ def test_decontamination_finds_every_violator(spark, tmp_path):
     assert {(r.item_id, r.conv_id): r.key_ratio for r in rows if r.violates} == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
     assert {k for k, _ in want} == {1} and {c for _, c in want} == {0, 1, 2, 3, 7} and len(rows) == len(want) + 1
     assert {r.item_id: r.max_key_ratio for r in rows} == {k: pytest.approx(v, abs=1e-4) for k, v in top.items()}
+
+
+def test_evidence_beside_punctuation(spark, tmp_path):
+    """Items after a quote or joined to a word, before punctuation, of one to twelve words; as many hits as `in` finds."""
+    from corpusloom.plans import QUERIES
+
+    words = "What is the capital of that country and who was its king".split()
+    items = {n: " ".join(words[:n]) for n in range(1, 13)} | {20: "  king  ", 21: "a  b\nc"}
+    docs = [f'("{items[12]}?', f"x {items[12]}", f"pre{items[8]}, and", f"<{items[3]}>", "a b c", "xa b cy", "What", "kingdom", "", None]
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: sum(" ".join(t.split()) in " ".join((d or "").split()) for d in docs) for k, t in items.items()}
+    assert want[8] == 3 and want[21] == 2
+    assert {r.item_id: r.n_documents for r in QUERIES["evidence_guard"](spark, str(tmp_path)).collect()} == want
