@@ -39,22 +39,33 @@ def match_calls(calls: DataFrame, schema_key: str = "fixture") -> DataFrame:
     """(fixture, matched, expected_n, emitted_n): expected calls found in order among the emitted ones, greedily.
 
     `calls`: fixture, kind (expected or emitted), position, tool, argument, result_id. An expected argument `$id` matches an
-    argument that an earlier emitted call returned. Order decides, so each fixture is one unit of work; a fixture is one
-    recorded conversation."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position", kind="stable")
-        want = rows[rows.kind == "expected"][["tool", "argument"]].values.tolist()
-        got = rows[rows.kind == "emitted"][["tool", "argument", "result_id"]].values.tolist()
-        at, seen = 0, set()
-        for tool, argument, result in got:
-            if at < len(want) and tool == want[at][0] and (argument in seen if want[at][1] == "$id" else argument == want[at][1]):
-                at += 1
-            seen.add(result)
-        return pd.DataFrame({schema_key: [rows[schema_key].iloc[0]], "matched": [at], "expected_n": [len(want)], "emitted_n": [len(got)]})
-
-    kind = calls.schema[schema_key].dataType.simpleString()
-    return calls.groupBy(schema_key).applyInPandas(one, f"{schema_key} {kind}, matched long, expected_n long, emitted_n long")
+    argument that an earlier emitted call returned. Emitted calls of a fixture have different positions. One step per expected
+    call: the least position after the one found before, by joins and aggregations, so no fixture is gathered in a task."""
+    key, row = F.col(schema_key), Window.partitionBy(schema_key).orderBy("position")
+    want = calls.where("kind = 'expected'").select(key.alias("_f"), F.row_number().over(row).alias("_i"), F.col("tool").alias("_tool"), F.col("argument").alias("_argument"))
+    got = calls.where("kind = 'emitted'")
+    most = want.agg(F.max("_i").alias("n"), F.coalesce(F.bool_or(F.col("_argument") == "$id"), F.lit(False)).alias("ids")).first()
+    known = F.lit(False)
+    if most.ids:
+        returned = got.groupBy(F.col(schema_key).alias("_g"), F.col("result_id").alias("_r")).agg(F.min("position").alias("_returned"))
+        got = got.join(returned, key.eqNullSafe(F.col("_g")) & F.col("argument").eqNullSafe(F.col("_r")), "left").drop("_g", "_r")
+        known = F.coalesce(F.col("_returned") < F.col("position"), F.lit(False))
+    counts = calls.groupBy(schema_key).agg(F.count_if(F.col("kind") == "expected").alias("expected_n"), F.count_if(F.col("kind") == "emitted").alias("emitted_n"))
+    state = want.where("_i = 1").withColumn("_after", F.lit(None).cast(calls.schema["position"].dataType))
+    steps: list[DataFrame] = []
+    for i in range(1, (most.n or 0) + 1):
+        fits = F.when(F.col("_argument") == "$id", known).otherwise(F.col("argument").eqNullSafe(F.col("_argument")))
+        after = F.col("_after").isNull() | (F.col("position") > F.col("_after"))
+        found = got.join(state, key.eqNullSafe(F.col("_f")) & F.col("tool").eqNullSafe(F.col("_tool")) & after & fits).groupBy(F.col("_f").alias("_m")).agg(F.min("position").alias("_after"))
+        steps.append(found.select("_m", F.lit(i).cast("long").alias("matched")))
+        state = want.where(F.col("_i") == i + 1).join(found, F.col("_f").eqNullSafe(F.col("_m"))).drop("_m")
+    if not steps:
+        return counts.select(schema_key, F.lit(0).cast("long").alias("matched"), "expected_n", "emitted_n")
+    reached = steps[0]
+    for step in steps[1:]:
+        reached = reached.unionByName(step)
+    matched = reached.groupBy("_m").agg(F.max("matched").alias("matched"))
+    return counts.join(matched, key.eqNullSafe(F.col("_m")), "left").select(schema_key, F.coalesce("matched", F.lit(0)).alias("matched"), "expected_n", "emitted_n")
 
 
 def lock_entities(texts: DataFrame, text_col: str, entities_col: str) -> DataFrame:

@@ -126,11 +126,12 @@ def union_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, string_agg(s::VARCHAR, ',' ORDER BY pos) AS merged FROM u WHERE k = 1 GROUP BY l_orderkey""")
 def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of the finished lines of an order, then those of its open lines, each once."""
-    rows = table(spark, sf_dir, "lineitem")
-    item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("x"))
-    side = lambda status: F.transform(F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == status, item))), lambda e: F.struct(F.lit("supplier").alias("source"), e["s"].alias("ref")))
-    lists = rows.groupBy("l_orderkey").agg(side("F").alias("old"), side("O").alias("new"))
-    return lists.select("l_orderkey", F.array_join(F.transform(merge.merge_sources(F.col("old"), F.col("new")), lambda e: e["ref"].cast("string")), ",").alias("merged"))
+    side = F.when(F.col("l_linestatus") == "F", 0).when(F.col("l_linestatus") == "O", 1)
+    item = F.struct(side.alias("side"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("x"))
+    # each supplier's first line, so that no list holds more than an order's suppliers
+    first = table(spark, sf_dir, "lineitem").where("l_linestatus IN ('F', 'O')").groupBy("l_orderkey", "l_suppkey").agg(F.min(item).alias("e"))
+    lists = first.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return lists.select("l_orderkey", F.array_join(F.transform("e", lambda e: e["s"].cast("string")), ",").alias("merged"))
 
 
 @query("""

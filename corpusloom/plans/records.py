@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions import text
 from corpusloom.operators import conversations
@@ -93,7 +92,8 @@ def query_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected calls matched in order against a user's events; tests compare with a loop."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("fixture"), F.lit("emitted").alias("kind"), F.struct("ts", "event_id").alias("position"), F.col("event_type").alias("tool"), F.lit("").alias("argument"), F.col("event_id").cast("string").alias("result_id"))
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("fixture").orderBy("position")))
+    kind = rows.schema["position"].dataType  # of expected calls: no time, and the place as id
     users = rows.select("fixture").distinct()
-    want = users.select("fixture", F.lit("expected").alias("kind"), F.posexplode(F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("position", "tool"), F.lit("").alias("argument"), F.lit("").alias("result_id"))
-    return conversations.match_calls(rows.unionByName(want))
+    want = users.select("fixture", F.lit("expected").alias("kind"), F.posexplode(F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("place", "tool"), F.lit("").alias("argument"), F.lit("").alias("result_id"))
+    position = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name == "ts" else F.col("place").cast(f.dataType).alias(f.name) for f in kind.fields))
+    return conversations.match_calls(rows.unionByName(want.withColumn("position", position).drop("place")))

@@ -161,3 +161,48 @@ def test_cards(spark):
     assert got[1] == ("A (Malayalam, 2013). ", "A (Malayalam, 2013). This is the original version of this story. Also known as: Z. Directed by D. Starring L, M. A Malayalam film.")
     assert got[2] == ("B (unknown language) — remake of A (Malayalam, 2013). ", "B (unknown language) — remake of A (Malayalam, 2013). A unknown language film.")
     assert got[3] == ("C (xx, 2015). ", "C (xx, 2015). A xx film.")
+
+
+def test_calls_match_as_a_loop_does(spark):
+    """Random calls with ids, nulls, skew and fixtures without expected or emitted calls; no fixture is gathered in a task."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for f in [None, *range(60)]:
+        rows += [(f, "expected", i, rng.choice("ab"), rng.choice(["x", "$id", None]), None) for i in range(rng.randint(0, 4))]
+        rows += [(f, "emitted", i, rng.choice("ab"), rng.choice(["x", "r1", "r2", None]), rng.choice(["r1", "r2", "r3", None])) for i in range(rng.choice([0, 3, 8, 40]))]
+    want = {}
+    for f in {r[0] for r in rows}:
+        own, got = ([r[3:] for r in rows if r[0] == f and r[1] == kind] for kind in ("expected", "emitted"))
+        at, seen = 0, set()
+        for tool, argument, result in got:
+            if at < len(own) and tool == own[at][0] and (argument in seen if own[at][1] == "$id" else argument == own[at][1]):
+                at += 1
+            seen.add(result)
+        want[f] = (at, len(own), len(got))
+    rng.shuffle(rows)
+    out = conversations.match_calls(spark.createDataFrame(rows, "fixture int, kind string, position int, tool string, argument string, result_id string"))
+    assert {r.fixture: tuple(r)[1:] for r in out.collect()} == want
+    assert "InPandas" not in out._jdf.queryExecution().toString() and "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_call_matches_on_events(spark):
+    from corpusloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    events = sorted(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect())
+    want = {}
+    for user, _, _, kind in events:
+        at, n = want.get(user, (0, 0))
+        want[user] = (at + (at < 3 and kind == ("view", "click", "purchase")[at]), n + 1)
+    assert {r.fixture: (r.matched, r.emitted_n) for r in QUERIES["call_matches"](spark, sf).collect()} == want
+
+
+def test_source_merge_reduces_before_it_gathers(spark, tmp_path):
+    from corpusloom.plans import QUERIES
+
+    lines = [(1, "FO"[i % 2], i, 1 + i % 3, i, 1.0) for i in range(3000)] + [(2, "O", 1, 7, 1, 1.0), (2, "F", 2, 8, 1, 1.0), (2, "F", 3, 7, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linestatus string, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["source_merge"](spark, str(tmp_path))
+    assert {r.l_orderkey: r.merged for r in out.collect()} == {1: "1,3,2", 2: "8,7"}
+    assert "l_suppkey" in out._jdf.queryExecution().optimizedPlan().toString().split("collect_list")[1].split("Aggregate", 1)[1].split("]", 1)[0]
