@@ -1,13 +1,12 @@
-"""Substring dedup on prefix-partitioned suffix trees over words, cut off at the depth of a window.
-
-A suffix is a word position; only its first `window` words matter, so trees end at that depth and their edges are hashed
-word sequences. A suffix belongs to the group of an anchor, the least-hashed 5-word sequence within its window: equal
-windows have equal anchors, so all suffixes below one deep node are in one group. Pass 1 finds the anchors that more than
-one document has; other groups can't hold a repeat between documents, and a Bloom filter of bounded size keeps most of
-their suffixes from being sent. Pass 2 sends the rest to their groups. Groups are sized for memory by prefixes of variable
-length: the anchor is the prefix, except where its group would be too large; there the prefix grows to the whole
-window, whose nodes are then reduced by aggregation before anything is gathered. Within a group, suffixes sorted by
-document below each node give the internal nodes at full depth: the repeats, and the first document of each.
+"""Substring dedup by hashes of fixed windows of words, partitioned by minimizers, in place of suffix trees.
+
+The contract asks only whether a window of `window` words occurs elsewhere, which equal hashes tell: no suffix is sorted, no
+common prefix compared, and there are no tree nodes. A window belongs to the group of its anchor, the least-hashed 5-word
+sequence within it: equal windows have equal anchors. Pass 1 finds the anchors that more than one document has; other
+groups can't hold a repeat between documents, and a Bloom filter of bounded size keeps most of their windows from being
+sent. Pass 2 sends the rest to their groups. Where an anchor's group would be too large for memory, its windows are
+partitioned by the hash of the whole and reduced by aggregation before anything is gathered. Within a group, windows
+sorted by hash and document give the repeats, and the first document of each.
 """
 
 from __future__ import annotations
