@@ -17,8 +17,11 @@ from corpusloom.llm.common import text_of
 
 #: Texts over this many characters are cut at safe boundaries before the library sees them.
 LONG_TEXT = 1 << 16
-#: White space runs over this length overflow the library's regex stack, so they are encoded as the one match they are.
-_LONG_RUN = re.compile(r"(?<!\s)[ \t\r\n]{20000,}(?!\s)")
+#: The white space of the pattern's `\\s`: the Unicode property, which Python's own `\\s` exceeds by 1C to 1F.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Longer runs of white space, whatever it is made of, overflow the library's regex stack in the end, so they are encoded
+#: as the one match they are: before another character all of the run but its last character, at the end all of it.
+_LONG_RUN = re.compile(f"[{_SPACES}]{{2000,}}")
 #: Before a blank, tab or line end that follows another character than white space, a match of the pattern always ends:
 #: no alternative goes on from the one to the other, and what the lookahead sees is white space or the end either way.
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
@@ -60,7 +63,6 @@ def encode_text(encoding, text: str) -> list[int]:
     ids: list[int] = []
     start = 0
     for run in _LONG_RUN.finditer(text):
-        # the run's last character is left to what follows it; at the end of the text the run is one match as a whole
         end = run.end() if run.end() == len(text) else run.end() - 1
         for piece in safe_pieces(text[start : run.start()]):
             ids += encoding.encode_ordinary(piece)

@@ -18,9 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session names none (tests) is one made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, one is made in local
+    mode, in which all share the driver's disk; on a cluster that is an error, since executors would write to their own."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpusloom"

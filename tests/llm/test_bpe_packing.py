@@ -129,3 +129,17 @@ def test_pack_odd_rows(spark, odd_docs):
     pieces = packing.cut_pieces(odd_docs).drop("ids")
     assert packing.pack(pieces).count() == pieces.count() >= 7
     assert packing.pack(packing.cut_pieces(odd_docs.limit(0)).drop("ids")).count() == 0
+
+
+def test_long_runs_of_any_white_space(encoding):
+    rng = random.Random(3)
+    space = "\t \n\r\x0b\x0c\x85\xa0      　"
+    for k in range(200):  # short enough for the library itself
+        run = "".join(rng.choices(space, k=rng.choice([2000, 2001, 2500])))
+        text = rng.choice(["", "a", "x1!", "'s", " "]) + run + rng.choice(["", "a", "1", "!", " b", "'s\x1c"]) + ("q" * 20001 if k % 3 else "")
+        text = text if k % 3 else "q" * 20001 + text
+        assert bpe.encode_text(encoding, text) == encoding.encode_ordinary(text)
+    for run in ("\xa0", "\x0c", " \xa0", "\xa0 ", "　\n"):
+        text = f"a{run * 1000000}b"
+        assert encoding.decode(bpe.encode_text(encoding, text)) == text
+        assert encoding.decode(array("I", packing.token_bytes(text)).tolist()) == text
