@@ -1,8 +1,8 @@
-"""Exact dedup by two passes over the documents and a Bloom filter between them.
+"""Exact dedup by two passes over the documents with a Bloom filter between them.
 
-Pass 1 counts 64-bit hashes of the texts and puts those met twice or more in a filter of bounded size. Pass 2 reads the
-texts again: rows whose hash isn't in the filter are unique and pass straight through; only the others, with their
-SHA-256 and not their text, are shuffled and grouped exactly.
+Pass 1 sets bits for 64-bit hashes of the texts and keeps those that were set again (repeat_filter): no row and no hash is
+sent for it. Pass 2 reads the texts again: rows whose bit isn't among those are unique and pass straight through; only the
+others, with their SHA-256 and not their text, are shuffled and grouped exactly.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bloom import bloom_column, build_bloom
 from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.repeat_filter import filter_bits, may_repeat, repeated_hashes
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,12 +20,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty; empty texts are equal to each other. Of rows that share the keeping id, all are marked
     kept. Null ids are smaller than any other. Other columns are ignored, whatever their names. An empty table gives none.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    repeated = materialize(texts.groupBy(F.xxhash64("_text").alias("h")).count().where("count > 1").select("h"))
-    filter_words = build_bloom(repeated, "h", repeated.count())
-    marked = texts.select("_id", F.sha2("_text", 256).alias("sha"), F.xxhash64("_text").alias("h"))
-    marked = materialize(marked.withColumn("maybe", bloom_column(spark, filter_words, "h")).drop("h"))
+    rows = docs.count()
+    hashed = texts.select("_id", F.xxhash64("_text").alias("h"), F.sha2("_text", 256).alias("sha"))
+    found = materialize(repeated_hashes(hashed, "h", rows))
+    marked = materialize(may_repeat(hashed, "h", found, filter_bits(rows)).drop("h"))
     maybe = marked.where("maybe").select("_id", "sha")
     # partial aggregation reduces a text that a third of the rows hold before anything moves; groups
     # are read from a table, so both sides of the join are plain shuffles and a hot text's rows may be split

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from corpusloom.llm import exact_dedup, line_dedup, sharding
 from corpusloom.llm.queries import ORACLE, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,16 @@ def test_slot_map_grows_and_is_stored(spark, tmp_path):
 def test_shard_odd_rows(spark, odd_docs):
     assert sharding.shard_documents(odd_docs).count() == odd_docs.count()
     assert sharding.shard_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_repeated_hashes(spark):
+    """No repeated hash is missing, few others are in; with many small segments too, and over several partitions."""
+    from corpusloom.llm import repeat_filter
+
+    rows = spark.range(0, 30000, numPartitions=5).select(F.when(F.col("id") < 29000, F.xxhash64(F.col("id") % 20000)).alias("h"))
+    for per_segment in (repeat_filter.ROWS_PER_SEGMENT, 100):
+        found = repeat_filter.repeated_hashes(rows, "h", 30000, per_segment)
+        got = repeat_filter.may_repeat(rows.where("h IS NOT NULL").distinct(), "h", found, repeat_filter.filter_bits(30000)).join(spark.range(20000).select("id", F.xxhash64("id").alias("h")), "h").collect()
+        assert len(got) == 20000 and all(r.maybe for r in got if r.id < 9000)
+        assert sum(r.maybe for r in got if r.id >= 9000) < 500
+    assert repeat_filter.repeated_hashes(rows.limit(0), "h", 0).count() == 0
