@@ -1,21 +1,20 @@
 """Line dedup with DataFrame functions only, deciding on hashes and returning bitmaps instead of text.
 
-Lines become 128-bit hashes of their keys, once per document. They are first reduced per hash and slice of documents, so
-that a line which a third of the documents hold leaves few rows; these partial rows are range-partitioned by hash and
-sorted within by hash, then document descending, and a window streams over them: its first row holds the largest
-document. Lines to drop come back as sparse bitmaps: 64 line numbers a word, only words with a dropped line.
+Lines become 128-bit hashes of their keys. They are range-partitioned by hash and document and sorted within by hash, then
+document and position, so that a line which a third of the documents hold is dealt over as many ranges as its rows fill.
+Each range is streamed and its rows numbered in that order: of each hash, the first row and the number of documents come
+out, once per range, and of the ranges that share a hash the first one's row is the first of all. Lines to drop come back as sparse bitmaps: 64 line numbers a word, only words
+with a dropped line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm.common import SPACE, free_name, hash128, lower_ascii, materialize, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
-_SLICES = 64
 
 
 def line_key(line: Column) -> Column:
@@ -38,18 +37,23 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     keyed = lines.where(F.length("line") >= min_chars).select("_id", "pos", line_key(F.col("line")).alias("key"))
     h = hash128(F.col("key"))
     found = materialize(keyed.where(F.length("key") >= min_chars).select("_id", "pos", h[0].alias("h1"), h[1].alias("h2")))
-    held = found.select("h1", "h2", "_id").distinct()
-    partial = held.groupBy("h1", "h2", F.pmod(F.xxhash64("_id"), F.lit(_SLICES)).alias("slice")).agg(F.max("_id").alias("last"), F.count("*").alias("n"))
-    ranged = partial.repartitionByRange(F.col("h1")).sortWithinPartitions("h1", "h2", F.col("last").desc())
-    streamed = Window.partitionBy("h1").orderBy("h2", F.col("last").desc())
-    # a range partition holds whole h1 values; within one, rows of one h2 stand together, its largest document first
-    ordered = ranged.withColumn("first", F.coalesce(F.lag("h2").over(streamed) != F.col("h2"), F.lit(True)))
-    keepers = ordered.groupBy("h1", "h2").agg(F.max(F.when(F.col("first"), F.col("last"))).alias("keeper"), F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    keepers = materialize(first_occurrences(found).where(F.col("docs") >= min_docs).drop("docs"))
     gone = found.join(keepers, ["h1", "h2"]).where(F.col("_id") != F.col("keeper"))
     words = gone.groupBy("_id", F.floor(F.col("pos") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))).alias("bits"))
     return words.groupBy("_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped")).withColumnRenamed("_id", id_col)
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """(h1, h2, keeper, docs): of each hash in `lines` (h1, h2, _id, pos), the document of its first row by document
+    descending, then position, and how many documents have it.
+
+    The ranges are by hash and document, so all lines of one document with one hash are in one range, next to each other:
+    reducing them to one row moves nothing. Rows are numbered as they stream by, ranges one after another."""
+    ranged = lines.repartitionByRange("h1", "h2", F.col("_id").desc()).sortWithinPartitions("h1", "h2", F.col("_id").desc(), "pos")
+    per_document = ranged.withColumn("at", F.monotonically_increasing_id()).groupBy("h1", "h2", "_id").agg(F.min("at").alias("at"))
+    return per_document.groupBy("h1", "h2").agg(F.min_by("_id", "at").alias("keeper"), F.count("*").alias("docs"))
+
+
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with _n_lines, _n_dropped and _kept_text: its lines without those that the bitmaps drop, joined by \\n."""
     drop_id, bits = free_name(docs, "_drop_id"), free_name(docs, "_dropped")
