@@ -1,22 +1,28 @@
 """Sharding over fixed virtual slots, with DataFrame functions only.
 
-A record's id hashes to one of thousands of slots and never leaves it. Bytes are summed per slot, and a versioned table
-maps slots to shards. Filling that map, and editing it when shards are added, works on the slot table alone, whose size is
-the fixed number of slots and not the corpus.
+A text hashes to one of thousands of slots, so equal texts share one; only a group of equal texts too large to be one
+piece of a shard is dealt over all slots. Bytes are summed per slot, and a stored, versioned table maps slots to shards.
+Filling that map, and editing it when a shard is added, works on the slot table alone, whose size is the fixed number of
+slots and not the corpus.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.common import materialize, shared_dir, text_of
 
 SLOTS = 4096
+#: Rows are numbered within a slot and one of so many parts of it.
+PARTS = 64
+#: A group of equal texts is split if it exceeds this part of a shard's share of the bytes.
+GROUP_SHARE = 0.25
 
 
 @dataclass(frozen=True)
@@ -46,8 +52,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
-def slot_of(id_col: str, n_slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(n_slots)).cast("int")
+def slot_of(h: Column, n_slots: int = SLOTS) -> Column:
+    return F.pmod(h, F.lit(n_slots)).cast("int")
 
 
 def fill_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = SLOTS) -> SlotMap:
@@ -84,26 +90,55 @@ def grow_map(old: SlotMap, slot_bytes: dict[int, int]) -> SlotMap:
         load[new] += size
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
-    """`id_col`, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version: one row per input row.
+def rebalance(spark: SparkSession, path: str, slot_bytes: dict[int, int]) -> SlotMap:
+    """Add a shard to the newest stored map: the next version, stored beside it."""
+    grown = grow_map(load_map(spark, path), slot_bytes)
+    grown.save(spark, path)
+    return grown
 
-    Law `bytes`: the shards' sizes are as near equal as whole virtual slots allow. size: UTF-8 bytes of the text plus 1, a
-    null text counting none. slot: the row's place in its shard, gapless from 0. grown_shard is null under this law.
-    Repeated rows and ids are kept, each in a place of its own. A null id hashes like any other value. Other columns
-    are ignored. An empty table gives no rows. `map_path`: where to store the map, if anywhere.
+
+def large_groups(rows: DataFrame, slot_bytes: dict[int, int], limit: float, n_slots: int = SLOTS) -> list[int]:
+    """Hashes in `rows` (text_hash, size) of more than `limit` bytes in all: total / limit of them at most. Only slots over
+    the limit can hold one, so only their rows are grouped, and reduced before they move."""
+    heavy = [slot for slot, size in slot_bytes.items() if size > limit]
+    if not heavy:
+        return []
+    sums = rows.where(slot_of(F.col("text_hash"), n_slots).isin(heavy)).groupBy("text_hash").agg(F.sum("size").alias("bytes"))
+    return [r["text_hash"] for r in sums.where(F.col("bytes") > limit).collect()]
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, group_share: float = GROUP_SHARE) -> DataFrame:
+    """`id_col`, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version, next_shard: one row per input row.
+
+    Law `bytes`: the shards' sizes are as near equal as whole virtual slots allow. Equal texts go to one shard, but for
+    groups of more than `group_share` of a shard's share of the bytes, whose rows are dealt by id. size: UTF-8 bytes of the
+    text plus 1, a null text counting none. slot: the row's place in its shard, gapless from 0. grown_shard is null under
+    this law; next_shard: where the row is once a shard has been added by editing the map.
+
+    The map is stored at `map_path` (a new folder in the shared one by default) as version 1, read from there, and edited
+    to version 2. Repeated rows and ids are kept, each in a place of its own. A null id is like any other. Other columns
+    are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(id_col, n_slots).alias("virtual_slot"))
-    rows = materialize(rows)
-    held = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # n_slots rows at most
-    slots = fill_map({r["virtual_slot"]: r["bytes"] for r in held}, n_shards, n_slots)
-    if map_path:
-        slots.save(spark, map_path)
-    counts, before, filled = {r["virtual_slot"]: r["n"] for r in held}, [0] * n_slots, [0] * n_shards
-    for slot, shard in enumerate(slots.shard_of):
-        before[slot] = filled[shard]
-        filled[shard] += counts.get(slot, 0)
-    first = F.element_at(F.expr(f"cast(split('{','.join(map(str, before))}', ',') AS array<bigint>)"), F.col("virtual_slot") + 1)
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("_id", "size", "text_crc32")) - 1
-    return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), slots.column("virtual_slot").alias("shard"), (first + place).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"))
+    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    row = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id())))
+    rows = materialize(rows.withColumn("row", row))
+    bytes_of = lambda df: {r["virtual_slot"]: r["bytes"] for r in df.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}  # noqa: E731  # n_slots rows at most
+    by_text = slot_of(F.col("text_hash"), n_slots)
+    slot_bytes = bytes_of(rows.withColumn("virtual_slot", by_text))
+    split = large_groups(rows, slot_bytes, group_share * sum(slot_bytes.values()) / n_shards, n_slots)
+    if split:
+        by_text = F.when(F.col("text_hash").isin(split), slot_of(F.col("row"), n_slots)).otherwise(by_text)
+        slot_bytes = bytes_of(rows.withColumn("virtual_slot", by_text))
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    fill_map(slot_bytes, n_shards, n_slots).save(spark, path)
+    slots = load_map(spark, path)
+    grown = rebalance(spark, path, slot_bytes)
+    placed = rows.withColumns({"virtual_slot": by_text, "part": F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")})
+    counts = placed.groupBy("virtual_slot", "part").count().withColumn("shard", slots.column("virtual_slot"))
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialize(counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"))  # n_slots * PARTS rows at most
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("_id", "size", "text_crc32")) - 1
+    numbered = placed.withColumn("place", place).join(F.broadcast(first), ["virtual_slot", "part"])
+    return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"), grown.column("virtual_slot").alias("next_shard"))

@@ -55,7 +55,27 @@ def test_op7(spark):
         places[r.shard].append(r.slot)
         load[r.shard] += r.size
     assert all(sorted(own) == list(range(len(own))) for own in places.values())
-    assert max(load) - min(load) <= max(r.size for r in rows)
+    # a slot is the least that moves: no shard has more than a slot over another's bytes
+    slots = defaultdict(int)
+    for r in rows:
+        slots[r.virtual_slot] += r.size
+    assert max(load) - min(load) <= max(slots.values())
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert all(len(own) == 1 for own in shards.values())
+    assert all(r.next_shard in (r.shard, 8) for r in rows) and any(r.next_shard == 8 for r in rows)
+
+
+def test_groups_of_equal_texts(spark):
+    """Equal texts share a shard; a group too large for one is dealt out; sizes are near equal either way."""
+    docs = spark.range(30000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 2000).cast("string")).alias("text"))
+    got = sharding.shard_documents(docs)
+    rows = got.withColumn("text", F.when(F.col("text_crc32") == zlib.crc32(b"hot"), "hot").otherwise(F.col("text_crc32").cast("string"))).groupBy("text").agg(F.countDistinct("shard").alias("n")).collect()
+    assert all((r.n == 8) if r.text == "hot" else (r.n == 1) for r in rows) and len(rows) > 1000
+    shards = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("places"), F.max("slot").alias("last")).collect()
+    assert max(r.bytes for r in shards) < 1.01 * min(r.bytes for r in shards)
+    assert all(r.n == r.places == r["last"] + 1 for r in shards) and sum(r.n for r in shards) == 30000
 
 
 def test_slot_map_grows_and_is_stored(spark, tmp_path):
