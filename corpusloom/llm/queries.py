@@ -60,15 +60,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.archive_path(spark)
-    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_warc(spark, path))
-    page = F.col("metadata.fields")["page-id"].cast("long")
-    flat = captures.select("capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("referred"))
+    pages, path = read_table(spark, sf_dir, "pages"), warc.archive_path(spark)
+    warc.write_warc(pages, path)
+    captures = warc.assemble(materialize(warc.read_warc(spark, path).drop("payload")))
+    page = F.col("metadata.fields")["page-id"].cast(pages.schema["page_id"].dataType)
+    flat = captures.select("capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("referred"), F.col("request.target_uri").alias("requested_uri"))
     flat = materialize(flat)  # small columns only; a revisit gets page and length from the response that it refers to
     referred = flat.where("record_type = 'response'").select(F.col("capture_id").alias("referred"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("full_bytes"))
     out = flat.join(referred, "referred", "left")
-    return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "requested_uri")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc)}

@@ -1,7 +1,7 @@
-"""WARC archives: written by Spark's text writer, read back as whole files, and assembled into one row per capture.
+"""WARC archives: gzip members written by Spark's text writer, read back as whole files, assembled into one row per capture.
 
 Each capture is three records: a request, a response (or a revisit of one with an equal payload), and metadata. The
-request and the metadata name the response in WARC-Concurrent-To; the join over that header puts a capture together.
+request and the metadata name the response in WARC-Concurrent-To; grouping by that identifier puts a capture together.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +20,15 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, shared_dir, text_of
 
 CRLF = "\r\n"
-#: Records of a file, so that a file is far below what a task can hold; one file is one value when it is read.
-CAPTURES_PER_FILE = 1000
+#: A file is closed once it has so many bytes, compressed. One file is one value when it is read, so files stay far below
+#: what a task can hold; only a single capture may be larger.
+FILE_BYTES = 32 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
 def _record_id(kind: str, key: Column) -> Column:
-    """A name-based URN: the same for the same page and kind on every run, so a repeated task writes the same record."""
+    """A name-based URN of a row's own identifier and the kind of record."""
     h = F.md5(F.concat(F.lit(f"{kind}:"), key))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
@@ -46,43 +49,75 @@ def _base32_sha1(hex_sha1: Column) -> Column:
     return F.concat(*(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), value(b, i) + 1, F.lit(1)) for b in bits for i in range(8)))
 
 
-def mark_revisits(pages: DataFrame, id_col: str = "page_id", min_bytes: int = 0) -> DataFrame:
-    """`pages` (with _payload) plus _sha1, _first: the smallest id with an equal payload, null if it is this row.
+def mark_revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """`rows` (_id, _row, _sha1, _bytes) plus _first: struct of _id and _row of the first row with an equal payload, null if
+    it is this row. First is the smallest id, null ids being larger than any, then the smallest row identifier.
 
-    Only ids and digests are shuffled for the count, reduced per task first; rows with a payload under `min_bytes` count
-    as first. Of rows with one id, each is first if the id is."""
-    hashed = pages.withColumn("_sha1", F.sha1("_payload"))
-    firsts = hashed.where(F.octet_length("_payload") >= min_bytes).groupBy(F.col("_sha1").alias("_key")).agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    firsts = materialize(firsts)  # read from a table, both sides of the join are plain shuffles, which may split a hot key
-    joined = hashed.join(firsts, F.col("_sha1") == F.col("_key"), "left").drop("_key")
-    return joined.withColumn("_first", F.when((F.octet_length("_payload") >= min_bytes) & (F.col("_first") != F.col(id_col)), F.col("_first")))
+    Only identifiers and digests are shuffled for it, reduced per task first; payloads under `min_bytes` aren't compared."""
+    large = F.col("_bytes") >= min_bytes
+    least = F.min(F.struct(F.col("_id").isNull().alias("absent"), F.col("_id").alias("_id"), F.col("_row").alias("_row")))
+    firsts = rows.where(large).groupBy(F.col("_sha1").alias("_key")).agg(least.alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    firsts = materialize(firsts.select("_key", F.struct("_least._id", "_least._row").alias("_first")))  # read from a table, both sides of the join are plain shuffles, which may split a hot key
+    joined = rows.join(firsts, F.col("_sha1") == F.col("_key"), "left").drop("_key")
+    return joined.withColumn("_first", F.when(large & (F.col("_first._row") != F.col("_row")), F.col("_first")))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
+def _into_files(rows: DataFrame, file_bytes: int) -> DataFrame:
+    """(value binary): contents of files, each without its last byte: records as gzip members, captures together.
+
+    The last byte of a gzip member is the highest of its length, zero below 16 MB, and the writer puts it after the row as
+    its line end. A member of another last byte is followed by an empty one."""
+
+    def member(data: bytes) -> bytes:
+        one = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return one.compress(data) + one.flush()
+
+    def close(parts: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(parts if parts[-1].endswith(b"\0") else [*parts, member(b"")])
+        return pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], names=["value"])
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for records in batch.column(0):
+                own = [member(r.as_buffer()) for r in records.values]
+                parts += own
+                size += sum(map(len, own))
+                if size >= file_bytes:
+                    yield close(parts)
+                    parts, size = [], 0
+        if parts:
+            yield close(parts)
+
+    return rows.mapInArrow(fill, "value binary")
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: datetime | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Archive every row of `pages` below `path`: three records a row, the payload being the html in UTF-8 (null: empty).
 
-    A null url becomes an empty target; line ends in a url are percent-encoded. Null ids are archived under an empty page
-    id. Row order within a file is that of the input partition.
+    Every row is a capture of its own, with record ids of its own, also where ids or whole rows repeat. A null url is left
+    out; line ends in a url are percent-encoded. Of a null id nothing is noted. `date`: when the pages were fetched, now by
+    default. Files are gzip members, one per record, under the names that the text writer gives them.
     """
-    url = F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), text_of(html_col).alias("_payload"))
-    rows = mark_revisits(rows, "_id", min_bytes)
-    key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    response, first = _record_id("response", key), _record_id("response", F.col("_first").cast("string"))
+    url = F.nullif(F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(""))
+    # written once: the identifiers are drawn once, and the digests aren't computed again for the join
+    rows = materialize(pages.select(F.col(id_col).alias("_id"), url.alias("_url"), text_of(html_col).alias("_payload")).withColumns({"_row": F.expr("uuid()"), "_sha1": F.sha1("_payload"), "_bytes": F.octet_length("_payload")}))
+    rows = mark_revisits(rows, min_bytes)
+    response, first = _record_id("response", F.col("_row")), _record_id("response", F.col("_first._row"))
     digest = F.concat(F.lit("sha1:"), _base32_sha1(F.col("_sha1")))
     is_revisit = F.col("_first").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length("_payload").cast("string"), F.lit(CRLF + CRLF))
-    host = F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    request = F.concat(F.lit("GET "), F.col("_url"), F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF))
-    notes = F.concat(F.lit("page-id: "), key, F.lit(CRLF))
-    target = ("WARC-Target-URI", F.col("_url"))
-    records = F.concat(
-        _record("request", _record_id("request", key), [("WARC-Concurrent-To", response), target, ("Content-Type", F.lit("application/http; msgtype=request"))], request),
-        _record(F.when(is_revisit, "revisit").otherwise("response"), response, [target, ("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(is_revisit, first)), ("WARC-Profile", F.when(is_revisit, F.lit(REVISIT_PROFILE))), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(is_revisit, http).otherwise(F.concat(http, F.col("_payload")))),
-        _record("metadata", _record_id("metadata", key), [("WARC-Concurrent-To", response), target, ("Content-Type", F.lit("application/warc-fields"))], notes),
+    http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF + CRLF))
+    host = F.regexp_extract(F.coalesce("_url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    request = F.concat(F.lit("GET "), F.coalesce("_url", F.lit("/")), F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF))
+    notes = F.coalesce(F.concat(F.lit("page-id: "), F.col("_id").cast("string"), F.lit(CRLF)), F.lit(""))
+    shared = [("WARC-Date", F.lit((date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ"))), ("WARC-Target-URI", F.col("_url"))]
+    records = F.array(
+        _record("request", _record_id("request", F.col("_row")), [("WARC-Concurrent-To", response), *shared, ("Content-Type", F.lit("application/http; msgtype=request"))], request),
+        _record(F.when(is_revisit, "revisit").otherwise("response"), response, [*shared, ("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(is_revisit, first)), ("WARC-Profile", F.when(is_revisit, F.lit(REVISIT_PROFILE))), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(is_revisit, http).otherwise(F.concat(http, F.col("_payload")))),
+        _record("metadata", _record_id("metadata", F.col("_row")), [("WARC-Concurrent-To", response), *shared, ("Content-Type", F.lit("application/warc-fields"))], notes),
     )
-    # a record ends in an empty line anyway, so the line end the writer puts after a row is part of it
-    rows.select(F.left(records, F.length(records) - 2).alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    files = _into_files(rows.select(records.alias("records")), file_bytes)
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[str, dict[str, list[str]], bytes]]:
@@ -105,10 +140,28 @@ def parse_records(data: bytes) -> Iterator[tuple[str, dict[str, list[str]], byte
         yield headers["warc-type"][0], headers, data[stop + 4 : at]
 
 
+def members(content: memoryview) -> Iterator[bytes]:
+    """The gzip members of a file, decompressed one by one; the whole of a file that isn't compressed."""
+    if bytes(content[:2]) != b"\x1f\x8b":
+        yield bytes(content)
+        return
+    at, step = 0, 1 << 16
+    while at < len(content):
+        parts, one = [], zlib.decompressobj(31)
+        while not one.eof:
+            if at >= len(content):
+                raise ValueError("a gzip member is cut short")
+            fed = content[at : at + step]
+            parts.append(one.decompress(fed))
+            at += len(fed) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records below `path`, one row each (RECORD_SCHEMA). `payload` is what follows the HTTP head of a response,
     `payload_digest` and `payload_bytes` are taken from it; a revisit has no payload, its digest is the stated one and
-    its bytes are null. `fields` holds those of a metadata block. Broken archives fail the job."""
+    its bytes are null. `fields` holds those of a metadata block. Files may be compressed, by record or as a whole. Broken
+    archives fail the job. A file is held as one value, so it must be below 2 GB."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for kind, headers, block in parse_records(content.as_py()):
+                for kind, headers, block in (r for data in members(memoryview(content.as_buffer())) for r in parse_records(data)):
                     one = lambda name, h=headers: h.get(name, [None])[0]
                     payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") else None
                     digest = (one("warc-payload-digest") or "").removeprefix("sha1:") or None
@@ -139,16 +192,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, target_uri, response, request, metadata (structs of RECORD_SCHEMA, null where the
-    archive has no such record). A request or metadata record without a response or revisit gives no row; of several of
-    one kind, the one with the smallest record id counts. Records concurrent to several responses belong to each."""
-    captures = records.where(F.col("type").isin("response", "revisit"))
-    whole = F.struct("type", "record_id", "refers_to", "payload_digest", "payload_bytes", "payload")
-    out = captures.select(F.col("record_id").alias("capture_id"), "target_uri", whole.alias("response"))
-    for kind, kept in (("request", ["record_id", "target_uri", "payload"]), ("metadata", ["record_id", "fields"])):
-        side = records.where(F.col("type") == kind).select(F.explode("concurrent_to").alias("capture_id"), F.struct(*kept).alias(kind))
-        side = side.groupBy("capture_id").agg(F.min_by(kind, F.col(f"{kind}.record_id")).alias(kind))
-        out = out.join(side, "capture_id", "left")
-    return out
+    archive has no such record). Records belong together if either names the other in WARC-Concurrent-To. A request or metadata
+    record without a response or revisit gives no row; of several of one kind, the one with the smallest record id counts.
+    Records concurrent to several responses belong to each. `records` is read three times, so give a written table; it may
+    lack the payload, which the structs then lack too. An empty table gives no rows."""
+    parts = {"response": ["type", "record_id", "refers_to", "payload_digest", "payload_bytes", "payload"], "request": ["record_id", "target_uri", "payload"], "metadata": ["record_id", "fields"]}
+    parts = {kind: [c for c in own if c in records.columns] for kind, own in parts.items()}
+    is_capture = F.col("type").isin("response", "revisit")
+    captures, others = records.where(is_capture), records.where(F.col("type").isin("request", "metadata"))
+    own = captures.withColumn("capture_id", F.col("record_id"))
+    naming = others.withColumn("capture_id", F.explode("concurrent_to"))
+    named = captures.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id"))
+    rows = own.unionByName(naming).unionByName(others.join(named, "record_id"))
+    part = lambda kind, held: F.min_by(F.when(held, F.struct(*parts[kind])), F.when(held, F.col("record_id"))).alias(kind)
+    out = rows.groupBy("capture_id").agg(F.min_by(F.when(is_capture, F.col("target_uri")), F.when(is_capture, F.col("record_id"))).alias("target_uri"), part("response", is_capture), part("request", F.col("type") == "request"), part("metadata", F.col("type") == "metadata"))
+    return out.where(F.col("response").isNotNull())
 
 
 def archive_path(spark: SparkSession) -> str:
