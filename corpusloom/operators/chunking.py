@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: targets in tokens of the three configurations, and the share of a chunk that the next one repeats
 CONFIGS = {"256tok_15pct": (256, 0.15), "512tok_15pct": (512, 0.15), "1024tok_15pct": (1024, 0.15)}
-_SENTENCE_END = re.compile(r"(?<=[.!?।॥])\s+")
+_PARAGRAPH, _SENTENCE = re.compile(r"\n[ \t]*\n"), re.compile(r"(?<=[.!?।॥])\s+")
 _NOT_LATIN = re.compile("[^\u0000-ɏ]")
 
 
@@ -22,51 +23,35 @@ def tokens_of(text: str) -> int:
     return max(1, round((len(text) - other) / 4 + other / 2))
 
 
-def _pieces(text: str, target: int) -> Iterator[str]:
-    """Paragraphs that fit the target, else their sentences, else runs of words that do."""
-    for paragraph in (p.strip() for p in re.split(r"\n[ \t]*\n", text)):
-        if not paragraph:
-            continue
-        if tokens_of(paragraph) <= target:
-            yield paragraph
-            continue
-        for sentence in (s.strip() for s in _SENTENCE_END.split(paragraph)):
-            if sentence and tokens_of(sentence) <= target:
-                yield sentence
-            elif sentence:
-                run: list[str] = []
-                size = 0
-                for word in sentence.split():
-                    n = tokens_of(word)
-                    if run and size + n > target:
-                        yield " ".join(run)
-                        run, size = [], 0
-                    run.append(word)
-                    size += n
-                yield " ".join(run)
+def ranges(sizes: list[int], target: int, budget: float = 0) -> Iterator[tuple[int, int]]:
+    """Index ranges [first, stop) of chunks over units of these sizes, from sums of sizes alone.
+
+    A chunk goes on as long as its sum is within `target`, but takes at least one unit that no chunk has yet. The next
+    one begins at the earliest later unit from which on the units of this one sum up to `budget` at most."""
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    first = stop = 0
+    while stop < len(sizes):
+        stop = max(stop + 1, int(np.searchsorted(total, total[first] + target, "right")) - 1)
+        yield first, stop
+        first = max(first + 1, int(np.searchsorted(total, total[stop] - budget)))
+
+
+def units(text: str, target: int, cuts: tuple[re.Pattern, ...] = (_PARAGRAPH, _SENTENCE)) -> Iterator[str]:
+    """Parts of the text within `target` tokens, as long as may be: paragraphs; of longer ones the sentences; of longer ones
+    runs of words."""
+    if not cuts:
+        words = text.split()
+        yield from (" ".join(words[i:j]) for i, j in ranges([tokens_of(w) for w in words], target))
+        return
+    for part in filter(None, (p.strip() for p in cuts[0].split(text))):
+        yield from [part] if tokens_of(part) <= target else units(part, target, cuts[1:])
 
 
 def chunk_text(text: str, target: int, overlap: float) -> list[str]:
-    """Pieces packed in order up to `target` tokens, joined by an empty line. Each chunk after the first starts with the
-    last pieces of the one before that fit in the overlap, never with all of it; a rest of nothing but overlap is no chunk."""
-    chunks: list[str] = []
-    held: list[tuple[str, int]] = []
-    fresh = 0
-    for piece in _pieces(text, target):
-        n = tokens_of(piece)
-        if fresh and sum(k for _, k in held) + n > target:
-            chunks.append("\n\n".join(p for p, _ in held))
-            carried: list[tuple[str, int]] = []
-            for p, k in reversed(held[1:]):
-                if sum(j for _, j in carried) + k > overlap * target:
-                    break
-                carried.insert(0, (p, k))
-            held, fresh = carried, 0
-        held.append((piece, n))
-        fresh += 1
-    if fresh:
-        chunks.append("\n\n".join(p for p, _ in held))
-    return chunks
+    """Chunks of up to `target` tokens: units joined by an empty line, of which a chunk's first ones repeat up to `overlap` of
+    the target from the end of the chunk before."""
+    parts = list(units(text, target))
+    return ["\n\n".join(parts[i:j]) for i, j in ranges([tokens_of(p) for p in parts], target, overlap * target)]
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, configs: dict[str, tuple[int, float]] | None = None) -> DataFrame:

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder that the session names and read again, so loops don't grow their plans."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{base.rstrip('/')}/corpusloom-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from corpusloom.session import written
 
 
 def undirected_closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -22,15 +13,15 @@ def undirected_closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Labels spread along edges and then jump to the label of their label, so the rounds are few even for long chains.
     Each round reduces per node before it shuffles."""
-    both = _written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    labels = _written(nodes.select("node", F.col("node").alias("component")))
+    labels = written(nodes.select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        spread = _written(spread)
+        spread = written(spread)
         hop = spread.select(F.col("node").alias("_at"), F.col("component").alias("_then"))
-        jumped = _written(spread.join(hop, F.col("component") == F.col("_at")).select("node", "old", F.least("component", "_then").alias("component")))
+        jumped = written(spread.join(hop, F.col("component") == F.col("_at")).select("node", "old", F.least("component", "_then").alias("component")))
         labels = jumped.select("node", "component")
         if jumped.where("component <> old").isEmpty():
             return labels

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +20,19 @@ def make_session(name: str = "corpusloom", master: str | None = None, **conf: st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that driver and executors share, spark.checkpoint.dir, and read again: loops don't grow their
+    plans, nothing is computed twice, and a lost executor costs a re-read. Where the session names no folder, one is made in
+    local mode only; on a cluster executors would write to their own disks."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/corpusloom-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

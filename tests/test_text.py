@@ -1,3 +1,5 @@
+import hashlib
+import random
 """Hand-computed cases of the text functions, and plain versions of those that SQL can't express."""
 
 import statistics
@@ -85,20 +87,43 @@ def test_percentiles(spark):
         assert one(spark, stats.exclusive_quantile(F.col("a"), 19, 20), a=sample) == pytest.approx(statistics.quantiles(sample, n=20)[-1])
 
 
+def test_ranges_of_chunks():
+    """By the definition: each range is the longest allowed one, and each begins as early as the overlap allows."""
+    rng = random.Random(5)
+    for _ in range(500):
+        sizes, target, budget = [rng.randint(1, 12) for _ in range(rng.randint(0, 60))], rng.randint(3, 40), rng.choice([0, 2.5, 6])
+        got = list(chunking.ranges(sizes, target, budget))
+        done = first = 0
+        for i, j in got:
+            assert i == first and j > done
+            assert sum(sizes[i:j]) <= target or j == done + 1
+            assert j == len(sizes) or sum(sizes[i : j + 1]) > target
+            done, first = j, next(k for k in range(i + 1, j + 1) if sum(sizes[k:j]) <= budget)
+        assert done == len(sizes)
+
+
 def test_chunks():
     words = " ".join(f"word{i}" for i in range(900))
     body = "\n\n".join(". ".join(f"s{i} {j} some words here" for j in range(12)) + "." for i in range(30)) + "\n\n" + words
     for target, overlap in chunking.CONFIGS.values():
-        chunks = chunking.chunk_text(body, target, overlap)
-        assert chunks == chunking.chunk_text(body, target, overlap)
-        pieces = [p for c in chunks for p in c.split("\n\n")]
-        want = list(chunking._pieces(body, target))
-        assert list(dict.fromkeys(pieces)) == want  # nothing lost, order kept
-        for c in chunks:
-            assert sum(chunking.tokens_of(p) for p in c.split("\n\n")) <= target * 1.15 + 1
+        parts = list(chunking.units(body, target))
+        assert " ".join(parts).split() == body.split() and all(chunking.tokens_of(p) <= target for p in parts)
+        pieces = [p for c in chunking.chunk_text(body, target, overlap) for p in c.split("\n\n")]
+        assert list(dict.fromkeys(pieces)) == parts  # nothing lost, order kept
+    assert list(chunking.units("a b. c d.\n \nlong " + "x" * 40, 3)) == ["a b. c d.", "long", "x" * 40]
     assert chunking.chunk_text("", 256, 0.15) == [] and chunking.chunk_text("one", 256, 0.15) == ["one"]
 
 
+def test_chunk_query(spark):
+    from corpusloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sorted((r.chunk_config, r.doc_id, r.seq, r.content_hash) for r in QUERIES["chunk_documents"](spark, sf).collect())
+    want = [(name, k, i, hashlib.sha256(c.encode()).hexdigest()) for name, config in chunking.CONFIGS.items() for k, t in texts.items() for i, c in enumerate(chunking.chunk_text(t, *config))]
+    assert got == sorted(want)
+
+
 def test_decontamination(spark):
     from corpusloom.plans import QUERIES
 
