@@ -1,7 +1,7 @@
-import hashlib
-import random
 """Hand-computed cases of the text functions, and plain versions of those that SQL can't express."""
 
+import hashlib
+import random
 import statistics
 
 import pytest
