@@ -1,18 +1,25 @@
 """Secret scans: patterns find candidates in whole texts, a random forest removes false findings.
 
-Candidates and their features are made in Arrow batches; the forest is trained by Spark ML on labelled findings, at most
-MAX_FINDINGS of them, and scores the candidates as a Spark transformation.
+Candidates and their features are made in Arrow batches, over whole values. The dictionary and the model of character
+transitions come from the vocabulary of a public tokenizer; what the words around a candidate, in it and in its path say for
+or against a secret is learned from labelled findings, as is the forest, at most MAX_FINDINGS of them. Spark ML trains the
+forest and scores the candidates as a Spark transformation.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
+import hashlib
 import math
 import random
 import re
 import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -37,13 +44,29 @@ _BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:\s*+[A-Z][A-Za-z-]*+: [^\n]*+\n)*+(?:\s*+[0-9A-Za-z+/=]{20,}+)*+(?:\r?\n[0-9A-Za-z+/=]++(?=\s*?(?:\n|\Z)))?")
 _KINDS = ("private_key", "prefixed", "assigned", "bare")
-# fixed values: words that stand near or in secrets, placeholders and other digests
-SECRET_WORDS = frozenset("password passwd passphrase pwd secret token key apikey credential credentials auth bearer login private access".split())
-PLACEHOLDER_WORDS = frozenset("example sample dummy fake placeholder changeme your test todo redacted xxxx xxxxxx none null default foo bar insert here".split())
-DIGEST_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest etag revision uuid guid hash blob tree integrity fingerprint id version".split())
-DICTIONARY = frozenset("access account admin api app auth base bar build change client code config data default demo dev doc env error example fake file foo get hash here host html http image index info insert item json key list local login main master module name new null page pass password path placeholder private prod public query read redacted request sample secret server service set string sub table temp test text time todo token type update url user value version view web word world write your".split())
-_EXAMPLE_PATH = re.compile(r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|fixtures?|docs?|mock)(?:[/_.-]|$)")
-FEATURES = ("length", "transitions", "entropy", "distinct", "hex", "digits", "dictionary", "longest_letters", "example_path", "near_secret", "near_placeholder", "near_digest", "in_placeholder", "is_assigned", "is_prefixed", "is_bare", "is_private_key")
+FEATURES = ("log_length", "class_changes", "transitions", "entropy", "distinct", "hex", "digits", "dictionary", "longest_letters", "path_odds", "near_odds", "near_least", "value_odds", "value_least", "is_assigned", "is_prefixed", "is_bare", "is_private_key")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\*{3,}")
+_MARKS = {c: i for i, c in enumerate(string.ascii_lowercase)} | dict.fromkeys(string.digits, 26)
+
+
+@functools.lru_cache(1)
+def dictionary() -> frozenset[str]:
+    """Lower-case words of four letters or more in the vocabulary of a public tokenizer: those that stand after a blank."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        tokens = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
+    return frozenset(m[1].decode() for t in tokens if (m := re.fullmatch(rb" ([a-z]{4,20})", t)))
+
+
+@functools.lru_cache(1)
+def transition_table() -> np.ndarray:
+    """Log-probability of each character class after each other one in words: a to z, digits, anything else."""
+    seen = np.full((28, 28), 0.5)
+    for word in dictionary():
+        at = [27, *(_MARKS[c] for c in word), 27]
+        np.add.at(seen, (at[:-1], at[1:]), 1)
+    return np.log(seen / seen.sum(1, keepdims=True))
 
 
 def _private_keys(text: str) -> Iterator[tuple[int, int]]:
@@ -113,41 +136,78 @@ def _class(c: str) -> int:
 
 def _coverage(value: str) -> float:
     """Share of the characters under dictionary words, taken greedily from the left, longest first."""
-    low, i, covered = value.lower()[:400], 0, 0
+    known, low, i, covered = dictionary(), value.lower(), 0, 0
     while i < len(low):
-        n = next((n for n in range(min(11, len(low) - i), 2, -1) if low[i : i + n] in DICTIONARY), 0)
+        n = next((n for n in range(min(14, len(low) - i), 3, -1) if low[i : i + n] in known), 0)
         covered += n
         i += n or 1
     return covered / max(1, len(low))
 
 
-def features(text: str, start: int, stop: int, kind: str, path: str | None) -> list[float]:
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(text)]
+
+
+def neighbours(text: str, start: int, stop: int) -> list[str]:
+    """The six words before a candidate and the three after it, of those within 60 and 40 characters."""
+    return words_of(text[max(0, start - 60) : start])[-6:] + words_of(text[stop : stop + 40])[:3]
+
+
+@dataclass(frozen=True)
+class Odds:
+    """Log-odds of a secret, given a word at one of three places: beside the candidate, in it, and in its path."""
+
+    near: dict[str, float]
+    value: dict[str, float]
+    path: dict[str, float]
+
+    @staticmethod
+    def learn(findings: list[tuple[str, str | None, int]], least: int = 5) -> Odds:
+        """From labelled findings: words that at least `least` of them have, each counted once a finding."""
+        counts = [{0: Counter(), 1: Counter()} for _ in range(3)]
+        of = Counter()
+        for text, path, label in findings:
+            for start, stop, _ in candidates(text):
+                of[label] += 1
+                for held, words in zip(counts, (neighbours(text, start, stop), words_of(text[start:stop]), words_of(path or "")), strict=True):
+                    held[label].update(set(words))
+        rate = lambda held, label, w: (held[label][w] + 1) / (of[label] + 2)
+        return Odds(*({w: math.log(rate(held, 1, w) / rate(held, 0, w)) for w in held[0].keys() | held[1].keys() if held[0][w] + held[1][w] >= least} for held in counts))
+
+
+def features(text: str, start: int, stop: int, kind: str, path: str | None, odds: Odds) -> list[float]:
     value = text[start:stop]
     n = len(value)
-    classes = [_class(c) for c in value[:4000]]
+    classes = [_class(c) for c in value]
     counts = Counter(value)
-    before = re.findall(r"\w+", text[max(0, start - 60) : start].lower())[-6:]
-    after = re.findall(r"\w+", text[stop : stop + 40].lower())[:3]
-    near = {w for word in (*before, *after) for w in (word, *word.split("_"))}
-    low = value.lower()
+    at = np.fromiter((_MARKS.get(c, 27) for c in value.lower()), np.int64)
+    near = [odds.near.get(w, 0.0) for w in neighbours(text, start, stop)]
+    inner = [odds.value.get(w, 0.0) for w in words_of(value)]
     return [
-        float(min(n, 4000)),
-        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, len(classes) - 1),
+        math.log(n),
+        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, n - 1),
+        float(transition_table()[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0,
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         len(counts) / n,
         sum(c in "0123456789abcdefABCDEF" for c in value) / n,
         sum(c.isdigit() for c in value) / n,
         _coverage(value),
-        float(max((len(m) for m in re.findall(r"[A-Za-z]+", value[:4000])), default=0)),
-        float(bool(path and _EXAMPLE_PATH.search(path))),
-        float(bool(near & SECRET_WORDS)),
-        float(bool(near & PLACEHOLDER_WORDS)),
-        float(bool(near & DIGEST_WORDS)),
-        float(any(w in low for w in ("example", "your", "changeme", "xxxx", "placeholder", "dummy", "sample", "redacted", "****", "1234567", "abcdef"))),
+        math.log1p(max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0)),
+        float(sum(odds.path.get(w, 0.0) for w in words_of(path or ""))),
+        float(sum(near)),
+        min(near, default=0.0),
+        float(sum(inner)),
+        min(inner, default=0.0),
         *(float(kind == k) for k in ("assigned", "prefixed", "bare", "private_key")),
     ]
 
 
+@dataclass(frozen=True)
+class SecretModel:
+    forest: RandomForestClassificationModel
+    odds: Odds
+
+
 def made_findings(n: int, seed: int = 7) -> list[tuple[str, str, int]]:
     """(text, path, label) of made-up findings, half of them secrets: the labelled table where none is given."""
     rng = random.Random(seed)
@@ -159,6 +219,8 @@ def made_findings(n: int, seed: int = 7) -> list[tuple[str, str, int]]:
     name = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "db_password", "pwd"])
     join = lambda: rng.choice(["=", " = ", ": ", ":", " => "])
     quote = lambda v: rng.choice([v, f'"{v}"', f"'{v}'"])
+    # fixed values: words of names in code, and of values that stand for none
+    code = "access account admin api app base build change client code config data default demo dev env error file get hash host http image index info item json key list local login main master module name new page path prod public query read request server service set string table temp test text time token type update url user value version view web".split()
     out = []
     for i in range(n):
         if i % 2:
@@ -169,7 +231,7 @@ def made_findings(n: int, seed: int = 7) -> list[tuple[str, str, int]]:
                 "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum, 30), "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----",
             ])
         else:
-            ident = "_".join(rng.choices(sorted(DICTIONARY), k=rng.randint(2, 4)))
+            ident = "_".join(rng.choices(code, k=rng.randint(2, 4)))
             what = rng.choice([
                 name() + join() + quote(rng.choice(["changeme", "your_token_here", "your-api-key", "xxxxxxxxxxxx", "example", "placeholder", "<password>", "********", "dummy_value", "EXAMPLEKEY1234567"])),
                 name() + join() + ident, name() + join() + f"os.environ.{ident.upper()}", name() + join() + f"get_{ident}()", name() + join() + words(1) + words(1),
@@ -182,20 +244,33 @@ def made_findings(n: int, seed: int = 7) -> list[tuple[str, str, int]]:
     return out
 
 
-def labelled_rows(findings: Iterable[tuple[str, str | None, int]]) -> list[tuple[float, list[float]]]:
+def labelled_rows(findings: Iterable[tuple[str, str | None, int]], odds: Odds) -> list[tuple[float, list[float]]]:
     """Every candidate of each labelled text, with its label."""
-    return [(float(label), features(text, *c, path)) for text, path, label in findings for c in candidates(text)]
+    return [(float(label), features(text, *c, path, odds)) for text, path, label in findings for c in candidates(text)]
+
 
+def choose(findings: list[tuple[str, str | None, int]], most: int = MAX_FINDINGS) -> list[tuple[str, str | None, int]]:
+    """Up to `most` findings, half of them of each label as far as there are so many, those with the smallest hashes: the
+    order of the list, and what it is sorted by, don't matter."""
+    ranked = sorted(findings, key=lambda f: hashlib.blake2b(f"{f[1]}\0{f[0]}".encode(errors="surrogatepass"), digest_size=8).digest())
+    real, false = ([f for f in ranked if bool(f[2]) == label] for label in (True, False))
+    n = min(len(real), max(most // 2, most - len(false)))
+    return real[:n] + false[: most - n]
 
-def train(spark: SparkSession, findings: list[tuple[str, str | None, int]] | None = None, trees: int = 40, depth: int = 10, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest from labelled findings (text around one candidate, path, 1 for a secret); made-up ones by default."""
-    rows = labelled_rows((made_findings(MAX_FINDINGS, seed) if findings is None else findings)[:MAX_FINDINGS])
+
+def train(spark: SparkSession, findings: list[tuple[str, str | None, int]] | None = None, trees: int = 40, depth: int = 10, seed: int = 7) -> SecretModel:
+    """A model from labelled findings (text around one candidate, path, 1 for a secret), of which `choose` takes a bounded
+    number; made-up ones by default. The odds of words are learned from every third one, the forest from the others, so that
+    it doesn't trust the odds more than it should. A null path says nothing; findings without a candidate are of no use."""
+    chosen = choose(made_findings(MAX_FINDINGS, seed) if findings is None else findings)
+    odds = Odds.learn(chosen[::3])
+    rows = labelled_rows([f for i, f in enumerate(chosen) if i % 3], odds)
     frame = spark.createDataFrame([(label, *x) for label, x in rows], ", ".join(["label double", *(f"{f} double" for f in FEATURES)])).coalesce(1)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(frame)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(assembled)
+    return SecretModel(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(assembled), odds)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: `id_col`, text_hash, start and length (code points), kind, secret_sha256, score, is_secret.
 
     A text of which nothing is suspicious, a null or an empty one gives no rows; repeated rows give repeated findings. The secret
@@ -205,6 +280,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), path.cast("string").alias("_path")).where(F.length("_text") >= 6).withColumn("_hash", F.xxhash64("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
+    odds = model.odds  # as many words as the labelled findings have, at most
+
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found, values = [], [], []
@@ -213,7 +290,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
                 for start, stop, name in candidates(text):
                     at.append(i)
                     found.append((start, stop - start, name, text[start:stop]))
-                    values.append(features(text, start, stop, name, path.as_py()))
+                    values.append(features(text, start, stop, name, path.as_py(), odds))
             if at:
                 take = pa.array(at)
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)]
@@ -221,7 +298,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 
     schema = f"_id {kind}, text_hash long, start int, length_ int, kind string, value string, " + ", ".join(f"{f} double" for f in FEATURES)
     found = rows.mapInArrow(find, schema).withColumn("secret_sha256", F.sha2("value", 256)).drop("value")
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
+    scored = model.forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     score = F.round(vector_to_array("probability")[1], 6)
     return scored.select(F.col("_id").alias(id_col), "text_hash", "start", F.col("length_").alias("length"), "kind", "secret_sha256", score.alias("score"), (score >= threshold).alias("is_secret"))
 

@@ -95,3 +95,21 @@ def test_spans_of_candidates():
         began = time.process_time()
         secrets.candidates(long)
         assert time.process_time() - began < 2
+
+
+def test_chosen_findings():
+    """A bounded sample by hash: half of each label however the list is sorted, and independent of its order."""
+    findings = [(f"token={i:040x}", "a", int(i >= 900)) for i in range(1000)]
+    got = secrets.choose(findings, 100)
+    assert len(got) == 100 and sum(f[2] for f in got) == 50 and secrets.choose(findings[::-1], 100) == got
+    assert sum(f[2] for f in secrets.choose(findings, 400)) == 100 and len(secrets.choose(findings, 400)) == 400 and len(secrets.choose(findings, 5000)) == 1000
+
+
+def test_features_are_of_whole_values():
+    odds = secrets.Odds({"commit": -2.0}, {"example": -3.0}, {"tests": -1.0})
+    value = "Kx7" * 3000 + "thinking" * 1000
+    row = dict(zip(secrets.FEATURES, secrets.features(f"commit {value} x", 7, 7 + len(value), "bare", "src/tests/a.py", odds), strict=True))
+    assert row["dictionary"] > 0.45 and row["hex"] < 0.6 and row["near_odds"] == -2 and row["path_odds"] == -1
+    assert row["digits"] == 3000 / len(value) and row["log_length"] > 9.7
+    plain, noise = (secrets.features(v, 0, len(v), "bare", None, odds)[2] for v in ("something wonderful", "xq9zk2jv7wq4zx8kqj1"))
+    assert plain > noise + 1
