@@ -25,7 +25,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on 5-word shingles, the one with the smallest id stays. Documents
-    without an id stay."""
+    without an id stay, and link no others."""
     groups = simhash.near_duplicate_groups(docs, **simhash.NEAR_COPIES)
     name = free_name(docs, "_gone")
     gone = materialize(groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct())

@@ -4,22 +4,24 @@ Fingerprints are computed in Arrow batches. Their bits are put in groups, correl
 gives each group its own threshold so that the estimated work is least: with thresholds t_i and sum(t_i + 1) = k + 1, two
 fingerprints within k bits agree in some group i but for t_i bits at most. Every distinct fingerprint goes under its keys
 (a group's bits without any t_i of them); under a key, candidates are verified bit by bit, and only enough links to hold
-a component together come out, never all pairs.
+a component together come out, never all pairs. Near copies by Jaccard similarity are found in the same way, by wider limits,
+and then decided on by the shingles of those documents that have a candidate.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.common import free_name, materialize, text_of
 from corpusloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -28,9 +30,12 @@ SAMPLE = 20_000
 #: Neighbouring sizes are a factor of this apart: shingle sets with a Jaccard similarity of 0.8 differ by less.
 _SIZE_STEP = 1.25
 #: For near copies, with a Jaccard similarity of 0.8 or more on 5-word shingles. At 0.8 a bit differs with probability 0.15:
-#: 10 of the first 64 bits are expected to, and 29 of the 192 further ones. The first 64 find candidates, the further
-#: ones and the sizes decide.
-NEAR_COPIES = {"shingle_words": 5, "distance": 13, "more_words": 3, "more_distance": 35}
+#: 10 of the first 64 bits are expected to, and 29 of the 192 further ones. Within these limits are 97 and 99.5 % of pairs at
+#: 0.8; such pairs are candidates, which the shingles themselves decide on.
+NEAR_COPIES = {"shingle_words": 5, "similarity": 0.8, "distance": 15, "more_words": 3, "more_distance": 42}
+#: Sets of so few shingles have too rough a fingerprint. They are candidates by their least hashes, of which similar ones
+#: must share one, whatever their fingerprints.
+SMALL_SET = 25
 _KEY_COST, _CHECK_COST = 1e-6, 2e-9
 
 
@@ -65,25 +70,30 @@ def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, more_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, fp long, more array<long>, size int) per row. A bit of fp is 1 if set in over half of the shingle hashes;
-    a text without words, or null, has fp zero. `more`: as many further 64-bit words of fingerprint as asked for, made of
-    the set of shingles. size: how many different shingles there are. Other columns are dropped."""
-    schema = docs.select(id_col, F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("more"), F.lit(0).alias("size")).schema
+def fingerprints(docs: DataFrame, shingle_words: int = 4, more_words: int = 0, id_col: str = "doc_id", text_col: str = "text", as_set: bool = False, similarity: float = 0.0, with_hashes: bool = False) -> DataFrame:
+    """(`id_col`, fp long, more array<long>, size int, least array<long>, hashes binary) per row. A bit of fp is 1 if set in over
+    half of the shingle hashes, each counted once with `as_set`; a text without words, or null, has fp zero. `more`: as many
+    further 64-bit words of fingerprint as asked for, made of the set of shingles. size: how many different shingles there are.
+    least: where there are up to SMALL_SET and a `similarity` is given, so many of the least hashes that two sets of that Jaccard
+    similarity share one. hashes: the sorted 64-bit hashes if asked for, else null. Other columns are dropped."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more, sizes = [], [], []
+            fps, more, sizes, least, hashes = [], [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle_words)
-                fps.append(_majority(h))
                 own = np.unique(h)
-                sizes.append(len(own))
+                n = len(own)
+                fps.append(_majority(own if as_set else h))
+                sizes.append(n)
                 more.append(np.array([_majority(_more_bits(own, k + 1)) for k in range(more_words)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(more, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["id", "fp", "more", "size"])
+                least.append(own[: n - math.ceil(similarity * n - 1e-9) + 1 if similarity and n <= SMALL_SET else 0].view(np.int64))
+                hashes.append(own.tobytes() if with_hashes else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(more, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(hashes, pa.binary())], names=["id", "fp", "more", "size", "least", "hashes"])
 
-    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text")).mapInArrow(compute, "id " + docs.select(id_col).schema[0].dataType.simpleString() + ", fp long, more array<long>, size int")
-    return named.withColumnRenamed("id", id_col).select(*schema.names)
+    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text")).mapInArrow(compute, f"id {kind}, fp long, more array<long>, size int, least array<long>, hashes binary")
+    return named.withColumnRenamed("id", id_col)
 
 
 def group_bits(sample: np.ndarray, groups: int) -> list[list[int]]:
@@ -145,16 +155,17 @@ def _keys(fp: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterator[np.ndar
             yield _more_bits(fp & mask, 1 + g * 4096 + c)
 
 
-def _links(fp: np.ndarray, more: np.ndarray, size: np.ndarray, node: np.ndarray, distance: int, more_distance: int) -> Iterator[tuple[int, int]]:
-    """Links that hold the components among rows under one key together: each row found is linked to its finder once,
-    and leaves the rows still to be found, so dense groups cost little more than one look at each row."""
+def _clusters(fp: np.ndarray, more: np.ndarray, size: np.ndarray, distance: int, more_distance: int) -> Iterator[np.ndarray]:
+    """Rows under one key that links hold together, two or more: each row found leaves those still to be found, so dense
+    groups cost little more than one look at each row."""
     rest = np.arange(len(fp))
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
+        own = list(queue)
         while queue and len(rest):
             x = queue.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]) <= distance
-            if near.any() and more.shape[1]:
+            if more.shape[1] and near.any():
                 at = np.flatnonzero(near)
                 other = rest[at]
                 apart = np.bitwise_count(more[other] ^ more[x]).sum(1)
@@ -162,79 +173,165 @@ def _links(fp: np.ndarray, more: np.ndarray, size: np.ndarray, node: np.ndarray,
                 near[at[(apart > more_distance) | (ratio < 1 / _SIZE_STEP)]] = False
             if near.any():
                 found = rest[near]
-                for y in found.tolist():
-                    yield int(node[x]), int(node[y])
+                own += found.tolist()
                 queue += found.tolist()
                 rest = rest[~near]
+        if len(own) > 1:
+            yield np.array(own)
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """Rows that Jaccard similarities of at least `similarity` hold together, two or more. `sets`: sorted hashes. How many
+    hashes a row shares with each other one is counted by looking its hashes up among all of them, sorted."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], np.repeat(np.arange(len(sets)), size)[order]
+    rest = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        queue, own = [first], [first]
+        while queue and rest.any():
+            x = queue.pop()
+            low, high = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
+            runs = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum()) if len(runs) else runs
+            shared = np.bincount(of[at], minlength=len(sets))
+            found = np.flatnonzero(rest & (shared >= similarity * (size + size[x] - shared) - 1e-9))
+            rest[found] = False
+            own += found.tolist()
+            queue += found.tolist()
+        if len(own) > 1:
+            yield np.array(own)
+
+
+def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table, int, int], Iterator[tuple]], flush: int = 100_000) -> DataFrame:
+    """What `work` makes of each group of rows with one `key`: the table and the group's first and last place in it."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
 
+        def close(last: bool) -> pa.RecordBatch:
+            nonlocal held, n
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table["key"].to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)] if last else []]).astype(int)
+            out = [x for i, j in itertools.pairwise(bounds) if j - i > 1 for x in work(table, i, j)]
+            held = [] if last else table.slice(bounds[-1]).to_batches()
+            n = 0
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
 
-def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, more_distance: int = 0) -> DataFrame:
-    """Links (a, b) between rows (node, fp, more, size), distinct fingerprints, at most `distance` bits apart in fp and, where there are
-    further words, `more_distance` in those, with sizes of a ratio of at least 0.8. Not all links: as many as keep the components."""
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= flush:
+                    yield close(last=False)
+        if held:
+            yield close(last=True)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(go, schema)
+
+
+def _under_keys(prints: DataFrame, plan: list[tuple[list[int], int]], by_size: bool) -> DataFrame:
+    """(key, by_least, node, fp, more, size): every row of `prints` under each of its keys, and, small sets, under its least
+    hashes (by_least 1)."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "by_least", "node", "fp", "more", "size"]
         for batch in batches:
             fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             step = np.floor(np.log(np.maximum(1, batch.column(3).to_numpy(zero_copy_only=False))) / math.log(_SIZE_STEP)).astype(np.uint64)
             # with sizes compared, a row also goes under its keys with the next size step, where rows of that step are
-            steps = [step, step + np.uint64(1)] if more_distance else [np.zeros_like(step)]
+            steps = [step, step + np.uint64(1)] if by_size else [np.zeros_like(step)]
+            rows = [batch.column(i) for i in range(4)]
             for key in _keys(fp, plan):
                 for s in steps:
-                    yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ s, 99).view(np.int64)), *batch.columns], names=["key", "node", "fp", "more", "size"])
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
-            key = table["key"].to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            bounds = np.concatenate([[0], cuts, [len(key)] if last else []]).astype(int)
-            if len(bounds) < 2:
-                return None, table
-            node, fp, size = (table[c].to_numpy() for c in ("node", "fp", "size"))
-            fp = fp.view(np.uint64)
-            more = table["more"].combine_chunks()
-            flat = more.values.to_numpy(zero_copy_only=False).view(np.uint64)[more.offsets[0].as_py() : more.offsets[-1].as_py()].reshape(len(key), -1) if len(key) else np.zeros((0, 0), np.uint64)
-            pairs = [p for i, j in itertools.pairwise(bounds) if j - i > 1 for p in _links(fp[i:j], flat[i:j], size[i:j], node[i:j], distance, more_distance)]
-            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            return out, None if last else table.slice(bounds[-1])
-
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 100_000:
-                out, kept = close(pa.Table.from_batches(held), last=False)
-                held, rows = (kept.to_batches() if kept is not None else []), 0
-                if out is not None:
-                    yield out
-        if held:
-            yield close(pa.Table.from_batches(held), last=True)[0]
-
-    keyed = prints.select("node", "fp", "more", "size").mapInArrow(spread, "key long, node long, fp long, more array<long>, size int")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
-
-
-def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int = 4, more_words: int = 0, more_distance: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ s, 99).view(np.int64)), pa.array(np.zeros(len(fp), np.int32)), *rows], names=names)
+            least = batch.column(4)
+            at = pa.array(np.repeat(np.arange(len(fp)), pc.list_value_length(least).fill_null(0).to_numpy(zero_copy_only=False)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pc.list_flatten(least), pa.array(np.ones(len(at), np.int32)), *(c.take(at) for c in rows)], names=names)
+
+    return prints.select("node", "fp", "more", "size", "least").mapInArrow(spread, "key long, by_least int, node long, fp long, more array<long>, size int")
+
+
+def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, more_distance: int = 0, groups: bool = False) -> DataFrame:
+    """Links (a, b) between rows (node, fp, more, size, least), distinct fingerprints, at most `distance` bits apart in fp and, where
+    there are further words, `more_distance` in those, with sizes of a ratio of at least 0.8. Not all links: as many as keep the
+    components. With `groups`, rows (key, node) in their place: groups of nodes that such links, or a common least hash, hold
+    together, each group once however many keys it was found under."""
+
+    def verify(table: pa.Table, i: int, j: int) -> Iterator[tuple]:
+        part = table.slice(i, j - i)
+        node, fp, size = (part[c].to_numpy() for c in ("node", "fp", "size"))
+        if part["by_least"][0].as_py():
+            found: Iterable[np.ndarray] = [np.arange(j - i)]
+        else:
+            more = part["more"].combine_chunks()
+            flat = more.values.to_numpy(zero_copy_only=False).view(np.uint64)[more.offsets[0].as_py() : more.offsets[-1].as_py()].reshape(j - i, -1)
+            found = _clusters(fp.view(np.uint64), flat, size, distance, more_distance)
+        for own in found:
+            if groups:
+                members = np.unique(node[own])
+                key = int(np.array([xxhash.xxh64_intdigest(members.tobytes())], np.uint64).view(np.int64)[0])
+                yield from ((key, m) for m in members.tolist())
+            else:
+                yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
+
+    keyed = _under_keys(prints, plan, by_size=bool(more_distance))
+    return _by_key(keyed, "key long, node long" if groups else "a long, b long", verify).distinct()
+
+
+def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that keep the components of exact Jaccard similarities of at least `similarity` within each group of
+    `members` (key, node). `sets`: (node, hashes)."""
+
+    def verify(table: pa.Table, i: int, j: int) -> Iterator[tuple]:
+        part = table.slice(i, j - i)
+        node = part["node"].to_numpy()
+        for own in _similar([np.frombuffer(x.as_buffer(), np.uint64) for x in part["hashes"].combine_chunks()], similarity):
+            yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
+
+    return _by_key(members.join(sets, "node").select("key", "node", "hashes"), "a long, b long", verify, flush=4_000).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int = 4, more_words: int = 0, more_distance: int = 0, similarity: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id_col`, fp long, component_id) per row of `docs`: the least id reachable over links, the row's own included.
 
-    Null and empty texts have fp zero and are linked to each other. Rows with equal fingerprints are linked; they are
-    first reduced to one. Repeated rows give repeated rows; a null id is left out of the minimum. No links are capped:
-    the largest group under a key costs its task 8 bytes a distinct fingerprint (more with `more_words`) and no pairs.
+    Without `similarity`, fingerprints at most `distance` bits apart link. With it, fingerprints only find candidates, and links
+    are pairs of a Jaccard similarity of at least `similarity` on the sets of shingles; a row without an id isn't linked then.
+    Null and empty texts have fp zero and are linked to each other. Rows with equal fingerprints, further words and sizes
+    are linked; they are first reduced to one. Repeated rows give repeated rows; a null id is left out of the minimum. No links
+    are capped, and no pairs are sent: a group under a key costs its task its distinct fingerprints, and where shingles decide,
+    those of the members that have a candidate.
     """
-    prints = materialize(fingerprints(docs, shingle_words, more_words, id_col, text_col).withColumn("node", F.col("fp") if not more_words else F.xxhash64("fp", "more", "size")))
-    nodes = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("size").alias("size"), F.min(id_col).alias("least")))
+    prepare = lambda rows, sets: fingerprints(rows, shingle_words, more_words, id_col, text_col, as_set=bool(similarity), similarity=similarity, with_hashes=sets).withColumn("node", F.col("fp") if not more_words else F.xxhash64("fp", "more", "size"))
+    prints = materialize(prepare(docs, False).drop("hashes"))
+    known = prints.where(F.col(id_col).isNotNull()) if similarity else prints
+    nodes = materialize(known.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("size").alias("size"), F.first("least").alias("least"), F.min(id_col).alias("first_id")))
     rows = nodes.count()
     sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("node"), "node").select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     if rows < 2:
-        return prints.join(nodes.select("node", F.col("least").alias("component_id")), "node").select(id_col, "fp", "component_id")
+        return prints.join(nodes.select("node", F.col("first_id").alias("component_id")), "node", "left").select(id_col, "fp", "component_id")
     plan = allocate(sample, distance, rows if not more_distance else rows / 4)
-    links = materialize(link(nodes, plan, distance, more_distance).distinct())
+    links = materialize(link(nodes, plan, distance, more_distance, groups=bool(similarity)))
+    if similarity:
+        # the shingles of one document per node that has a candidate, and of no others
+        asked = materialize(nodes.join(links.select("node").distinct(), "node").select("node", F.col("first_id").alias("_asked")))
+        name = free_name(docs, "_asked")
+        chosen = docs.join(asked.select(F.col("_asked").alias(name)).distinct(), F.col(id_col) == F.col(name), "left_semi")
+        sets = prepare(chosen, True).select("node", "hashes").join(asked, "node", "left_semi")
+        links = materialize(similar_links(links, materialize(sets.dropDuplicates(["node"])), similarity))
     parts = connected_components(links)
-    labelled = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "least", "component")
+    labelled = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "first_id", "component")
     labelled = materialize(labelled)
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_node = materialize(labelled.join(least, "component").select("node", "component_id"))
-    return prints.join(of_node, "node").select(id_col, "fp", "component_id")
+    if not similarity:
+        return prints.join(of_node, "node").select(id_col, "fp", "component_id")
+    return known.join(of_node, "node").select(id_col, "fp", "component_id").unionByName(prints.where(F.col(id_col).isNull()).select(id_col, "fp", F.col(id_col).alias("component_id")))

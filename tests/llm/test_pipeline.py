@@ -58,15 +58,16 @@ def test_near_copies(spark, stages):
         for b in keys[:i]:
             j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
             near[a], near[b] = max(near[a], j), max(near[b], j)
-            if j >= 0.85:
+            if j >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     groups = defaultdict(list)
     for k in keys:
         groups[find(k)].append(k)
-    for own in groups.values():  # one at most of a group of copies stays
-        assert sum(k in after for k in own) <= 1
-    assert all(k in after for k in keys if near[k] < 0.5)
+    # one of a group of copies stays; candidates are found by fingerprints, so a few may be missed
+    too_many = sum(sum(k in after for k in own) - 1 for own in groups.values())
+    assert too_many <= 0.02 * sum(len(own) - 1 for own in groups.values())
+    assert all(k in after for k in keys if near[k] < 0.8) and all(any(k in after for k in own) for own in groups.values())
     assert all(after[k].text == before[k].text for k in after)
 
 
