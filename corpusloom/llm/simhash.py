@@ -36,6 +36,8 @@ NEAR_COPIES = {"shingle_words": 5, "similarity": 0.8, "distance": 15, "more_word
 #: Sets of so few shingles have too rough a fingerprint. They are candidates by their least hashes, of which similar ones
 #: must share one, whatever their fingerprints.
 SMALL_SET = 25
+#: Fingerprints under one key that a task takes at once; a key with more, as estimated from every 64th, is divided.
+MAX_UNDER_KEY = 200_000
 _KEY_COST, _CHECK_COST = 1e-6, 2e-9
 
 
@@ -260,7 +262,28 @@ def _under_keys(prints: DataFrame, plan: list[tuple[list[int], int]], by_size: b
     return prints.select("node", "fp", "more", "size", "least").mapInArrow(spread, "key long, by_least int, node long, fp long, more array<long>, size int")
 
 
-def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, more_distance: int = 0, groups: bool = False) -> DataFrame:
+def _divided(prints: DataFrame, keyed: DataFrame, plan: list[tuple[list[int], int]], distance: int, by_size: bool, most: int) -> DataFrame:
+    """`keyed`, with keys of more than `most` rows replaced by `distance` + 1 keys each: the 64 bits in so many parts, of which
+    two fingerprints within `distance` share one. Which keys those are only decides how the work is dealt, so an estimate
+    from a sample of the fingerprints will do; what is found is the same."""
+    every = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)) == 0
+    hot = materialize(_under_keys(prints.where(every), plan, by_size).where("by_least = 0").groupBy("key").count().where(F.col("count") > most / 64).select("key", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return keyed
+    masks = [sum(1 << b for b in range(64 * i // (distance + 1), 64 * (i + 1) // (distance + 1))) for i in range(distance + 1)]
+
+    def divide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, mask in enumerate(masks):
+                yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ _more_bits(fp & np.uint64(mask), 1 + i), 98).view(np.int64)), *batch.columns[1:]], names=batch.schema.names)
+
+    marked = keyed.join(hot, "key", "left")
+    return marked.where("hot IS NULL").drop("hot").unionByName(marked.where("hot").drop("hot").mapInArrow(divide, keyed.schema))
+
+
+def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, more_distance: int = 0, groups: bool = False, most: int = MAX_UNDER_KEY) -> DataFrame:
     """Links (a, b) between rows (node, fp, more, size, least), distinct fingerprints, at most `distance` bits apart in fp and, where
     there are further words, `more_distance` in those, with sizes of a ratio of at least 0.8. Not all links: as many as keep the
     components. With `groups`, rows (key, node) in their place: groups of nodes that such links, or a common least hash, hold
@@ -283,7 +306,7 @@ def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, mo
             else:
                 yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
 
-    keyed = _under_keys(prints, plan, by_size=bool(more_distance))
+    keyed = _divided(prints, _under_keys(prints, plan, bool(more_distance)), plan, distance, bool(more_distance), most)
     return _by_key(keyed, "key long, node long" if groups else "a long, b long", verify).distinct()
 
 

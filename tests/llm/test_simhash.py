@@ -58,8 +58,9 @@ def test_links_keep_all_components(spark):
         plan = simhash.allocate(sample, 4, rows)
         assert sum(t + 1 for _, t in plan) == 5
         assert sorted(b for g, _ in plan for b in g) == sorted({b for g, _ in plan for b in g})
-        got = {r.node: r.component for r in connected_components(simhash.link(prints, plan, 4)).collect()}
-        assert {k: got.get(k, k) for k in want} == want
+        for most in (simhash.MAX_UNDER_KEY, 1):  # also with keys that are divided
+            got = {r.node: r.component for r in connected_components(simhash.link(prints, plan, 4, most=most)).collect()}
+            assert {k: got.get(k, k) for k in want} == want
 
 
 def test_thresholds_follow_the_size():
