@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the largest filter (8 MB). A larger key set makes a fuller filter, which lets more rows through to the
-#: exact step behind it, up to all of them; it never loses a row.
-MAX_BITS = 1 << 26
+#: Bits of the largest filter (16 MB). A larger key set makes a fuller filter, which lets more rows through to the exact
+#: step behind it, in the end all of them; it never loses a row, and there is no size from which on it isn't used.
+MAX_BITS = 1 << 27
 
 
-def build_bloom(keys: DataFrame, column: str, rows: int, max_bits: int = MAX_BITS) -> np.ndarray | None:
-    """Words of a filter over the non-null longs of `column`. `rows`: how many there are, at most. None: a filter of the
-    largest size would be so full that it isn't worth sending, so callers must treat every row as a possible member."""
+def build_bloom(keys: DataFrame, column: str, rows: int, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Words of a filter over the non-null longs of `column`. `rows`: about how many there are."""
     bits = 1 << 16
     while bits < min(16 * max(1, rows), max_bits):
         bits *= 2
-    if rows > 2 * bits:
-        return None
     shift = 64 - bits.bit_length() + 1
     k = F.col(column)
     first = F.shiftrightunsigned(k, shift)
@@ -40,16 +36,3 @@ def in_bloom(words: np.ndarray, keys: np.ndarray, second: np.ndarray) -> np.ndar
         at = k.view(np.uint64) >> shift
         found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
     return found
-
-
-def bloom_column(spark, words: np.ndarray | None, key: str) -> Column:
-    """True where the long column `key` may be in the filter."""
-    if words is None:
-        return F.lit(True)
-    shared = spark.sparkContext.broadcast(words)  # 8 MB at most
-
-    @F.pandas_udf("boolean")
-    def member(k: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series(in_bloom(shared.value, k.to_numpy(np.int64), second.to_numpy(np.int64)))
-
-    return member(F.col(key), F.xxhash64(F.col(key)))

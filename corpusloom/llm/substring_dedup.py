@@ -1,12 +1,13 @@
-"""Substring dedup by hashes of fixed windows of words, partitioned by minimizers, in place of suffix trees.
-
-The contract asks only whether a window of `window` words occurs elsewhere, which equal hashes tell: no suffix is sorted, no
-common prefix compared, and there are no tree nodes. A window belongs to the group of its anchor, the least-hashed 5-word
-sequence within it: equal windows have equal anchors. Pass 1 finds the anchors that more than one document has; other
-groups can't hold a repeat between documents, and a Bloom filter of bounded size keeps most of their windows from being
-sent. Pass 2 sends the rest to their groups. Where an anchor's group would be too large for memory, its windows are
-partitioned by the hash of the whole and reduced by aggregation before anything is gathered. Within a group, windows
-sorted by hash and document give the repeats, and the first document of each.
+"""Substring dedup by prefix-partitioned suffix trees over sampled suffixes.
+
+Suffixes are sampled: of each window, the one that starts at its anchor, the least-hashed 5-word sequence in it, so that
+equal windows sample equal suffixes. A suffix belongs to the group of its prefix, the anchor; it brings the words of the
+windows around it. Pass 1 counts prefixes: those of one document only can't begin a repeat between documents. Groups that
+fit in memory are sorted into two trees, of the suffixes and of the words before them read backwards; their internal nodes
+are the runs of neighbours with so many words in common, and a window is a node of the one at one depth with a node of the
+other at the rest of it. Where a prefix has more suffixes than a group may, its suffixes are partitioned by longer ones, the
+whole windows, which need no tree: all suffixes of such a group are one node, and are reduced before they are sent.
+Consecutive windows found give the maximal repeats.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from corpusloom.llm.common import materialize, text_of
 from corpusloom.llm.words import rolling, window_minima, word_hashes
 
 WINDOW, ANCHOR = 13, 5
-#: Suffixes of one anchor that one task may gather: above, the prefix grows. Groups of this size are some MB.
-MAX_GROUP = 50_000
+#: Suffixes of one prefix that one task may gather, some 20 MB: above, the prefix grows. It doesn't depend on the corpus.
+MAX_GROUP = 200_000
 
 
 def _suffixes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +55,20 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return held.where("least < most").select("a", "n")
 
 
-def _candidates(docs: DataFrame, bloom: np.ndarray | None, hot: np.ndarray, window: int, of_hot: bool) -> DataFrame:
-    """Suffixes of shared anchors. For ordinary ones a row (a, _id, _row, pos, nodes): the anchor, and the hashes of the
-    windows from `pos` on that have it. For hot ones (node, check, _id, _row, pos): a row per suffix under its whole window."""
+def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int, of_hot: bool) -> DataFrame:
+    """Suffixes whose prefix may be in the filter `shared`. For those not in `hot` a row (a, _id, _row, pos, left, words): the
+    hash of the prefix; the first window that sampled it, how many words of it come before the suffix; and the words from
+    there to the end of the last such window, 32 bits each. For those that may be in `hot` (node, check, _id, _row, pos): a
+    row per window, two hashes of the whole. What is in `hot` by chance is treated like the rest: all copies alike."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((bloom, hot))  # both of bounded size
+    filters = spark.sparkContext.broadcast((shared, hot))  # both of bounded size
     kind = docs.schema["_id"].dataType.simpleString()
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, hot = shared.value
+        shared, hot = filters.value
+        join = lambda parts: np.concatenate(parts)
         for batch in batches:
-            of, pos, anchor, nodes, lengths, checks = [], [], [], [], [], []
+            of, pos, anchor, left, nodes, lengths, checks = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 words = word_hashes(text.as_py())
                 at, grams = _suffixes(words, window)
@@ -72,36 +76,39 @@ def _candidates(docs: DataFrame, bloom: np.ndarray | None, hot: np.ndarray, wind
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 own = grams[at[starts]]
-                is_hot = np.isin(own, hot)
-                keep = is_hot if of_hot else ~is_hot
-                if bloom is not None and not of_hot:
-                    keep &= in_bloom(bloom, own, _xxhash64_of_longs(own))
+                second = _xxhash64_of_longs(own)
+                keep = in_bloom(shared, own, second)
+                keep[keep] = in_bloom(hot, own[keep], second[keep]) == of_hot
                 if not keep.any():
                     continue
-                node = rolling(words, window)
                 runs = np.diff(np.concatenate([starts, [len(at)]]))
-                chosen = np.repeat(keep, runs)
-                of.append(np.full(int(chosen.sum()) if of_hot else int(keep.sum()), i))
                 if of_hot:
-                    pos.append(np.flatnonzero(chosen))
+                    chosen = np.flatnonzero(np.repeat(keep, runs))
+                    of.append(np.full(len(chosen), i))
+                    pos.append(chosen)
+                    nodes.append(rolling(words, window)[chosen])
                     checks.append(rolling(words[::-1], window)[::-1][chosen])
                 else:
-                    pos.append(starts[keep])
+                    first, run = starts[keep], runs[keep]
+                    size = run + window - 1
+                    of.append(np.full(len(first), i))
+                    pos.append(first)
                     anchor.append(own[keep])
-                    lengths.append(runs[keep])
-                nodes.append(node[chosen])
+                    left.append(at[first] - first)
+                    lengths.append(size)
+                    nodes.append((words >> np.uint64(32)).astype(np.uint32)[np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)])
             if not of:
                 continue
-            join = lambda parts: np.concatenate(parts)
             rows = pa.array(join(of))
             ids, row = batch.column(0).take(rows), batch.column(1).take(rows)
             if of_hot:
                 yield pa.RecordBatch.from_arrays([pa.array(join(nodes).view(np.int64)), pa.array(join(checks).view(np.int64)), ids, row, pa.array(join(pos), pa.int32())], names=["node", "check", "_id", "_row", "pos"])
             else:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(join(lengths))]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(join(anchor).view(np.int64)), ids, row, pa.array(join(pos), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(join(nodes).view(np.int64)))], names=["a", "_id", "_row", "pos", "nodes"])
+                offsets = np.concatenate([[0], np.cumsum(join(lengths))]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(nodes).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(join(anchor).view(np.int64)), ids, row, pa.array(join(pos), pa.int32()), pa.array(join(left), pa.int32()), words], names=["a", "_id", "_row", "pos", "left", "words"])
 
-    schema = f"node long, check long, _id {kind}, _row long, pos int" if of_hot else f"a long, _id {kind}, _row long, pos int, nodes array<long>"
+    schema = f"node long, check long, _id {kind}, _row long, pos int" if of_hot else f"a long, _id {kind}, _row long, pos int, left int, words array<int>"
     return docs.select("_id", "_row", "_text").mapInArrow(find, schema)
 
 
@@ -116,29 +123,55 @@ def _xxhash64_of_longs(values: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _deep_nodes(rows: pa.Table) -> pa.RecordBatch:
-    """For whole groups: (_id, _row, pos, mask) of the rows with a window that a document of a smaller id has too. Bit j of
-    mask stands for the window at pos + j."""
-    lists = rows["nodes"].combine_chunks()
+def _tree(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A tree of word sequences per group, as its nodes: column k numbers the node at depth k that each sequence is under. The
+    sequences are sorted; the words that neighbours have in common from the start tell where nodes of each depth end."""
+    depth = words.shape[1]
+    order = np.lexsort((*words.T[::-1], group))
+    group, words = group[order], words[order]
+    alike = np.empty((len(order), depth + 1), bool)
+    alike[0] = False
+    alike[1:, 0] = group[1:] == group[:-1]
+    alike[1:, 1:] = words[1:] == words[:-1]
+    opens = ~np.logical_and.accumulate(alike, axis=1)
+    nodes = np.empty((len(order), depth + 1), np.int64)
+    nodes[order] = np.cumsum(opens, axis=0)
+    return nodes
+
+
+def _deep_nodes(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """For whole groups: (_id, _row, pos, mask) of the suffixes with a window that a document of a smaller id has too. Bit j of
+    mask stands for the window at pos + j.
+
+    A window has `before` words before the suffix and the rest in it: equal windows are under one node at depth `before`
+    of the tree of what stands before, and under one at the remaining depth of the tree of suffixes. Two that differ are
+    taken for equal with a probability of 2 ** -32, and only if they differ in a single word outside the prefix."""
+    lists = rows["words"].combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
-    node = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    shift = np.arange(len(node)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ids = rows["_id"].to_numpy()
-    anchor = rows["a"].to_numpy()[of]
-    order = np.lexsort((ids[of], node, anchor))
-    a, n, d = anchor[order], node[order], ids[of][order]
-    opens = np.concatenate([[True], (a[1:] != a[:-1]) | (n[1:] != n[:-1])])
-    least = d[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-    gone = order[d > least]
+    flat = lists.values.to_numpy()
+    first = lists.offsets.to_numpy()[:-1]
+    ids, group, left = rows["_id"].to_numpy(), rows["a"].to_numpy(), rows["left"].to_numpy().astype(np.int64)
+    prefix = min(ANCHOR, window)
+    ahead = np.arange(prefix, window)  # the prefix is the same in a group
+    back = np.arange(1, window - prefix + 1)
+    right = np.where(left[:, None] + ahead < lengths[:, None], flat[np.minimum(first[:, None] + left[:, None] + ahead, len(flat) - 1)], 0)
+    reverse = np.where(back <= left[:, None], flat[np.maximum(first[:, None] + left[:, None] - back, 0)], 0)
+    after, before = _tree(group, right), _tree(group, reverse)
     mask = np.zeros(len(lengths), np.int64)
-    np.bitwise_or.at(mask, of[gone], np.int64(1) << shift[gone])
+    for n in range(window - prefix + 1):  # words before the suffix
+        own = np.flatnonzero((left >= n) & (left - n <= lengths - window))
+        node = after[own, window - n - prefix] << np.int64(32) | before[own, n]
+        order = np.lexsort((ids[own], node))
+        k, d = node[order], ids[own][order]
+        opens = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        gone = own[order[d > d[np.flatnonzero(opens)][np.cumsum(opens) - 1]]]
+        mask[gone] |= np.int64(1) << (left[gone] - n)
     at = pa.array(np.flatnonzero(mask))
     return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks().take(at) for c in ("_id", "_row", "pos")), pa.array(mask[mask != 0])], names=["_id", "_row", "pos", "mask"])
 
 
-def _build_trees(groups: DataFrame) -> DataFrame:
-    """`groups`: rows of _candidates with a group's rows together in one partition."""
+def _build_trees(suffixes: DataFrame, window: int) -> DataFrame:
+    """`suffixes`: rows of _sampled; those of a group come to one task, and whole groups into memory, small ones together."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -155,27 +188,26 @@ def _build_trees(groups: DataFrame) -> DataFrame:
             whole = int(np.searchsorted(key, key[-1], "left"))
             held, rows = table.slice(whole).to_batches(), len(key) - whole
             if whole:
-                yield _deep_nodes(table.slice(0, whole).combine_chunks())
+                yield _deep_nodes(table.slice(0, whole).combine_chunks(), window)
         if held:
-            yield _deep_nodes(pa.Table.from_batches(held).combine_chunks())
+            yield _deep_nodes(pa.Table.from_batches(held).combine_chunks(), window)
 
-    kind = groups.schema["_id"].dataType.simpleString()
-    return groups.repartition("a").sortWithinPartitions("a").mapInArrow(build, f"_id {kind}, _row long, pos int, mask long")
+    kind = suffixes.schema["_id"].dataType.simpleString()
+    return suffixes.repartition("a").sortWithinPartitions("a").mapInArrow(build, f"_id {kind}, _row long, pos int, mask long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, max_group: int = MAX_GROUP) -> DataFrame:
     """(_id, _row, pos, mask): where windows start that a document of a smaller id has too; bit j of mask is the window at
     pos + j. `docs`: _id (an integer, no nulls), _row, _text."""
     anchors = materialize(shared_anchors(docs, window))
-    rows, places = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    most = max(max_group, places // 10_000)  # so there are 10,000 hot anchors at most
-    hot = np.array([r.a for r in anchors.where(F.col("n") > most).select("a").collect()], np.int64).view(np.uint64)
-    bloom = build_bloom(anchors, "a", rows)
-    found = _build_trees(_candidates(docs, bloom, hot, window, of_hot=False))
-    if len(hot):
-        suffixes = materialize(_candidates(docs, None, hot, window, of_hot=True))
-        nodes = suffixes.groupBy("node", "check").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").drop("most")
-        deep = suffixes.join(materialize(nodes), ["node", "check"]).where("_id > least")
+    hot = anchors.where(F.col("n") > max_group)
+    rows, n_hot = anchors.agg(F.count("*"), F.count_if(F.col("n") > max_group)).first()
+    shared_filter, hot_filter = build_bloom(anchors, "a", rows), build_bloom(hot, "a", n_hot)
+    found = _build_trees(_sampled(docs, shared_filter, hot_filter, window, of_hot=False), window)
+    if n_hot:
+        windows = materialize(_sampled(docs, shared_filter, hot_filter, window, of_hot=True))
+        nodes = windows.groupBy("node", "check").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").drop("most")
+        deep = windows.join(materialize(nodes), ["node", "check"]).where("_id > least")
         found = found.unionByName(deep.select("_id", "_row", "pos", F.lit(1).cast("long").alias("mask")))
     return found
 

@@ -66,4 +66,25 @@ def test_bloom(spark):
     found = in_bloom(words, rows.k.to_numpy(), rows.s.to_numpy())
     assert found[rows.id % 3 == 0].all() and found[rows.id % 3 != 0].mean() < 0.1
     assert (substring_dedup._xxhash64_of_longs(rows.k.to_numpy().view(np.uint64)).view(np.int64) == rows.s.to_numpy()).all()
-    assert build_bloom(keys, "k", 10**12) is None
+    crowded = build_bloom(spark.range(0, 60000, 3).select(F.xxhash64("id").alias("k")), "k", 20000, max_bits=1 << 16)
+    assert len(crowded) == 1 << 10 and in_bloom(crowded, rows.k.to_numpy(), rows.s.to_numpy())[rows.id % 3 == 0].all()
+
+
+def test_tree():
+    """Nodes at every depth are the sequences' common beginnings, within groups only."""
+    rng = random.Random(1)
+    for _ in range(100):
+        n, depth = rng.randint(1, 30), rng.randint(1, 5)
+        group, words = (np.array([rng.randint(0, 2) for _ in range(n)]), np.array([[rng.randint(0, 2) for _ in range(depth)] for _ in range(n)], np.int32))
+        nodes = substring_dedup._tree(group, words)
+        for i in range(n):
+            for j in range(n):
+                assert all((nodes[i, k] == nodes[j, k]) == (group[i] == group[j] and (words[i, :k] == words[j, :k]).all()) for k in range(depth + 1))
+
+
+def test_other_windows(spark):
+    docs = [(i, " ".join("abcab cabca abcde fghij klmno pqrst".split()[i % 3 :])) for i in range(9)] + [(20, "abcde fghij x klmno pqrst abcde fghij")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for window in (2, 3, 5, 6):
+        got = substring_dedup.remove_repeats(frame, window=window).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str) == brute(docs, window)
