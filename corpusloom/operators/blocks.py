@@ -16,17 +16,22 @@ from pyspark.sql.window import Window
 from corpusloom.functions import matching
 
 BLOCK = 1024
+#: Tasks over the blocks of one side, at most.
+MAX_TASKS = 20_000
 
 
 def in_blocks(rows: DataFrame, count: int, block: int, key: str, *columns: str) -> DataFrame:
-    """(part, rows array<struct>): `count` rows dealt by hash of `key` over as many parts as blocks of that size need."""
+    """(rows array<struct>): `count` rows dealt by hash of `key` over as many parts as blocks of that size need, each a task
+    of its own as long as there are not too many."""
     parts = max(1, -(-count // block))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(key, *columns)).alias("rows")).select("rows")
+    grouped = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(key, *columns)).alias("rows"))
+    return grouped.repartition(min(parts, MAX_TASKS), "part").select("rows")
 
 
-def top_pairs(queries: DataFrame, rows: DataFrame, score: Callable[[list[dict], list[dict]], np.ndarray], key: str, columns: list[str], k: int, floor: float | None = None, block: int = BLOCK, skip_self: bool = True) -> DataFrame:
+def top_pairs(queries: DataFrame, rows: DataFrame, score: Callable[[pa.StructArray, pa.StructArray], np.ndarray], key: str, columns: list[str], k: int, floor: float | None = None, block: int = BLOCK, skip_self: bool = True) -> DataFrame:
     """(query, item, score, rank): the `k` best rows of each query by (score rounded to 9 digits, item), scores at or under
-    `floor` left out. `score`: a matrix from the dicts of a query block and a row block. Keys are integers."""
+    `floor` left out. `score`: a matrix from a block of queries and a block of rows. Keys are integers. Both sides are
+    counted and then read again, so give tables or what is cheap to compute."""
     left = in_blocks(queries, queries.count(), block // 4, key, *columns).select(F.col("rows").alias("q"))
     right = in_blocks(rows, rows.count(), block, key, *columns).select(F.col("rows").alias("r"))
     pairs = right.join(left, how="cross")  # blocks, not rows
@@ -34,16 +39,15 @@ def top_pairs(queries: DataFrame, rows: DataFrame, score: Callable[[list[dict],
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, q in zip(batch.column(0), batch.column(1), strict=True):
-                r, q = r.as_py(), q.as_py()
-                matrix = np.round(score(q, r), 9)
-                items = np.array([x[key] for x in r], np.int64)
-                order = np.argsort(items)
-                items, matrix = items[order], matrix[:, order]
-                for own, x in zip(matrix, q, strict=True):
-                    good = np.flatnonzero((own > floor if floor is not None else np.isfinite(own)) & ((items != x[key]) if skip_self else True))
+                r, q = r.values, q.values
+                order = np.argsort(r.field(key).to_numpy())
+                items, own_keys = r.field(key).to_numpy()[order], q.field(key).to_numpy()
+                matrix = np.round(score(q, r), 9)[:, order]
+                for own, x in zip(matrix, own_keys.tolist(), strict=True):
+                    good = np.flatnonzero((own > floor if floor is not None else np.isfinite(own)) & ((items != x) if skip_self else True))
                     best = good[np.argsort(-own[good], kind="stable")[:k]]
                     if len(best):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x[key])), pa.array(items[best]), pa.array(own[best])], names=["query", "item", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x)), pa.array(items[best]), pa.array(own[best])], names=["query", "item", "score"])
 
     found = pairs.mapInArrow(work, "query long, item long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")))

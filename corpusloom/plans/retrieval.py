@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.plans.registry import query
-from corpusloom.session import table
+from corpusloom.session import table, written
 
 THETA = 0.9
 
@@ -33,7 +33,7 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text")
+    weights = written(retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return retrieval.sparse_channel(weights.where("id % 50 = 0"), weights)
 
 

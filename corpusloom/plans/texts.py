@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import matching, text
 from corpusloom.operators import blocks, chunking, refine
 from corpusloom.plans.registry import query
-from corpusloom.session import table
+from corpusloom.session import table, written
 
 
 @query(r"""
@@ -93,16 +95,16 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt names resolved: the keys within ratio 0.8, at most five a query, and the best part of each key.
-
-    Keys are compared once each; pairs that can't reach the ratio by their lengths aren't compared."""
+    """Misspelt names resolved: of every part with an id divisible by 50 the other spellings of its name, against the keys of
+    all parts: keys within ratio 0.8, at most five a query, and the first part of each key. Keys are compared once each, in
+    blocks; pairs that can't reach the ratio by their lengths aren't compared."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    keyed = parts.select("p_name").distinct().withColumn("key", matching.match_key("p_name"))
-    keys = refine.best_per_group(keyed.join(parts.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")), "p_name"), ["key"], [F.asc("p_partkey")])
-    queries = keyed.select(F.explode(text.title_perturbations(F.col("p_name"))).alias("query")).distinct().withColumn("query_key", matching.match_key("query"))
-    pairs = queries.join(keys, matching.length_bound(F.col("query_key"), F.col("key"), matching.MATCH_THRESHOLD)).withColumn("ratio", matching.fuzzy_ratio("query_key", "key"))
-    good = pairs.where(F.col("ratio") >= matching.MATCH_THRESHOLD)
-    return refine.best_per_group(good, ["query"], [F.desc("ratio"), F.asc("key")], 5).select("query", "key", "p_partkey", F.round("ratio", 4).alias("score"))
+    keys = written(parts.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")).withColumn("key", matching.match_key("p_name")).groupBy("key").agg(F.min("p_partkey").alias("p_partkey")))
+    asked = parts.where("p_partkey % 50 = 0").select(F.explode(text.title_perturbations(F.col("p_name"))).alias("query")).distinct()
+    asked = written(asked.withColumn("key", matching.match_key("query")).withColumn("id", F.xxhash64("query")))
+    near = blocks.near_texts(asked.select("id", "key"), keys.select("key"), "id", "key", matching.MATCH_THRESHOLD).where(F.col("score") >= matching.MATCH_THRESHOLD)
+    best = refine.best_per_group(near, ["id"], [F.desc("score"), F.asc("key")], 5)
+    return best.join(keys, "key").join(asked.select("id", "query"), "id").select("query", "key", "p_partkey", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -111,16 +113,15 @@ def decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     fuzzy ratio of match keys. One row per item and violating conversation, one with a null conv_id where there is none.
     nearest and ratio: the most similar utterance by raw text; key_ratio and max_key_ratio: the highest ratio of keys, in the
     conversation and in all. Items and utterances are compared in blocks of both, equal keys once."""
-    import numpy as np
-
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
     turns = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def score(q: list[dict], r: list[dict]) -> np.ndarray:
+    def score(q: pa.StructArray, r: pa.StructArray) -> np.ndarray:
         least = matching.MATCH_THRESHOLD / (2 - matching.MATCH_THRESHOLD)
         one = lambda a, b: matching.ratio(a, b) if min(len(a), len(b)) >= least * max(len(a), len(b)) else -1.0
-        return np.array([[one(a["text"], b["text"]) for b in r] for a in q])
+        mine, other = (side.field("text").to_pylist() for side in (q, r))
+        return np.array([[one(a, b) for b in other] for a in mine])
 
     best = blocks.top_pairs(items, turns, score, "id", ["text"], 1, floor=-1.0, block=256, skip_self=False)
     nearest = items.join(best, F.col("id") == F.col("query"), "left").select(F.col("id").alias("item_id"), F.col("item").alias("nearest"), F.round("score", 4).alias("ratio"))

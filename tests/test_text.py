@@ -171,3 +171,29 @@ def test_evidence_beside_punctuation(spark, tmp_path):
     want = {k: sum(" ".join(t.split()) in " ".join((d or "").split()) for d in docs) for k, t in items.items()}
     assert want[8] == 3 and want[21] == 2
     assert {r.item_id: r.n_documents for r in QUERIES["evidence_guard"](spark, str(tmp_path)).collect()} == want
+
+
+def test_fuzzy_resolution(spark):
+    """The query against brute force over all keys, and the plan without a nested loop."""
+    from corpusloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    first = {}
+    for r in sorted(spark.read.parquet(f"{sf}/part.parquet").collect(), key=lambda r: r.p_partkey):
+        first.setdefault(matching.key_of(r.p_name), r.p_partkey)
+    got = {}
+    for r in QUERIES["fuzzy_resolve"](spark, sf).collect():
+        got.setdefault(r["query"], []).append((r.key, r.p_partkey, r.score))
+    names = {r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 50 = 0").collect()}
+    assert got and len(names) > 2
+    for q, rows in got.items():
+        all_keys = sorted(((-matching.ratio(matching.key_of(q), k), k) for k in first))
+        want = [(k, first[k], pytest.approx(-s, abs=1e-4)) for s, k in all_keys if -s >= matching.MATCH_THRESHOLD][:5]
+        assert sorted(rows) == sorted(want)
+
+
+def test_match_keys(spark):
+    from corpusloom.plans import QUERIES
+
+    rows = QUERIES["match_keys"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.match_key == matching.key_of(r.title) for r in rows)
