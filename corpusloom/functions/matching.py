@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,50 @@ def lcs(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+class Texts:
+    """Many texts, to be compared with one at a time: all of them advance by a character together."""
+
+    def __init__(self, texts: list[str]):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.order = np.argsort(-lengths, kind="stable")
+        self.lengths = lengths[self.order]
+        self.starts = (np.cumsum(lengths) - lengths)[self.order]
+        self.chars, self.codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+
+    def lcs(self, a: str) -> np.ndarray:
+        """Length of the longest common subsequence of `a` with each text: bit i of a text's state is 0 where its part so far
+        has one more character in common with a[: i + 1] than with a[:i]."""
+        size = -(-len(a) // 64)
+        masks = np.zeros((size, len(self.chars)), np.uint64)
+        own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.searchsorted(self.chars, own)
+        known = np.flatnonzero(np.append(self.chars, 0)[at] == own) if len(self.chars) else np.zeros(0, np.int64)
+        np.bitwise_or.at(masks, (known // 64, at[known]), np.uint64(1) << (known % 64).astype(np.uint64))
+        state = np.full((size, len(self.lengths)), np.uint64(2**64 - 1))
+        active = np.searchsorted(-self.lengths, -np.arange(self.lengths[0] if len(self.lengths) else 0), "left")  # texts longer than that
+        for t, n in enumerate(active.tolist()):
+            code = self.codes[self.starts[:n] + t]
+            carry = np.zeros(n, np.uint64)
+            for now, mask in zip(state, masks, strict=True):
+                now = now[:n]
+                hit = now & mask[code]
+                added = now + hit
+                over = added < hit
+                added += carry
+                carry = (over | (added < carry)).astype(np.uint64)
+                np.bitwise_or(added, now & ~hit, out=now)
+        out = np.empty(len(self.lengths), np.int64)
+        rest = np.uint64(2**64 - 1) >> np.uint64(-len(a) % 64)
+        keep = np.array([2**64 - 1] * (size - 1) + [int(rest)] * (size > 0), np.uint64)
+        out[self.order] = np.bitwise_count(~state & keep[:, None]).sum(0, dtype=np.int64)
+        return out
+
+    def ratios(self, a: str) -> np.ndarray:
+        total = np.empty(len(self.lengths), np.int64)
+        total[self.order] = self.lengths + len(a)
+        return np.where(total > 0, 2 * self.lcs(a) / np.maximum(1, total), 1.0)
+
+
 def ratio(a: str, b: str) -> float:
     """2 LCS / (length + length), which is 1 for two empty strings."""
     return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))

@@ -54,34 +54,28 @@ def top_pairs(queries: DataFrame, rows: DataFrame, score: Callable[[pa.StructArr
     return ranked.where(F.col("rank") <= k)
 
 
-def near_texts(queries: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(`key`, `text`, score): every row's text with a fuzzy ratio of `threshold` or more to that of a query, and the best of
-    each query in each block, however low. `rows`: different texts. Pairs whose lengths can't reach either aren't compared."""
-    left = in_blocks(queries, queries.count(), block // 4, key, text).select(F.col("rows").alias("q"))
-    right = in_blocks(rows, rows.count(), block, text).select(F.col("rows").alias("r"))
+def near_texts(queries: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, block: int = 2 * BLOCK) -> DataFrame:
+    """(`key`, `text`, score): every row's text with a fuzzy ratio of `threshold` or more to that of a query, and those with the
+    best ratio to each query in each block, however low. `rows`: different texts. Where there are fewer blocks of rows than
+    cores, each is a task for several shares of the queries."""
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, 2 * cores // max(1, -(-count // block)))
+    right = in_blocks(rows, count, block, text).select(F.col("rows").alias("r"))
+    if shares == 1:
+        pairs = right.join(in_blocks(queries, queries.count(), BLOCK // 4, key, text).select(F.col("rows").alias("q")), how="cross")
+    else:
+        left = queries.groupBy(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(shares)).alias("share"), F.pmod(F.xxhash64(key, F.lit(3)), F.lit(max(1, queries.count() // BLOCK))).alias("part")).agg(F.collect_list(F.struct(key, text)).alias("q"))
+        dealt = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(2 * cores, "share")
+        pairs = dealt.join(left, "share").select("r", "q")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, q in zip(batch.column(0), batch.column(1), strict=True):
-                texts = [x[text] for x in r.as_py()]
-                lengths = np.array([len(t) for t in texts])
-                out = []
-                for x in q.as_py():
-                    n = len(x[text])
-                    bound = np.where(lengths + n > 0, 2 * np.minimum(lengths, n) / np.maximum(1, lengths + n), 1.0)
-                    best, at_best = -1.0, None
-                    for i in np.argsort(-bound, kind="stable").tolist():
-                        if bound[i] < threshold and bound[i] <= best:
-                            break
-                        score = matching.ratio(x[text], texts[i])
-                        if score >= threshold:
-                            out.append((x[key], texts[i], score))
-                        elif score > best:
-                            at_best = (x[key], texts[i], score)
-                        best = max(best, score)
-                    if at_best and best < threshold:
-                        out.append(at_best)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)], names=[key, text, "score"])
-
-    return right.join(left, how="cross").mapInArrow(work, f"{key} long, {text} string, score double")
+                names = r.values.field(text)
+                texts = matching.Texts(names.to_pylist())
+                for own, mine in zip(q.values.field(key).to_pylist(), q.values.field(text).to_pylist(), strict=True):
+                    score = texts.ratios(mine)
+                    at = np.flatnonzero(score >= min(threshold, score.max(initial=0)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), names.take(pa.array(at)), pa.array(score[at])], names=[key, text, "score"])
+
+    return pairs.mapInArrow(work, f"{key} long, {text} string, score double")

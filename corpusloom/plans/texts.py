@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,21 +112,16 @@ def decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     nearest and ratio: the most similar utterance by raw text; key_ratio and max_key_ratio: the highest ratio of keys, in the
     conversation and in all. Items and utterances are compared in blocks of both, equal keys once."""
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    turns = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def score(q: pa.StructArray, r: pa.StructArray) -> np.ndarray:
-        least = matching.MATCH_THRESHOLD / (2 - matching.MATCH_THRESHOLD)
-        one = lambda a, b: matching.ratio(a, b) if min(len(a), len(b)) >= least * max(len(a), len(b)) else -1.0
-        mine, other = (side.field("text").to_pylist() for side in (q, r))
-        return np.array([[one(a, b) for b in other] for a in mine])
-
-    best = blocks.top_pairs(items, turns, score, "id", ["text"], 1, floor=-1.0, block=256, skip_self=False)
-    nearest = items.join(best, F.col("id") == F.col("query"), "left").select(F.col("id").alias("item_id"), F.col("item").alias("nearest"), F.round("score", 4).alias("ratio"))
-    said = users.where("text <> ''").select("conv_id", matching.match_key("text").alias("key"))
-    near = blocks.near_texts(items.select("id", matching.match_key("text").alias("key")), said.select("key").distinct(), "id", "key", matching.MATCH_THRESHOLD, block=256).repartition("key")
+    raw = blocks.near_texts(items, written(turns.select("text").distinct()), "id", "text", threshold=2.0)  # the best ones only
+    first = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("turn_id")).alias("turn"))).alias("best")
+    best = raw.join(turns, "text").groupBy("id").agg(first)
+    nearest = items.join(best, "id", "left").select(F.col("id").alias("item_id"), (-F.col("best.turn")).alias("nearest"), F.round("best.score", 4).alias("ratio"))
+    said = written(users.where("text <> ''").select("conv_id", matching.match_key("text").alias("key")).distinct())
+    near = written(blocks.near_texts(items.select("id", matching.match_key("text").alias("key")), said.select("key").distinct(), "id", "key", matching.MATCH_THRESHOLD))
     top = near.groupBy("id").agg(F.round(F.max("score"), 4).alias("max_key_ratio"))
-    violations = near.where(F.col("score") >= matching.MATCH_THRESHOLD).join(said.distinct(), "key").groupBy("id", "conv_id").agg(F.round(F.max("score"), 4).alias("key_ratio"))
+    violations = near.where(F.col("score") >= matching.MATCH_THRESHOLD).join(said, "key").groupBy("id", "conv_id").agg(F.round(F.max("score"), 4).alias("key_ratio"))
     out = nearest.join(top.withColumnRenamed("id", "item_id"), "item_id", "left").join(violations.withColumnRenamed("id", "item_id"), "item_id", "left")
     return out.select("item_id", "nearest", "ratio", F.col("conv_id").isNotNull().alias("violates"), "conv_id", "key_ratio", "max_key_ratio")
 
