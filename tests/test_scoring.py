@@ -40,7 +40,7 @@ def test_invented_titles_of_the_query(spark):
     got = {}
     for r in sorted(QUERIES["invented_titles"](spark, sf).collect(), key=lambda r: r.pos):
         got.setdefault(r.conv_id, []).append((r.title, r.grounded))
-    assert got == {k: [(r.p_name, k % 10 == 0), (f"Some {r.p_brand} of the North", False)] for k, r in parts.items() if k % 5 == 0}
+    assert got == {k: [(r.p_name, k % 10 == 0), ("North", False)] for k, r in parts.items() if k % 5 == 0}
 
 
 def test_recall_of_a_version_set(spark):
