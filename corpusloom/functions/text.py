@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: code-point ranges of the scripts that titles are written in
-SCRIPTS = {"deva": "\\x{0900}-\\x{097F}", "beng": "\\x{0980}-\\x{09FF}", "guru": "\\x{0A00}-\\x{0A7F}", "gujr": "\\x{0A80}-\\x{0AFF}", "taml": "\\x{0B80}-\\x{0BFF}", "telu": "\\x{0C00}-\\x{0C7F}", "knda": "\\x{0C80}-\\x{0CFF}", "mlym": "\\x{0D00}-\\x{0D7F}"}
-# fixed values: characters without width, and letters of other scripts that look like Latin ones
-ZERO_WIDTH = "​‌‍⁠﻿"
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v", "ρ": "p", "τ": "t"}
+SCRIPTS = {"deva": "\\x{0900}-\\x{097F}", "beng": "\\x{0980}-\\x{09FF}", "taml": "\\x{0B80}-\\x{0BFF}", "telu": "\\x{0C00}-\\x{0C7F}", "knda": "\\x{0C80}-\\x{0CFF}", "mlym": "\\x{0D00}-\\x{0D7F}", "sinh": "\\x{0D80}-\\x{0DFF}", "hani": "\\x{4E00}-\\x{9FFF}"}
+# fixed values: characters without width, and Cyrillic and Greek letters with the Latin ones that they look like
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+LOOKALIKES = ("аеорсхіѕАВЕКМНОРСТХІοΑΒΕΗΙΚΜΝΟΡΤΧ", "aeopcxisABEKMHOPCTXIoABEHIKMNOPTX")
 
 
 def collapse_space(text: Column) -> Column:
@@ -48,25 +52,35 @@ def is_supported(sentence: Column, source: Column) -> Column:
     return F.coalesce((collapse_space(sentence) != "") & found, F.lit(False))
 
 
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition, for which Spark has no function."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def normalize_for_matching(text: Column) -> Column:
-    """Zero-width characters removed, lookalike letters folded to Latin ones."""
-    return F.translate(F.translate(text, ZERO_WIDTH, ""), "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    """Compatibility forms composed, zero-width characters removed, lookalike letters as Latin ones."""
+    return F.translate(F.translate(compatible(text), ZERO_WIDTH, ""), *LOOKALIKES)
 
 
 # fixed values: patterns of instructions that don't belong in data, by class
 FLAG_PATTERNS = {
-    "override": r"\b(ignore|disregard|forget)\b.{0,40}\b(previous|above|prior|earlier)\b.{0,40}\b(instruction|prompt|rule|message)s?\b",
-    "role_play": r"\byou are now\b|\bact as\b.{0,30}\b(admin|developer|system|root)\b",
-    "prompt_leak": r"\b(reveal|print|show|repeat)\b.{0,40}\b(system prompt|hidden instruction|your instructions)",
-    "tool_redirect": r"\b(call|use|invoke)\b.{0,30}\b(tool|function)\b",
-    "exfiltration": r"\b(send|post|upload|forward)\b.{0,60}https?://",
-    "delimiter": r"</?(system|assistant|tool)>|\[/?inst\]",
+    "ignore_previous_instructions": r"(?is)\b(ignore|disregard|forget)\b.{0,40}\b(previous|above|prior|earlier|all)\b.{0,20}\b(instructions?|prompts?|rules?)\b",
+    "ignore_previous_instructions_hinglish": r"(?is)\b(instructions?|niyam)\b.{0,20}\b(ko|ke)\b.{0,20}\b(ignore|bhool|bhul|chhod)\b",
+    "ignore_previous_instructions_devanagari": r"निर्देश\S*\s+को\s+(अनदेखा|भूल)",
+    "ignore_previous_instructions_tamil": r"வழிமுறைக\S*\s+(புறக்கணி|மற)",
+    "role_coercion": r"(?i)\b(you are now|pretend (that )?you are|you must (now )?act as|from now on,? you)\b",
+    "system_prompt_exfiltration": r"(?is)\b(reveal|print|show|repeat|output)\b.{0,30}\b(system prompt|your (instructions|prompt)|everything above)\b",
+    "echo_demand": r"(?is)\b(print|repeat|output|echo|reply with|say)\b.{0,40}\b(verbatim|token|the following|below)\b|\bconfirm (that )?you (have )?read\b",
+    "chat_syntax_lookalike": r"(?i)(<\|im_start\|>|\[INST\]|<start_of_turn>|<tool_call>|\"role\"\s*:\s*\"system\")",
+    "new_instructions_header": r"(?i)\bnew (instructions?|task|objective)\s*:",
 }
 
 
 def adversarial_flags(text: Column) -> Column:
-    """Sorted names of the classes whose pattern matches the text, as it is or normalised."""
-    names = [F.when(text.rlike(f"(?isU){p}") | normalize_for_matching(text).rlike(f"(?isU){p}"), F.lit(n)) for n, p in sorted(FLAG_PATTERNS.items())]
+    """Names of the classes whose pattern matches the text, as it is or normalised, in the order of the classes."""
+    plain = normalize_for_matching(text)
+    names = [F.when(text.rlike(f"(?U){p}") | plain.rlike(f"(?U){p}"), F.lit(n)) for n, p in FLAG_PATTERNS.items()]
     return F.array_compact(F.array(*names))
 
 
