@@ -69,3 +69,46 @@ def test_movies(spark):
     assert [tuple(t) for t in full.titles] == [("O", "ml", None, "canonical"), ("A", None, "IN", "aka"), ("B", "ta", None, "translation")]
     assert [c.role_kind for c in full.credits] == ["lead"] * 5 + ["support"] * 10 + ["director"] and full.release_year == 2013
     assert bare.release_year is None and len(bare.titles) == 1 and bare.credits == []
+
+
+def test_ungrounded_titles_are_marked(spark):
+    from corpusloom.operators import guards
+
+    u = guards.UNVERIFIED
+    answers = spark.createDataFrame([(1, "See **Zzyzx  Road (2006)** or zzyzx road."), (2, "nothing named"), (3, "fine"), (4, None), (5, f"**Zzyzx Road** {u} again")], "id long, answer string")
+    bad = spark.createDataFrame([(1, "Zzyzx Road"), (2, "Ghost"), (4, "Ghost"), (5, "Zzyzx Road")], "id long, title string")
+    got = {r.id: r.gated for r in guards.flag_titles(answers, bad, "id", "answer").collect()}
+    assert got == {1: f"See **Zzyzx  Road (2006)** {u} or zzyzx road {u}.", 2: f"Unverified: Ghost {u}\nnothing named", 3: "fine", 4: None, 5: f"**Zzyzx Road** {u} again"}
+
+
+def test_verdicts_on_attacks(spark):
+    from corpusloom.operators import guards
+
+    fixtures = spark.createDataFrame([("canary", "XK-9", None, None), ("invents", None, None, None), ("marked", None, None, None), ("calls", None, "fly", "away"), ("calm", "XK-9", "fly", None)], "fixture string, canary string, forbidden_tool string, forbidden_part string")
+    answers = spark.createDataFrame([("canary", "the code XK-9"), ("invents", "Watch **Inception** now"), ("marked", f"Watch **Inception** {guards.UNVERIFIED}"), ("calls", "ok"), ("calm", "Watch **Drishyam**")], "fixture string, answer string")
+    calls = spark.createDataFrame([("calls", "fly", '{"to": "away"}'), ("calm", "walk", "{}")], "fixture string, tool string, arguments string")
+    allowed = spark.createDataFrame([("calm", "Drishyam")], "fixture string, title string")
+    got = {r.fixture: (r.canary_surfaced, r.ungrounded, r.forbidden_call, r.succeeded) for r in guards.attack_verdicts(fixtures, answers, calls, allowed).collect()}
+    no = (False, False, False, False)
+    assert got == {"canary": (True, False, False, True), "invents": (False, True, False, True), "marked": no, "calls": (False, False, True, True), "calm": no}
+
+
+def test_ids_in_results(spark):
+    from corpusloom.operators import guards
+
+    raw = '{"results": [{"work_id": "a", "deep": {"version_id" : "b"}}, {"work_id": "a"}], "other_id": "c"}'
+    assert spark.createDataFrame([(raw,)], "raw string").select(guards.result_ids(F.col("raw")).alias("ids")).first().ids == ["a", "b"]
+
+
+def test_upkeep_keeps_what_it_should(spark):
+    from corpusloom.operators import upkeep
+
+    columns = "version_id long, title string, kind string, language string, source string, ref string, pos long"
+    now = spark.createDataFrame([(1, "A", "aka", None, "imdb", "r", 0), (2, "B", "aka", "ml", "imdb", "r", 0)], columns)
+    came = spark.createDataFrame([(1, "A", "aka", "ta", "tmdb", "s", 0), (1, "A", "aka", "hi", "imdb", "r", 1), (2, "B", "aka", "ta", "imdb", "r", 0), (3, "C", "dub", None, "imdb", "r", 0), (3, "C", "dub", None, "imdb", "r", 1)], columns)
+    got = {r.version_id: (r.language, [tuple(s) for s in r.sources], r.outcome) for r in upkeep.upsert_titles(now, came).collect()}
+    assert got == {1: ("ta", [("imdb", "r"), ("tmdb", "s")], "merged"), 2: ("ml", [("imdb", "r")], "unchanged"), 3: (None, [("imdb", "r")], "new")}
+    recorded = spark.createDataFrame([(1, "y", "resolved"), (2, "y", "open")], "entity long, field string, status string")
+    found = spark.createDataFrame([(1, "y"), (2, "y"), (3, "y"), (3, "y")], "entity long, field string")
+    assert [r.entity for r in upkeep.conflicts_to_open(found, recorded).collect()] == [3]
+    assert sorted(r.entity for r in upkeep.conflicts_to_open(found, recorded, only_open=True).collect()) == [1, 3]
