@@ -12,12 +12,6 @@ def nearest_rank(samples: Column, q: float) -> Column:
     return F.get(a, F.bround(F.lit(q) * (F.size(a) - 1), 0).cast("int"))
 
 
-def floor_rank(samples: Column, p: float) -> Column:
-    """Sorted sample at index min(n - 1, int(p n))."""
-    a = F.sort_array(samples)
-    return F.get(a, F.least(F.size(a) - 1, F.floor(F.lit(p) * F.size(a)).cast("int")))
-
-
 def exclusive_position(size: Column, i: int, n: int) -> tuple[Column, Column]:
     """(j, delta) of cut point i of n by the exclusive method over `size` sorted samples."""
     m = size + 1

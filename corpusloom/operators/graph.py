@@ -45,12 +45,6 @@ def visible_edges(edges: DataFrame, visible: DataFrame, key: str) -> DataFrame:
     return edges.join(seen, F.col("src") == F.col("_v"), "left_semi").join(seen, F.col("dst") == F.col("_v"), "left_semi")
 
 
-def lead_overlap(a: Column, b: Column) -> Column:
-    """Shared leads over the smaller set; null if either is empty."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least)
-
-
 def dub_or_remake(overlap: Column, threshold: float = 0.5) -> Column:
     return F.when(overlap >= threshold, "is_official_dub_of").when(overlap.isNotNull(), "is_remake_of")
 

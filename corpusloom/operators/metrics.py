@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import written
+
+
+def running_sums(rows: DataFrame, groups: list[str], order: str, sums: list[str]) -> DataFrame:
+    """`rows` with before_<c> for each of `sums`: its sum over the rows of the group that come before. Rows are dealt by ranges of
+    group and order, so a group may fill many tasks: sums run within a range, then over the few ranges of each group. The
+    ranges are written once, since both steps must see the same ones."""
+    ranged = written(rows.repartitionByRange(*groups, order).withColumn("_range", F.spark_partition_id()))
+    start = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy(*groups, "_range").agg(*(F.sum(c).alias(c) for c in sums))  # a row per group and range that meet
+    over = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_range")
+    bases = totals.select(*(F.col(g).alias(f"_of_{g}") for g in groups), F.col("_range").alias("_of"), *(start(c, over).alias(f"_base_{c}") for c in sums))
+    within = Window.partitionBy(*groups, "_range").orderBy(order)
+    run = ranged.withColumns({f"_run_{c}": start(c, within) for c in sums})
+    same = F.col("_range") == F.col("_of")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return run.join(bases, same).select(*rows.columns, *((F.col(f"_base_{c}") + F.col(f"_run_{c}")).alias(f"before_{c}") for c in sums))
+
 
 def sweep_thresholds(scores: DataFrame, score: str, is_positive: str) -> DataFrame:
     """For each distinct score as threshold t: negatives under t (true abstains), negatives at or over it (false accepts),
-    positives under it (false rejects), and F1 of abstaining. One pass over counts per score, no join of rows with rows.
-
-    The running sums go over distinct scores, cut into ranges: sums within a range, then over the few ranges."""
+    positives under it (false rejects), and F1 of abstaining. One pass over counts per score, no join of rows with rows."""
     per = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(is_positive)).alias("p"), F.count_if(~F.col(is_positive)).alias("n"))
-    ranged = per.repartitionByRange(F.col(score)).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    # as many rows as partitions
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    bases = totals.select("_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"), F.sum("_n").over(everything).alias("_na"))
-    within = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = ranged.withColumns({"_p": F.coalesce(F.sum("p").over(within), F.lit(0)), "_n": F.coalesce(F.sum("n").over(within), F.lit(0))}).join(F.broadcast(bases), "_part")
-    out = run.select(F.col(score).alias("threshold"), (F.col("_nb") + F.col("_n")).alias("true_abstains"), (F.col("_na") - F.col("_nb") - F.col("_n")).alias("false_accepts"), (F.col("_pb") + F.col("_p")).alias("false_rejects"))
+    run = running_sums(per, [], score, ["p", "n"])
+    negatives = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))  # one row
+    out = run.join(F.broadcast(negatives)).select(F.col(score).alias("threshold"), F.col("before_n").alias("true_abstains"), (F.col("all_n") - F.col("before_n")).alias("false_accepts"), F.col("before_p").alias("false_rejects"))
     total = 2 * F.col("true_abstains") + F.col("false_accepts") + F.col("false_rejects")
     return out.withColumn("f1", F.round(2.0 * F.col("true_abstains") / F.nullif(total, F.lit(0)), 6))
 
@@ -83,9 +94,9 @@ def flatten_metrics(rows: DataFrame, keys: list[str], prefix: str = "") -> DataF
 
 def order_statistics(rows: DataFrame, group: str, value: str, wanted: dict[str, Column]) -> DataFrame:
     """Per group, the sorted sample's value at each 0-based index in `wanted`, an expression over the sample size n; null for a
-    null index. Values are counted first and a running count streams over them: no sample is gathered."""
+    null index. Values are counted first and running counts go over ranges of them: no sample and no group is in one task."""
     per = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
     sizes = per.groupBy(F.col(group).alias("_g")).agg(F.sum("_c").alias("n"))
-    run = per.withColumn("_run", F.sum("_c").over(Window.partitionBy(group).orderBy(value))).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
-    at = lambda i: F.max(F.when((F.col("_run") > i) & (F.col("_run") - F.col("_c") <= i), F.col(value)))
+    run = running_sums(per, [group], value, ["_c"]).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    at = lambda i: F.max(F.when((F.col("before__c") <= i) & (F.col("before__c") + F.col("_c") > i), F.col(value)))
     return run.groupBy(group, "n").agg(*(at(i).alias(name) for name, i in wanted.items()))

@@ -23,6 +23,24 @@ def gate_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.gate_view(entities, conflicts, "c_custkey", "version").select("c_custkey", "c_mktsegment", "n_sources")
 
 
+@query("""
+    SELECT c_custkey FROM customer WHERE c_acctbal > 5000 OR c_mktsegment = 'BUILDING'""")
+def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that fixtures may rely on: of high confidence, or verified by a human."""
+    confidence = F.when(F.col("c_acctbal") > 5000, "HIGH").when(F.col("c_acctbal") > 0, "MEDIUM")
+    return table(spark, sf_dir, "customer").where(gate.golden_eligible(confidence, F.col("c_mktsegment") == "BUILDING")).select("c_custkey")
+
+
+@query("""
+    SELECT l_suppkey AS version_id, l_partkey % 50 AS person_id, min(l_linenumber) AS billing FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50 = l_partkey % 50 AND p_size = l_suppkey) GROUP BY ALL
+    UNION ALL SELECT DISTINCT p_size, p_partkey % 50, 0 FROM part""")
+def cast_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cast rows of versions, with those of a source that weren't there."""
+    there = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("version_id"), (F.col("p_partkey") % 50).alias("person_id"), F.lit(0).alias("billing")).distinct()
+    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("version_id"), (F.col("l_partkey") % 50).alias("person_id")).agg(F.min("l_linenumber").alias("billing"))
+    return merge.insert_absent(there, new, ["version_id", "person_id"])
+
+
 @query("""
     SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def dup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,9 +82,12 @@ def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY ALL""")
+    WITH v AS (SELECT p_partkey FROM part WHERE p_size > 10), e AS (SELECT l_partkey AS src, (l_partkey * 7 + l_suppkey) % 2000 AS dst, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT src, dst, n, a.p_name AS src_title, b.p_name AS dst_title FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE src IN (FROM v) AND dst IN (FROM v)""")
 def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier-part edges both ends of which the gate shows, with their multiplicity."""
-    edges = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    seen = edges.join(table(spark, sf_dir, "supplier").where("s_acctbal > 0"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
-    return seen.join(table(spark, sf_dir, "part").where("p_size > 10"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    """Edges between versions both of which the gate shows, with the titles of both and how often each was stated."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2000).alias("dst")).agg(F.count("*").alias("n"))
+    seen = graph.visible_edges(edges, parts.where("p_size > 10"), "p_partkey")
+    title = lambda end: parts.select(F.col("p_partkey").alias(end), F.col("p_name").alias(f"{end}_title"))
+    return seen.join(title("src"), "src").join(title("dst"), "dst")
