@@ -1,5 +1,8 @@
 """From raw documents to packed token sequences: five stages, each one operator of corpusloom.llm over all that the stage
-before it kept, with Parquet between them."""
+before it kept, with Parquet between them.
+
+No stage fails over nulls in any column, empty or very long texts, ties, repeated rows, an empty table, or further columns,
+whatever their names; what becomes of each is said at the stage, or at the operator that it calls."""
 
 from __future__ import annotations
 
@@ -13,12 +16,14 @@ from corpusloom.llm.common import free_name, materialize, read_table, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned list reject go. The list is learned from the labelled documents in `docs`."""
+    """Documents that the base rules or the learned list reject go. The list is learned from the labelled documents in `docs`;
+    without labels, the base rules alone judge. A null or empty text has no words and goes; repeated rows stay or go together."""
     return quality.keep_clean(docs, quality.learn_rules(docs, read_table(spark, sf_dir, "labels")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 code points or more that 5 documents have stay in the last of them only."""
+    """Lines of 40 code points or more that 5 documents have stay in the last of them only. A null text becomes an empty one;
+    a document without an id keeps its lines."""
     lines = line_dedup.dedup_lines(docs)
     return lines.withColumns({"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}).select(*docs.columns)
 
@@ -33,13 +38,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
+    """Secrets in the texts are masked; every document stays, a null text as it is. Rows with one id are told apart by text."""
     masked = secrets.redact(docs, secrets.scan(docs, secrets.train(spark)))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in sequences of 2048 tokens."""
+    """Places of the documents' pieces in sequences of 2048 tokens; a null or empty text is one end token. Null and repeated ids
+    have their pieces placed like any others."""
     pieces = packing.cut_pieces(docs)
     return packing.pack(materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 

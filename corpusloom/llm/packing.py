@@ -25,7 +25,8 @@ from corpusloom.llm.bpe import encode_text, load_encoding
 from corpusloom.llm.common import text_of
 
 CAPACITY, END_ID = 2048, 0
-_SLICES = 256
+#: Pieces of one length that a task ranks together, about: common lengths are cut into more slices.
+ROWS_PER_SLICE = 1_000_000
 
 
 class RemainingTree:
@@ -164,34 +165,40 @@ def _order(length: np.ndarray, rank: np.ndarray, capacity: int) -> np.ndarray:
     return (capacity - np.asarray(length, np.int64)) << 48 | rank
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", length_col: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", length_col: str = "length", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """`pieces` with sequence_id and offset: a place in a sequence for every row, gapless from 0 in each sequence.
 
-    Lengths are 1 to `capacity`. `pieces` is read twice, so give a written table. Rows are ranked within their length and
-    one of 256 slices of ids, and slices are put one after another, so no task holds all rows of a common length.
+    Lengths are 1 to `capacity`, without nulls. `pieces` is read several times, so give a written table. Rows are ranked
+    within their length and one of as many slices as its count asks for, and slices are put one after another, so no task
+    holds all rows of a common length. Null and repeated ids and whole rows that repeat get places like any others; of
+    rows alike in everything, which one gets which place doesn't matter. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(id_col, "piece"), F.lit(_SLICES)).cast("int"))
-    counts = sliced.groupBy(F.col(length_col).alias("length"), "_slice").count().collect()  # capacity * 256 rows at most
-    histogram: dict[int, int] = {}
-    base = np.zeros((capacity + 1, _SLICES), np.int64)
-    for row in sorted(counts, key=lambda r: (r["length"], r["_slice"])):
-        base[row["length"], row["_slice"]] = histogram.get(row["length"], 0)
-        histogram[row["length"]] = histogram.get(row["length"], 0) + row["count"]
-    plan = np.array(plan_best_fit(histogram, capacity), np.int64).reshape(-1, 4)
-    shared = spark.sparkContext.broadcast((base, plan))  # both are bounded by capacity, not by the corpus
-    ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_slice").orderBy(id_col, "piece")) - 1)
+    per_length = {r["length"]: r["count"] for r in pieces.groupBy(F.col(length_col).alias("length")).count().collect()}  # capacity rows at most
+    slices = np.array([max(1, -(-per_length.get(n, 0) // rows_per_slice)) for n in range(capacity + 1)], np.int64)
+    first = np.concatenate([[0], np.cumsum(slices)[:-1]])
+    of_length = F.element_at(F.expr(f"cast(split('{','.join(map(str, slices.tolist()))}', ',') AS array<bigint>)"), F.col(length_col).cast("int") + 1)
+    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(*pieces.columns), of_length))
+    counts = sliced.groupBy(F.col(length_col).alias("length"), "_slice").count().collect()  # a row per length, and per million pieces
+    sizes = np.zeros(int(slices.sum()), np.int64)
+    for row in counts:
+        sizes[first[row["length"]] + row["_slice"]] = row["count"]
+    before = np.cumsum(sizes) - sizes
+    base = before - np.repeat(before[first], slices)
+    plan = np.array(plan_best_fit(per_length, capacity), np.int64).reshape(-1, 4)
+    shared = spark.sparkContext.broadcast((first, base, plan))  # bounded by capacity, but for a number per million pieces
+    ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_slice").orderBy(*(F.col(c) for c in pieces.columns if pieces.schema[c].dataType.typeName() not in ("binary", "map", "variant")))) - 1)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     keep = pieces.columns
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, plan = shared.value
+        first, base, plan = shared.value
         key = _order(plan[:, 0], plan[:, 1], capacity)
         for batch in batches:
             if not batch.num_rows:
                 continue
             length, cut, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (length_col, "_slice", "_rank"))
-            rank = rank + base[length, cut]
+            rank = rank + base[first[length] + cut]
             # the plan's rows are sorted by falling length, then rising rank: one search finds each piece's row
             at = np.searchsorted(key, _order(length, rank, capacity), "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(plan[at, 2] + rank - plan[at, 1]), pa.array(plan[at, 3])], names=schema.names)

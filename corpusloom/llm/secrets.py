@@ -261,7 +261,8 @@ def choose(findings: list[tuple[str, str | None, int]], most: int = MAX_FINDINGS
 def train(spark: SparkSession, findings: list[tuple[str, str | None, int]] | None = None, trees: int = 40, depth: int = 10, seed: int = 7) -> SecretModel:
     """A model from labelled findings (text around one candidate, path, 1 for a secret), of which `choose` takes a bounded
     number; made-up ones by default. The odds of words are learned from every third one, the forest from the others, so that
-    it doesn't trust the odds more than it should. A null path says nothing; findings without a candidate are of no use."""
+    it doesn't trust the odds more than it should. A null path says nothing; findings without a candidate are of no use;
+    repeated ones count as often; a list without any candidate is an error."""
     chosen = choose(made_findings(MAX_FINDINGS, seed) if findings is None else findings)
     odds = Odds.learn(chosen[::3])
     rows = labelled_rows([f for i, f in enumerate(chosen) if i % 3], odds)

@@ -161,7 +161,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records below `path`, one row each (RECORD_SCHEMA). `payload` is what follows the HTTP head of a response,
     `payload_digest` and `payload_bytes` are taken from it; a revisit has no payload, its digest is the stated one and
     its bytes are null. `fields` holds those of a metadata block. Files may be compressed, by record or as a whole. Broken
-    archives fail the job. A file is held as one value, so it must be below 2 GB."""
+    archives fail the job. A file is held as one value, so it must be below 2 GB. An empty folder gives no rows; records that
+    repeat are repeated; a header that is missing is null, but WARC-Concurrent-To an empty array."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,3 +143,18 @@ def test_long_runs_of_any_white_space(encoding):
         text = f"a{run * 1000000}b"
         assert encoding.decode(bpe.encode_text(encoding, text)) == text
         assert encoding.decode(array("I", packing.token_bytes(text)).tolist()) == text
+
+
+def test_slices_of_common_lengths(spark):
+    """Null ids, repeated rows and many slices of one length: the same sequences, and no place twice."""
+    rows = [(None if i % 3 == 0 else i // 2, 0, 0, (i % 5 + 1) * 100) for i in range(900)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long")
+    for per_slice in (7, 10**6):
+        got = packing.pack(pieces, rows_per_slice=per_slice).collect()
+        sequences = {}
+        for r in got:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in sequences.values():
+            own.sort()
+            assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert len(got) == 900 and sorted(2048 - sum(n for _, n in own) for own in sequences.values()) == best_fit([r[3] for r in rows], 2048)

@@ -76,3 +76,19 @@ def test_odd_rows(spark, odd_docs):
     assert rules == [] and quality.judge(odd_docs, rules).count() == odd_docs.count()
     assert quality.learn_rules(odd_docs, labels.limit(0)) == []
     assert quality.judge(odd_docs.limit(0), rules).count() == 0
+
+
+def test_verdicts_are_those_of_the_list(spark):
+    """rule and kept of every document, by the statistics of the whole text and the list read in plain Python."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn_rules(docs, labels) + [quality.Rule((("mean_word", ">", 5.0), ("digit_ratio", "<=", 0.001)), 1, 0)]
+    judged = {r.doc_id: r for r in quality.judge(docs, rules).collect()}
+    of = {"symbol_ratio": lambda r: r.n_symbols / max(1, r.word_chars), "repeat_ratio": lambda r: r.n_repeat_words / max(1, r.n_words), "dup_line_ratio": lambda r: r.n_dup_lines / max(1, r.n_lines), "upper_ratio": lambda r: r.n_upper / max(1, r.word_chars), "mark_ratio": lambda r: r.n_marks / max(1, r.n_words), "digit_ratio": lambda r: r.n_digits / max(1, r.word_chars), "mean_word": lambda r: r.word_chars / max(1, r.n_words), "words": lambda r: float(r.n_words)}
+    assert of.keys() == quality.FEATURES.keys()
+    for r in judged.values():
+        text = r.text or ""
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_lines, r.n_upper, r.n_marks, r.n_digits) == (len(lines), sum(c.isupper() and c.isalpha() for c in text), len(re.findall("[!?]", text)), len(re.findall("[0-9]", text)))
+        holds = [i for i, rule in enumerate(rules) if all(of[f](r) <= t if op == "<=" else of[f](r) > t for f, op, t in rule.conditions)]
+        assert r.rule == (holds[0] if holds else None) and r.kept == (not r.base_failed and not holds)
+    assert any(r.rule == len(rules) - 1 for r in judged.values()) and sum(r.kept for r in judged.values()) > 20
