@@ -31,8 +31,10 @@ SAMPLE = 20_000
 _SIZE_STEP = 1.25
 #: For near copies, with a Jaccard similarity of 0.8 or more on 5-word shingles. At 0.8 a bit differs with probability 0.15:
 #: 10 of the first 64 bits are expected to, and 29 of the 192 further ones. Within these limits are 97 and 99.9 % of pairs at
-#: 0.8, and of the rest most once the second 64 bits take the place of the first; the shingles themselves then decide.
+#: 0.8, and of the rest most once other 64 bits take the place of the first; the shingles themselves then decide.
 NEAR_COPIES = {"shingle_words": 5, "similarity": 0.8, "distance": 15, "more_words": 3, "more_distance": 50}
+#: How often candidates are looked for, each time by another 64 bits.
+ROUNDS = 3
 #: Sets of so few shingles have too rough a fingerprint. They are candidates by their least hashes, of which similar ones
 #: must share one, whatever their fingerprints.
 SMALL_SET = 25
@@ -343,10 +345,13 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int
         return prints.join(nodes.select("node", F.col("first_id").alias("component_id")), "node", "left").select(id_col, "fp", "component_id")
     plan = allocate(sample, distance, rows if not more_distance else rows / 4)
     links = link(nodes, plan, distance, more_distance, groups=bool(similarity))
-    if similarity and more_words:
-        # once more with the second word of fingerprint in the place of the first: few pairs are over the limit in both
-        turned = nodes.withColumns({"fp": F.get("more", 0), "more": F.concat(F.array("fp"), F.slice("more", 2, 99)), "least": F.array().cast("array<long>")})
-        links = links.unionByName(link(turned, plan, distance, more_distance, groups=True)).distinct()
+    if similarity:
+        # again with another word of fingerprint in the place of the first: hardly a pair is over the limit in all
+        for k in range(min(ROUNDS - 1, more_words)):
+            others = F.array("fp", *(F.get("more", i) for i in range(more_words) if i != k))
+            turned = nodes.withColumns({"fp": F.get("more", k), "more": others, "least": F.array().cast("array<long>")})
+            links = links.unionByName(link(turned, plan, distance, more_distance, groups=True))
+        links = links.distinct()
     links = materialize(links)
     if similarity:
         # the shingles of one document per node that has a candidate, and of no others
