@@ -97,8 +97,8 @@ def test_fusion_by_hand(spark):
 
 
 def test_sparse_by_hand(spark):
-    q = spark.createDataFrame([(0, {"10": 0.5, "20": 0.75})], "id long, weights map<string,double>")
-    rows = spark.createDataFrame([(1, {"10": 1.0, "20": 2.0}), (2, {"10": 3.0}), (3, {"99": 5.0})], "id long, weights map<string,double>")
+    q = spark.createDataFrame([(0, [10, 20], [0.5, 0.75])], "id long, words array<long>, weights array<double>")
+    rows = spark.createDataFrame([(1, [10, 20], [1.0, 2.0]), (2, [10], [3.0]), (3, [99], [5.0]), (4, [], [])], "id long, words array<long>, weights array<double>")
     assert [(r.item, r.score) for r in retrieval.sparse_channel(q, rows).orderBy("rank").collect()] == [(1, 2.0), (2, 1.5)]
 
 
