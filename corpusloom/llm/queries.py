@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import bpe, exact_dedup, filter_audit, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.common import materialize, read_table
 
 
@@ -71,7 +71,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "requested_uri")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(read_table(spark, sf_dir, "documents"))
+    return filter_audit.audit(masks, read_table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(merkle.document_leaves(read_table(spark, sf_dir, "documents")), carry="tampered")
+    folded = merkle.fold_proofs(rows, "tampered")
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2("proof_hex", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc, op12_filter_audit, op13_merkle)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
@@ -88,4 +99,47 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op12_filter_audit": """
+        WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+        judged AS (
+            SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+                   coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS f FROM words),
+        flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        masks AS (
+            SELECT part, f, list_count(list_filter(f, lambda x: x)) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged LEFT JOIN flags USING (doc_id) GROUP BY ALL),
+        one AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        steps AS (SELECT o, list_aggregate(list_transform(o, lambda x: 'ABCDE'[x]), 'string_agg', '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+        r AS (SELECT part, filter_order, step, n, good, toxic, fails, f[o[step]] AS own, len(list_filter(o[1:step - 1], lambda x: f[x])) > 0 AS gone FROM masks, steps)
+        SELECT part, filter_order, step::INT AS step, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+               sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+               sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+               sum(CASE WHEN own THEN n * 120 // fails ELSE 0 END)::BIGINT AS shapley
+        FROM r GROUP BY ALL""",
+    "op13_merkle": """
+        WITH RECURSIVE bytes AS (SELECT doc_id, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS b FROM (SELECT DISTINCT doc_id FROM documents)),
+        crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS crc FROM bytes),
+        d AS (SELECT documents.*, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed,
+              coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+              FROM documents LEFT JOIN crc USING (doc_id)),
+        leaves AS (
+            SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+                   sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered FROM d),
+        up AS (SELECT src, 0 AS lvl, pos, n, leaf AS h FROM leaves UNION ALL SELECT src, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY src, lvl, pos // 3, n),
+        tops AS (SELECT src, lvl, h FROM up WHERE n = 1),
+        over_ AS (SELECT 0 AS lvl, src - 1 AS pos, (SELECT count(*) FROM tops) AS n, h FROM tops UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM over_ WHERE n > 1 GROUP BY lvl, pos // 3, n),
+        nodes AS (SELECT src, lvl, pos, n, h FROM up WHERE n > 1 UNION ALL SELECT tops.src, tops.lvl + over_.lvl, over_.pos, over_.n, over_.h FROM tops, over_ WHERE over_.n > 1),
+        way AS (SELECT doc_id, src, 0 AS lvl, pos, n, 0 AS above FROM leaves UNION ALL
+                SELECT way.doc_id, way.src, CASE WHEN way.n > 1 THEN way.lvl + 1 ELSE way.lvl END, CASE WHEN way.n > 1 THEN way.pos // 3 ELSE way.src - 1 END, CASE WHEN way.n > 1 THEN (way.n + 2) // 3 ELSE (SELECT count(*) FROM tops) END, CASE WHEN way.n > 1 THEN above ELSE 1 END
+                FROM way WHERE way.n > 1 OR (above = 0 AND (SELECT count(*) FROM tops) > 1)),
+        sides AS (
+            SELECT way.doc_id, way.lvl, coalesce(string_agg(h, '' ORDER BY nodes.pos) FILTER (nodes.pos < way.pos), '') AS l, coalesce(string_agg(h, '' ORDER BY nodes.pos) FILTER (nodes.pos > way.pos), '') AS r
+            FROM way JOIN nodes ON nodes.src = way.src AND nodes.lvl = way.lvl AND nodes.n = way.n AND nodes.pos // 3 = way.pos // 3 WHERE way.n > 1 GROUP BY way.doc_id, way.lvl, way.pos),
+        proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof, max(lvl) AS last FROM sides GROUP BY doc_id),
+        folds AS (SELECT doc_id, 0 AS lvl, tampered AS h FROM leaves UNION ALL SELECT folds.doc_id, folds.lvl + 1, sha256(l || h || r) FROM folds JOIN sides ON sides.doc_id = folds.doc_id AND sides.lvl = folds.lvl),
+        folded AS (SELECT doc_id, arg_max(h, lvl) AS folded_root FROM folds GROUP BY doc_id),
+        root AS (SELECT h AS root FROM over_ WHERE n = 1)
+        SELECT doc_id, leaf, tops.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves JOIN tops USING (src) CROSS JOIN root LEFT JOIN proofs USING (doc_id) JOIN folded USING (doc_id)""",
 }
