@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, filter_audit, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, warc
+from corpusloom.llm import bpe, exact_dedup, filter_audit, langid, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, warc
 from corpusloom.llm.common import materialize, read_table
 
 
@@ -71,6 +71,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "requested_uri")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    model = langid.learn(docs.where("NOT held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = filter_audit.failure_masks(read_table(spark, sf_dir, "documents"))
     return filter_audit.audit(masks, read_table(spark, sf_dir, "labels"))
@@ -82,7 +88,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2("proof_hex", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc, op12_filter_audit, op13_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_packing, op3_substring_dedup, op4_simhash, op5_line_dedup, op6_exact_dedup, op7_sharding, op8_quality, op9_secrets, op10_warc, op11_language_id, op12_filter_audit, op13_merkle)}
 
 #: DuckDB SQL of those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
