@@ -8,6 +8,9 @@ are the runs of neighbours with so many words in common, and a window is a node
 other at the rest of it. Where a prefix has more suffixes than a group may, its suffixes are partitioned by longer ones, the
 whole windows, which need no tree: all suffixes of such a group are one node, and are reduced before they are sent.
 Consecutive windows found give the maximal repeats.
+
+Trees compare words by 16 bits of their hashes. They only narrow down: a window counts as equal to another under one node if
+64 further bits, a hash of its 13 words by a second word hash, are equal as well.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,12 @@ def _suffixes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return window_minima(grams, window - anchor + 1), grams
 
 
+def _checks(text: str, window: int) -> np.ndarray:
+    """Per window, 64 bits from other hashes of its words than those that suffixes are found and sorted by."""
+    words = text.encode().split()
+    return rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), window)
+
+
 def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a long, n long): hashes of anchors that more than one document has, and in how many places at least one a
     document. `docs`: _id, _text."""
@@ -56,10 +66,11 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int, of_hot: bool) -> DataFrame:
-    """Suffixes whose prefix may be in the filter `shared`. For those not in `hot` a row (a, _id, _row, pos, left, words): the
-    hash of the prefix; the first window that sampled it, how many words of it come before the suffix; and the words from
-    there to the end of the last such window, 32 bits each. For those that may be in `hot` (node, check, _id, _row, pos): a
-    row per window, two hashes of the whole. What is in `hot` by chance is treated like the rest: all copies alike."""
+    """Suffixes whose prefix may be in the filter `shared`. For those not in `hot` a row (a, _id, _row, pos, left, words, checks):
+    the hash of the prefix; the first window that sampled it, how many words of it come before the suffix; the words from
+    there to the end of the last such window, 16 bits each; and 64 bits a window. For those that may be in `hot` (node, check,
+    _id, _row, pos): a row per window, two hashes of the whole. What is in `hot` by chance is treated like the rest: all
+    copies alike."""
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast((shared, hot))  # both of bounded size
     kind = docs.schema["_id"].dataType.simpleString()
@@ -68,9 +79,10 @@ def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int,
         shared, hot = filters.value
         join = lambda parts: np.concatenate(parts)
         for batch in batches:
-            of, pos, anchor, left, nodes, lengths, checks = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                words = word_hashes(text.as_py())
+            of, pos, anchor, left, nodes, lengths, checks, runs_of = [], [], [], [], [], [], [], []
+            for i, value in enumerate(batch.column(2)):
+                text = value.as_py()
+                words = word_hashes(text)
                 at, grams = _suffixes(words, window)
                 if not len(at):
                     continue
@@ -87,7 +99,7 @@ def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int,
                     of.append(np.full(len(chosen), i))
                     pos.append(chosen)
                     nodes.append(rolling(words, window)[chosen])
-                    checks.append(rolling(words[::-1], window)[::-1][chosen])
+                    checks.append(_checks(text, window)[chosen])
                 else:
                     first, run = starts[keep], runs[keep]
                     size = run + window - 1
@@ -96,7 +108,9 @@ def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int,
                     anchor.append(own[keep])
                     left.append(at[first] - first)
                     lengths.append(size)
-                    nodes.append((words >> np.uint64(32)).astype(np.uint32)[np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)])
+                    runs_of.append(run)
+                    nodes.append((words >> np.uint64(48)).astype(np.uint16)[np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)])
+                    checks.append(_checks(text, window)[np.repeat(keep, runs)])
             if not of:
                 continue
             rows = pa.array(join(of))
@@ -104,11 +118,10 @@ def _sampled(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, window: int,
             if of_hot:
                 yield pa.RecordBatch.from_arrays([pa.array(join(nodes).view(np.int64)), pa.array(join(checks).view(np.int64)), ids, row, pa.array(join(pos), pa.int32())], names=["node", "check", "_id", "_row", "pos"])
             else:
-                offsets = np.concatenate([[0], np.cumsum(join(lengths))]).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(nodes).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(join(anchor).view(np.int64)), ids, row, pa.array(join(pos), pa.int32()), pa.array(join(left), pa.int32()), words], names=["a", "_id", "_row", "pos", "left", "words"])
+                lists = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(join(sizes))]).astype(np.int32)), pa.array(join(values).view(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array(join(anchor).view(np.int64)), ids, row, pa.array(join(pos), pa.int32()), pa.array(join(left), pa.int32()), lists(lengths, nodes, np.int16), lists(runs_of, checks, np.int64)], names=["a", "_id", "_row", "pos", "left", "words", "checks"])
 
-    schema = f"node long, check long, _id {kind}, _row long, pos int" if of_hot else f"a long, _id {kind}, _row long, pos int, left int, words array<int>"
+    schema = f"node long, check long, _id {kind}, _row long, pos int" if of_hot else f"a long, _id {kind}, _row long, pos int, left int, words array<short>, checks array<long>"
     return docs.select("_id", "_row", "_text").mapInArrow(find, schema)
 
 
@@ -144,12 +157,14 @@ def _deep_nodes(rows: pa.Table, window: int) -> pa.RecordBatch:
     mask stands for the window at pos + j.
 
     A window has `before` words before the suffix and the rest in it: equal windows are under one node at depth `before`
-    of the tree of what stands before, and under one at the remaining depth of the tree of suffixes. Two that differ are
-    taken for equal with a probability of 2 ** -32, and only if they differ in a single word outside the prefix."""
+    of the tree of what stands before, and under one at the remaining depth of the tree of suffixes; and they have one
+    check. Two that differ in a single word, outside the prefix, are taken for equal with a probability of 2 ** -80."""
     lists = rows["words"].combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     flat = lists.values.to_numpy()
     first = lists.offsets.to_numpy()[:-1]
+    held = rows["checks"].combine_chunks()
+    checks, first_check = held.values.to_numpy(), held.offsets.to_numpy()[:-1]
     ids, group, left = rows["_id"].to_numpy(), rows["a"].to_numpy(), rows["left"].to_numpy().astype(np.int64)
     prefix = min(ANCHOR, window)
     ahead = np.arange(prefix, window)  # the prefix is the same in a group
@@ -161,9 +176,10 @@ def _deep_nodes(rows: pa.Table, window: int) -> pa.RecordBatch:
     for n in range(window - prefix + 1):  # words before the suffix
         own = np.flatnonzero((left >= n) & (left - n <= lengths - window))
         node = after[own, window - n - prefix] << np.int64(32) | before[own, n]
-        order = np.lexsort((ids[own], node))
-        k, d = node[order], ids[own][order]
-        opens = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        check = checks[first_check[own] + left[own] - n]
+        order = np.lexsort((ids[own], check, node))
+        k, c, d = node[order], check[order], ids[own][order]
+        opens = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
         gone = own[order[d > d[np.flatnonzero(opens)][np.cumsum(opens) - 1]]]
         mask[gone] |= np.int64(1) << (left[gone] - n)
     at = pa.array(np.flatnonzero(mask))

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from corpusloom.llm import substring_dedup
 from corpusloom.llm.bloom import build_bloom, in_bloom
 from corpusloom.llm.queries import QUERIES
@@ -88,3 +89,21 @@ def test_other_windows(spark):
     for window in (2, 3, 5, 6):
         got = substring_dedup.remove_repeats(frame, window=window).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str) == brute(docs, window)
+
+
+@pytest.mark.parametrize("max_group", [50_000, 3])
+def test_words_with_alike_hashes(spark, max_group):
+    """Two words whose hashes agree in their upper half: windows that differ in nothing else aren't equal."""
+    seen, pair = {}, None
+    for i in range(200_000):
+        upper = xxhash.xxh64_intdigest(f"w{i}".encode()) >> 32
+        if upper in seen:
+            pair = (seen[upper], f"w{i}")
+            break
+        seen[upper] = f"w{i}"
+    docs = []
+    for k in range(20):
+        common = " ".join(f"c{k}x{j}" for j in range(12))
+        docs += [(2 * k, f"{common} {pair[0]}"), (2 * k + 1, f"{common} {pair[1]}")]
+    rows = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), max_group=max_group).collect()
+    assert [r.n_removed for r in rows] == [0] * 40
