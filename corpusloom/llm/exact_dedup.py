@@ -1,8 +1,8 @@
 """Exact dedup by two passes over the documents with a Bloom filter between them.
 
 Pass 1 sets bits for 64-bit hashes of the texts and keeps those that were set again (repeat_filter): no row and no hash is
-sent for it. Pass 2 reads the texts again: rows whose bit isn't among those are unique and pass straight through; only the
-others, with their SHA-256 and not their text, are shuffled and grouped exactly.
+sent for it. Pass 2 goes over the rows, which are ids, hashes and SHA-256 by then: those whose bit isn't among them are
+unique and pass straight through; only the others are shuffled and grouped exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept. Null ids are smaller than any other. Other columns are ignored, whatever their names. An empty table gives none.
     """
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    rows = docs.count()
-    hashed = texts.select("_id", F.xxhash64("_text").alias("h"), F.sha2("_text", 256).alias("sha"))
+    hashed = texts.select("_id", F.xxhash64("_text").alias("h"), F.unhex(F.sha2("_text", 256)).alias("sha"))
+    # sorted within files: no row moves, and a slice of the filter reads the part of each file that it is about
+    hashed = materialize(hashed.sortWithinPartitions("h"))
+    rows = hashed.count()
     found = materialize(repeated_hashes(hashed, "h", rows))
     marked = materialize(may_repeat(hashed, "h", found, filter_bits(rows)).drop("h"))
     maybe = marked.where("maybe").select("_id", "sha")
@@ -31,4 +33,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = materialize(maybe.groupBy("sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")))
     joined = maybe.join(groups, "sha").select("_id", "sha", "keep_id", "group_size")
     alone = marked.where("NOT maybe").select("_id", "sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return joined.unionByName(alone).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return joined.unionByName(alone).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -2,8 +2,9 @@
 
 Each task sets bits for the hashes it sees, once or again, and sends its bits packed: a segment of the filter, a range of
 hashes, is one row however many hashes fall into it, of about two bytes a set bit. Segments are merged one by one; what two
-tasks set, or one task twice, is set in the result. That is a table of words, so Spark joins it like any other: broadcast
-if it is small, else dealt by range with the rows that ask for it. Nothing in it grows in one place with the corpus.
+tasks set, or one task twice, is set in the result. That is a table of words, applied in slices of a fixed size: each is a
+range of hashes and is broadcast to the rows of that range where they are. So the rows never move for it, whatever the
+table's size; they are written sorted by hash, file by file, and a slice reads its range of each file.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ BITS_PER_ROW = 64
 #: Hashes of one segment, about: what one step of the merge holds, a few 10 MB.
 ROWS_PER_SEGMENT = 1 << 21
 _FLUSH = 1 << 21
+#: Words of a slice, about: 16 bytes each, so 32 MB are broadcast at a time.
+WORDS_PER_SLICE = 1 << 21
 
 
 def filter_bits(rows: int) -> int:
@@ -88,11 +91,24 @@ def repeated_hashes(hashes: DataFrame, column: str, rows: int, rows_per_segment:
     return marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "word long, bits long")
 
 
-def may_repeat(rows: DataFrame, column: str, found: DataFrame, size: int) -> DataFrame:
+def may_repeat(rows: DataFrame, column: str, found: DataFrame, size: int, words_per_slice: int = WORDS_PER_SLICE) -> DataFrame:
     """`rows` with a column maybe: false where the hash in `column` is certainly that of no other row. `found`, `size`: what
-    repeated_hashes gave, and filter_bits."""
+    repeated_hashes gave, as a written table, and filter_bits. Rows aren't shuffled: words come in slices, broadcast one by
+    one, and each row is asked in the slice that its hash belongs to. Hashes are even, so slices are of about one size."""
+    slices = max(0, (found.count() // words_per_slice).bit_length())  # as a logarithm
     at = F.shiftrightunsigned(column, 64 - size)
     bit: Column = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    asked = rows.withColumns({"_word": F.shiftrightunsigned(at, 6), "_bit": bit})
-    joined = asked.join(found.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")), "_word", "left")
-    return joined.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
+    words = found.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    out = None
+    for i in range(1 << slices):
+        own, asked = words, rows
+        if slices:
+            low = i << (64 - slices)
+            low -= (low >> 63) << 64  # Spark's numbers are signed
+            own = words.where(F.shiftrightunsigned("_word", size - 6 - slices) == i)
+            own_range = F.col(column).between(low, low + (1 << (64 - slices)) - 1)
+            asked = rows.where(own_range if i else own_range | F.col(column).isNull())
+        joined = asked.withColumns({"_word": F.shiftrightunsigned(at, 6), "_bit": bit}).join(F.broadcast(own), "_word", "left")
+        part = joined.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
+        out = part if out is None else out.unionByName(part)
+    return out
