@@ -1,7 +1,7 @@
 """Sharding over fixed virtual slots, with DataFrame functions only.
 
-A text hashes to one of thousands of slots, so equal texts share one; only a group of equal texts too large to be one
-piece of a shard is dealt over all slots. Bytes are summed per slot, and a stored, versioned table maps slots to shards.
+A text hashes to one of thousands of slots, so equal texts share one; only a group of equal texts larger than a shard's
+share is dealt over all slots. Bytes are summed per slot, and a stored, versioned table maps slots to shards.
 Filling that map, and editing it when a shard is added, works on the slot table alone, whose size is the fixed number of
 slots and not the corpus.
 """
@@ -21,8 +21,8 @@ from corpusloom.llm.common import materialize, shared_dir, text_of
 SLOTS = 4096
 #: Rows are numbered within a slot and one of so many parts of it.
 PARTS = 64
-#: A group of equal texts is split if it exceeds this part of a shard's share of the bytes.
-GROUP_SHARE = 0.25
+#: A group of equal texts is split only if it exceeds a shard's share of the bytes.
+GROUP_SHARE = 1.0
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from corpusloom.llm import exact_dedup, line_dedup, sharding
+from corpusloom.llm import exact_dedup, line_dedup, repeat_filter, sharding
 from corpusloom.llm.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = con.sql(ORACLE[name])
     got = QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
@@ -30,6 +31,28 @@ def test_exact_odd_rows(spark, odd_docs):
     assert exact_dedup.exact_groups(odd_docs.limit(0)).count() == 0
 
 
+def test_unique_rows_are_not_shuffled(spark, odd_docs, monkeypatch):
+    """Without automatic broadcasts, and with many slices: what passes straight through meets no exchange of rows."""
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), (F.col("id") % 30000).cast("string").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen = []
+
+    def written(df, *args, **more):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *args, **more)
+
+    materialize = exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", written)
+    monkeypatch.setattr(repeat_filter.may_repeat, "__defaults__", (1000,))
+    try:
+        rows = exact_dedup.exact_groups(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(i, i % 30000 + 30000 if i % 30000 < 10000 else i, 2 if i % 30000 < 10000 else 1) for i in range(40000)]
+    hashed, _, marked, _ = seen
+    assert "Exchange" not in hashed and "Exchange" not in marked.replace("BroadcastExchange", "") and marked.count("BroadcastHashJoin") >= 8
+
+
 def test_line_odd_rows(spark, odd_docs):
     rows = line_dedup.dedup_lines(odd_docs).collect()
     assert sorted(r._kept_text for r in rows) == sorted(r.text or "" for r in odd_docs.collect())
@@ -78,6 +101,16 @@ def test_groups_of_equal_texts(spark):
     assert all(r.n == r.places == r["last"] + 1 for r in shards) and sum(r.n for r in shards) == 30000
 
 
+def test_limit_of_a_group(spark):
+    """A group of 3.5 %, or of nearly a shard's 12.5 %, of the bytes is in one shard; one of 30 % is in all."""
+    for share, shards in ((350, 1), (1200, 1), (3000, 8)):
+        docs = spark.range(10000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < share, F.lit("same!")).otherwise(F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+        got = sharding.shard_documents(docs)
+        assert got.where("doc_id < 350").select("shard").distinct().count() == shards
+        sizes = [r.bytes for r in got.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+        assert max(sizes) < 1.02 * min(sizes)
+
+
 def test_slot_map_grows_and_is_stored(spark, tmp_path):
     sizes = {s: (s * 7919) % 101 + 1 for s in range(512)}
     first = sharding.fill_map(sizes, 8, 512)
@@ -97,8 +130,6 @@ def test_shard_odd_rows(spark, odd_docs):
 
 def test_repeated_hashes(spark):
     """No repeated hash is missing, few others are in; with many small segments too, and over several partitions."""
-    from corpusloom.llm import repeat_filter
-
     rows = spark.range(0, 30000, numPartitions=5).select(F.when(F.col("id") < 29000, F.xxhash64(F.col("id") % 20000)).alias("h"))
     for per_segment in (repeat_filter.ROWS_PER_SEGMENT, 100):
         found = repeat_filter.repeated_hashes(rows, "h", 30000, per_segment)
