@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.calls import found_in_order
+from corpusloom.session import written
+
 
 def user_turns(messages: DataFrame, conversation: str, position: str, role: str) -> DataFrame:
     """`messages` with user_turn: how many user messages there are up to each, 0 before the first."""
@@ -21,6 +24,18 @@ def carry_forward(rows: DataFrame, key: str, position: list[str], value: Column)
     return rows.withColumn("carried", F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*position).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def carried_before(rows: DataFrame, key: str, position: list[str], value: Column) -> DataFrame:
+    """`rows` with carried: the last value that isn't null before each row, its own left out. Rows are dealt over ranges of key and
+    position, so a key with most of the rows is split; what a range's earlier ones end with comes from a row per key and range."""
+    placed = written(rows.withColumn("_value", value).repartitionByRange(key, *position).withColumn("_pid", F.spark_partition_id()))
+    ends = placed.where(F.col("_value").isNotNull()).groupBy(key, "_pid").agg(F.max_by("_value", F.struct(*position)).alias("_end"))
+    chunks = placed.select(key, "_pid").distinct().join(ends, [key, "_pid"], "left")
+    earlier = F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.last("_value", ignorenulls=True).over(Window.partitionBy(key, "_pid").orderBy(*position).rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("_within", within).join(chunks.select(key, "_pid", earlier.alias("_earlier")), [key, "_pid"])
+    return joined.withColumn("carried", F.coalesce("_within", "_earlier")).drop("_value", "_pid", "_within", "_earlier")
+
+
 def sessions(events: DataFrame, user: str, ts: str, ttl_seconds: int, order: str) -> DataFrame:
     """`events` with session: it goes on as long as each event comes within the time to live of the one before."""
     by_user = Window.partitionBy(user).orderBy(ts, order)
@@ -39,33 +54,18 @@ def match_calls(calls: DataFrame, schema_key: str = "fixture") -> DataFrame:
     """(fixture, matched, expected_n, emitted_n): expected calls found in order among the emitted ones, greedily.
 
     `calls`: fixture, kind (expected or emitted), position, tool, argument, result_id. An expected argument `$id` matches an
-    argument that an earlier emitted call returned. Emitted calls of a fixture have different positions. One step per expected
-    call: the least position after the one found before, by joins and aggregations, so no fixture is gathered in a task."""
-    key, row = F.col(schema_key), Window.partitionBy(schema_key).orderBy("position")
-    want = calls.where("kind = 'expected'").select(key.alias("_f"), F.row_number().over(row).alias("_i"), F.col("tool").alias("_tool"), F.col("argument").alias("_argument"))
+    argument that an earlier emitted call returned. Emitted calls of a fixture have different positions; rows without a
+    fixture count as one without matches. No fixture is gathered in a task."""
+    key = F.col(schema_key)
     got = calls.where("kind = 'emitted'")
-    most = want.agg(F.max("_i").alias("n"), F.coalesce(F.bool_or(F.col("_argument") == "$id"), F.lit(False)).alias("ids")).first()
-    known = F.lit(False)
-    if most.ids:
-        returned = got.groupBy(F.col(schema_key).alias("_g"), F.col("result_id").alias("_r")).agg(F.min("position").alias("_returned"))
-        got = got.join(returned, key.eqNullSafe(F.col("_g")) & F.col("argument").eqNullSafe(F.col("_r")), "left").drop("_g", "_r")
-        known = F.coalesce(F.col("_returned") < F.col("position"), F.lit(False))
+    want = calls.where("kind = 'expected'").select(key, F.row_number().over(Window.partitionBy(schema_key).orderBy("position")).alias("place"), "tool", F.col("argument").alias("want"))
+    returned = got.groupBy(key.alias("_g"), F.col("result_id").alias("_r")).agg(F.min("position").alias("_returned"))
+    got = got.join(returned, (key == F.col("_g")) & (F.col("argument") == F.col("_r")), "left")
+    known = F.when(F.col("_returned") < F.col("position"), F.array("argument"))
+    fits = lambda want, given, known: bool(known) if want == "$id" else want == given
+    matched = found_in_order(want, got.select(key, "position", "tool", F.col("argument").alias("given"), known.alias("known")), schema_key, ["position"], fits)
     counts = calls.groupBy(schema_key).agg(F.count_if(F.col("kind") == "expected").alias("expected_n"), F.count_if(F.col("kind") == "emitted").alias("emitted_n"))
-    state = want.where("_i = 1").withColumn("_after", F.lit(None).cast(calls.schema["position"].dataType))
-    steps: list[DataFrame] = []
-    for i in range(1, (most.n or 0) + 1):
-        fits = F.when(F.col("_argument") == "$id", known).otherwise(F.col("argument").eqNullSafe(F.col("_argument")))
-        after = F.col("_after").isNull() | (F.col("position") > F.col("_after"))
-        found = got.join(state, key.eqNullSafe(F.col("_f")) & F.col("tool").eqNullSafe(F.col("_tool")) & after & fits).groupBy(F.col("_f").alias("_m")).agg(F.min("position").alias("_after"))
-        steps.append(found.select("_m", F.lit(i).cast("long").alias("matched")))
-        state = want.where(F.col("_i") == i + 1).join(found, F.col("_f").eqNullSafe(F.col("_m"))).drop("_m")
-    if not steps:
-        return counts.select(schema_key, F.lit(0).cast("long").alias("matched"), "expected_n", "emitted_n")
-    reached = steps[0]
-    for step in steps[1:]:
-        reached = reached.unionByName(step)
-    matched = reached.groupBy("_m").agg(F.max("matched").alias("matched"))
-    return counts.join(matched, key.eqNullSafe(F.col("_m")), "left").select(schema_key, F.coalesce("matched", F.lit(0)).alias("matched"), "expected_n", "emitted_n")
+    return counts.join(matched.select(key.alias("_m"), "matched"), key == F.col("_m"), "left").select(schema_key, F.coalesce("matched", F.lit(0)).alias("matched"), "expected_n", "emitted_n")
 
 
 def lock_entities(texts: DataFrame, text_col: str, entities_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import matching, stats
+from corpusloom.operators import metrics
 
 # fixed values: words that don't make a title of a phrase, small words within titles, and slices by the start of an id
 NON_TITLE_WORDS = ["telugu", "tamil", "hindi", "malayalam", "kannada", "bengali", "sinhala", "chinese", "english", "indian", "original", "remake", "dub", "version", "wikidata", "tmdb", "imdb"]
@@ -118,3 +119,28 @@ def dataset_issues(conversations: DataFrame, known: DataFrame, fixtures: DataFra
     listed = fixtures.sparkSession.createDataFrame([(c,) for c in categories], "subject string")
     bare = listed.join(fixtures.select(F.substring("fixture", 1, 5).alias("subject")).distinct(), "subject", "left_anti").select("subject", F.lit("scenario category uncovered").alias("issue"), F.lit("").alias("detail"))
     return unknown.unionByName(repeated).unionByName(bare)
+
+
+def run_block(results: DataFrame, turns: DataFrame) -> DataFrame:
+    """What metric_block leaves out, one row per slice and one for all (slice null): slot_micro_f1 over sums (null without slots),
+    code_mixed_intent_accuracy, negative_inventions, means of the judges' scores over the fixtures that have one, and of the turns
+    p50 and p95 of the latency by the exclusive method and tokens a second over the turns' whole time (null without either).
+
+    `results`: fixture, slice, tp, fp, fn, intents, intents_right, invented, coherence, ragas_faithfulness, answer_relevancy; `turns`:
+    fixture, slice, latency_ms, completion_tokens. No slice's turns are gathered or sorted in one task."""
+    own = lambda name, what: F.sum(F.when(F.col("slice") == name, F.col(what)))
+    mean = lambda c: F.avg(c).alias(c)
+    tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
+    block = results.withColumn("_s", F.col("slice")).groupingSets([["_s"], []], "_s").agg(
+        F.when(F.count("tp") > 0, stats.f1(tp, fp, fn)).alias("slot_micro_f1"), F.try_divide(own("code_mixed", "intents_right"), own("code_mixed", "intents")).alias("code_mixed_intent_accuracy"), F.coalesce(own("negative", "invented"), F.lit(0)).alias("negative_inventions"),
+        mean("coherence"), mean("ragas_faithfulness"), mean("answer_relevancy"),
+    )
+    # every turn counts for its slice and for all; the rows of either are numbered over ranges of their values
+    both = turns.select(F.explode(F.array(F.struct(F.col("slice").alias("g"), F.lit(0).alias("all")), F.struct(F.lit(None).cast(results.schema["slice"].dataType).alias("g"), F.lit(1).alias("all")))).alias("_who"), F.col("latency_ms").cast("double").alias("latency_ms"), "completion_tokens")
+    sums = both.groupBy("_who").agg(F.sum("completion_tokens").alias("tokens"), F.sum("latency_ms").alias("ms"))
+    cuts = {i: stats.exclusive_position(F.col("n"), i, 100) for i in (50, 95)}
+    found = metrics.order_statistics(both, "_who", "latency_ms", {f"{name}{i}": j.cast("long") + step for i, (j, _) in cuts.items() for name, step in (("low", -1), ("high", 0))})
+    at = {i: F.when(F.col("n") >= 2, (F.col(f"low{i}") * (100 - delta) + F.col(f"high{i}") * delta) / 100).otherwise(F.col(f"low{i}")) for i, (_, delta) in cuts.items()}
+    speed = F.when((F.col("tokens") > 0) & (F.col("ms") > 0), F.round(F.col("tokens") / (F.col("ms") / 1000), 2))
+    timed = sums.join(found, "_who", "left").select(F.col("_who.g").alias("_t"), *(F.round(v, 2).alias(f"latency_p{i}_ms") for i, v in at.items()), speed.alias("tokens_per_sec"))
+    return block.join(timed, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t").withColumnRenamed("_s", "slice")

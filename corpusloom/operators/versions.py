@@ -28,6 +28,23 @@ def version_sets(asked: DataFrame, versions: DataFrame, franchises: DataFrame |
     return rows.withColumn("is_the_original", F.coalesce(able & first, F.lit(False)))
 
 
+# fixed values: labels of a version's edges
+EDGE_LABELS = {"is_remake_of": "remake", "is_official_dub_of": "official_dub"}
+
+
+def version_entries(rows: DataFrame, cast: DataFrame, edges: DataFrame, leads: int = 5) -> DataFrame:
+    """`rows` of version_sets with leads (names of the first `leads` leads by billing, then name) and relationship: that of an edge
+    that the version goes out from, the least by type and target of several, else `original`, else `sequel` for a version of
+    another work than the asked one, else null. `cast`: version_id, name, role_kind, billing_order; `edges`: edge_type, src, dst."""
+    asked = rows.select("version_id").distinct()
+    names = refine.top_names(cast.where("role_kind = 'lead'").join(asked, "version_id", "left_semi"), "version_id", [F.asc_nulls_last("billing_order"), F.asc("name")], "name", leads)
+    kinds = F.create_map(*(F.lit(x) for pair in EDGE_LABELS.items() for x in pair))
+    out = edges.where(F.col("edge_type").isin(*EDGE_LABELS)).groupBy(F.col("src").alias("version_id")).agg(F.min(F.struct("edge_type", "dst")).alias("_edge"))
+    joined = rows.join(names.select("version_id", F.col("names").alias("leads")), "version_id", "left").join(out, "version_id", "left")
+    label = F.when(F.col("_edge").isNotNull(), kinds[F.col("_edge.edge_type")]).when(F.col("is_original"), "original").when(F.col("work_id") != F.col("asked"), "sequel")
+    return joined.withColumns({"leads": F.coalesce("leads", F.array().cast("array<string>")), "relationship": label}).drop("_edge")
+
+
 def with_source(works: DataFrame, edges: DataFrame) -> DataFrame:
     """`works` (work_id, title, work_type) with n_based_on and the work that each is based on, the least id of several:
     source_id, source_title, source_type. A source that isn't among the works has an id but no title."""

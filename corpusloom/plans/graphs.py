@@ -25,7 +25,7 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH s AS (SELECT o_custkey AS id, o_orderpriority AS p, o_orderkey % 1500 AS t FROM orders)
     SELECT DISTINCT * FROM (SELECT 'is_remake_of' AS edge_type, id AS src, t AS dst FROM s WHERE p = '1-URGENT' UNION ALL SELECT 'is_remake_of', t, id FROM s WHERE p = '2-HIGH' UNION ALL SELECT 'is_sequel_of', id, t FROM s WHERE p = '3-MEDIUM') WHERE src <> dst""")
 def edge_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("property")).agg(F.collect_set(F.col("o_orderkey") % 1500).alias("targets"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("property"), F.array(F.col("o_orderkey") % 1500).alias("targets"))
     return graph.derive_edges(rows, {"1-URGENT": ("is_remake_of", False), "2-HIGH": ("is_remake_of", True), "3-MEDIUM": ("is_sequel_of", False)})
 
 

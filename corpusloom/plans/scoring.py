@@ -60,6 +60,28 @@ def generation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.withColumns({c: F.round(c, 6) for c in ("sequence_accuracy", "call_level", "schema_validity", "intent_accuracy", "hallucinated_rate", "faithfulness")})
 
 
+@query("""
+    WITH r AS (SELECT ['code_mixed', 'negative', 'backtracking'][o_custkey % 3 + 1] AS slice, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 5 END AS tp, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 3 END AS fp, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 2 END AS fn, o_custkey % 4 AS intents, (o_custkey % 4) // 2 AS rightly, o_custkey % 7 AS invented, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 2 END AS coherence, CASE WHEN o_orderkey % 6 = 0 THEN 0.5 END AS rf FROM orders),
+    b AS (SELECT slice, round(CASE WHEN count(tp) = 0 THEN NULL WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 1 ELSE 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) END, 6)::DOUBLE AS slot_micro_f1, round(sum(rightly) FILTER (slice = 'code_mixed') / nullif(sum(intents) FILTER (slice = 'code_mixed'), 0), 6) AS code_mixed_intent_accuracy,
+        coalesce(sum(invented) FILTER (slice = 'negative'), 0)::BIGINT AS negative_inventions, round(avg(coherence), 6) AS coherence, round(avg(rf), 6)::DOUBLE AS ragas_faithfulness FROM r GROUP BY GROUPING SETS ((slice), ())),
+    t AS (SELECT ['code_mixed', 'negative', 'backtracking'][user_id % 3 + 1] AS slice, round(value, 2) AS ms, user_id % 50 AS tokens FROM events WHERE value > 0),
+    u AS (SELECT slice, ms, tokens FROM t UNION ALL SELECT NULL, ms, tokens FROM t),
+    l AS (SELECT slice, list_sort(list(ms)) AS a, count(*) AS n, sum(tokens) AS tokens, sum(ms) AS total FROM u GROUP BY slice),
+    p AS (SELECT *, greatest(1, least(50 * (n + 1) // 100, n - 1))::INT AS j50, greatest(1, least(95 * (n + 1) // 100, n - 1))::INT AS j95 FROM l)
+    SELECT b.*, round((a[j50] * (100 - (50 * (n + 1) - j50 * 100)) + a[j50 + 1] * (50 * (n + 1) - j50 * 100)) / 100, 2) AS latency_p50_ms, round((a[j95] * (100 - (95 * (n + 1) - j95 * 100)) + a[j95 + 1] * (95 * (n + 1) - j95 * 100)) / 100, 2) AS latency_p95_ms, round(tokens / (total / 1000), 2) AS tokens_per_sec
+    FROM b JOIN p ON b.slice IS NOT DISTINCT FROM p.slice""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of a run's metrics: slots, code-mixed intents, inventions of negatives, judges, latency and rate."""
+    name = lambda c: F.element_at(F.array(*map(F.lit, ("code_mixed", "negative", "backtracking"))), (c % 3 + 1).cast("int"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    results = table(spark, sf_dir, "orders").select(
+        o.alias("fixture"), name(c).alias("slice"), *(F.when(o % 4 > 0, c % k).alias(n) for n, k in (("tp", 5), ("fp", 3), ("fn", 2))), (c % 4).alias("intents"), F.expr("(o_custkey % 4) DIV 2").alias("intents_right"), (c % 7).alias("invented"), F.when(o % 3 == 0, c % 2).alias("coherence"), F.when(o % 6 == 0, 0.5).alias("ragas_faithfulness"), F.lit(None).cast("double").alias("answer_relevancy")
+    )
+    turns = table(spark, sf_dir, "events").where("value > 0").select(F.col("user_id").alias("fixture"), name(F.col("user_id")).alias("slice"), F.round("value", 2).alias("latency_ms"), (F.col("user_id") % 50).alias("completion_tokens"))
+    block = scoring.run_block(results, turns).drop("answer_relevancy")
+    return block.withColumns({c: F.round(c, 6) for c in ("slot_micro_f1", "code_mixed_intent_accuracy", "coherence", "ragas_faithfulness")})
+
+
 @query("""
     WITH o AS (SELECT o_orderkey AS item_id, CASE WHEN o_custkey % 2 = 0 THEN 'coherence' ELSE 'faithfulness' END AS kind, (o_totalprice > 150000)::INT AS label, CASE WHEN o_orderkey % 9 = 0 THEN (o_totalprice <= 150000)::INT ELSE (o_totalprice > 150000)::INT END AS again FROM orders WHERE o_orderkey % 3 > 0),
     s AS (SELECT kind, count(*) AS n, avg((label = again)::INT) AS po, avg(label) AS a, avg(again) AS b FROM o GROUP BY GROUPING SETS ((kind), ()))
@@ -93,7 +115,7 @@ def fixture_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT c, 'scenario category uncovered', '' FROM (SELECT 'GS-' || lpad(i::VARCHAR, 2, '0') AS c FROM range(1, 12) t(i)) WHERE c NOT IN (SELECT substr(fixture, 1, 5) FROM f)""")
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown ids, repeated fixtures and categories without one."""
-    conversations = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("conv_id")).agg(F.collect_set("l_partkey").alias("entity_ids"))
+    conversations = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conv_id"), "l_partkey").distinct().withColumn("entity_ids", F.array("l_partkey"))
     fixtures = table(spark, sf_dir, "orders").select(F.concat(F.lit("GS-"), F.lpad((F.col("o_orderkey") % 9).cast("string"), 2, "0"), "o_custkey").alias("fixture"))
     return scoring.dataset_issues(conversations, table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("id")), fixtures, [f"GS-{i:02d}" for i in range(1, 12)])
 

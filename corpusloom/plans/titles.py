@@ -71,20 +71,41 @@ _FRANCHISES = """
     n AS (SELECT src AS node FROM b UNION SELECT dst FROM b), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.seen)"""
 
 
-@query(f"""
-    WITH RECURSIVE {_FRANCHISES},
-    v AS (SELECT p_partkey AS version_id, p_partkey % 61 AS work_id, CASE WHEN p_size % 3 = 0 THEN 'other' ELSE 'indian' END AS country, CASE WHEN p_size > 5 THEN 1970 + p_size END AS year, p_size % 5 = 0 AS is_original, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS hub_id FROM part),
-    p AS (SELECT work_id AS asked, work_id FROM v WHERE work_id % 10 = 0 UNION SELECT node, seen FROM r WHERE node IN (SELECT work_id FROM v WHERE work_id % 10 = 0)),
-    j AS (SELECT p.asked, v.* FROM p JOIN v ON v.work_id = p.work_id WHERE country = 'indian')
-    SELECT asked, version_id, work_id, year, is_original AND work_id = asked AND row_number() OVER (PARTITION BY asked ORDER BY (is_original AND work_id = asked) DESC, hub_id IS NULL, year NULLS LAST, version_id) = 1 AS is_the_original FROM j""")
-def version_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The versions of every tenth work and its franchise, of one country, with the original marked."""
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("version_id"), (F.col("p_partkey") % 61).alias("work_id"), F.when(F.col("p_size") % 3 == 0, "other").otherwise("indian").alias("country"), F.when(F.col("p_size") > 5, 1970 + F.col("p_size")).alias("year"), (F.col("p_size") % 5 == 0).alias("is_original"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).alias("hub_id")
     )
     edges = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey DIV 3").alias("dst"))
     asked = rows.select("work_id").where("work_id % 10 = 0")
-    return versions.version_sets(asked, rows, graph.undirected_closure(edges), scope="indian").select("asked", "version_id", "work_id", "year", "is_the_original")
+    return versions.version_sets(asked, rows, graph.undirected_closure(edges), scope="indian")
+
+
+_SETS = """
+    v AS (SELECT p_partkey AS version_id, p_partkey % 61 AS work_id, CASE WHEN p_size % 3 = 0 THEN 'other' ELSE 'indian' END AS country, CASE WHEN p_size > 5 THEN 1970 + p_size END AS year, p_size % 5 = 0 AS is_original, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS hub_id FROM part),
+    p AS (SELECT work_id AS asked, work_id FROM v WHERE work_id % 10 = 0 UNION SELECT node, seen FROM r WHERE node IN (SELECT work_id FROM v WHERE work_id % 10 = 0)),
+    j AS (SELECT p.asked, v.* FROM p JOIN v ON v.work_id = p.work_id WHERE country = 'indian')"""
+
+
+@query(f"""
+    WITH RECURSIVE {_FRANCHISES}, {_SETS}
+    SELECT asked, version_id, work_id, year, is_original AND work_id = asked AND row_number() OVER (PARTITION BY asked ORDER BY (is_original AND work_id = asked) DESC, hub_id IS NULL, year NULLS LAST, version_id) = 1 AS is_the_original FROM j""")
+def version_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of every tenth work and its franchise, of one country, with the original marked."""
+    return _sets(spark, sf_dir).select("asked", "version_id", "work_id", "year", "is_the_original")
+
+
+@query(f"""
+    WITH RECURSIVE {_FRANCHISES}, {_SETS},
+    c AS (SELECT l_partkey AS version_id, 's' || l_suppkey AS name, min(l_linenumber) AS b FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+    l AS (SELECT version_id, string_agg(name, ',' ORDER BY b, name) AS leads FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY b, name) <= 5) GROUP BY version_id),
+    x AS (SELECT l_partkey AS version_id, min(CASE l_returnflag WHEN 'A' THEN 'official_dub' WHEN 'R' THEN 'remake' END) AS label FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity > 48 GROUP BY l_partkey)
+    SELECT asked, j.version_id, coalesce(leads, '') AS leads, CASE WHEN label IS NOT NULL THEN label WHEN is_original THEN 'original' WHEN work_id <> asked THEN 'sequel' END AS relationship FROM j LEFT JOIN l USING (version_id) LEFT JOIN x USING (version_id)""")
+def version_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same versions with their first leads and how each is related to the rest."""
+    lines = table(spark, sf_dir, "lineitem")
+    cast = lines.groupBy(F.col("l_partkey").alias("version_id"), F.concat(F.lit("s"), "l_suppkey").alias("name"), F.when(F.col("l_returnflag") == "N", "support").otherwise("lead").alias("role_kind")).agg(F.min("l_linenumber").alias("billing_order"))
+    edges = lines.where("l_quantity > 48").select(F.when(F.col("l_returnflag") == "A", "is_official_dub_of").when(F.col("l_returnflag") == "R", "is_remake_of").otherwise("based_on").alias("edge_type"), F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return versions.version_entries(_sets(spark, sf_dir), cast, edges).select("asked", "version_id", F.array_join("leads", ",").alias("leads"), "relationship")
 
 
 @query("""
