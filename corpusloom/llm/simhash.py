@@ -33,8 +33,8 @@ _SIZE_STEP = 1.25
 #: 10 of the first 64 bits are expected to, and 29 of the 192 further ones. Within these limits are 97 and 99.9 % of pairs at
 #: 0.8, and of the rest most once other 64 bits take the place of the first; the shingles themselves then decide.
 NEAR_COPIES = {"shingle_words": 5, "similarity": 0.8, "distance": 15, "more_words": 3, "more_distance": 50}
-#: How often candidates are looked for, each time by another 64 bits.
-ROUNDS = 3
+#: How often candidates are looked for, each time by another 64 bits: as few times as recall needs.
+ROUNDS = 1
 #: Sets of so few shingles have too rough a fingerprint. They are candidates by their least hashes, of which similar ones
 #: must share one, whatever their fingerprints.
 SMALL_SET = 25
