@@ -34,12 +34,16 @@ _SIZE_STEP = 1.25
 #: 0.8, and of the rest most once other 64 bits take the place of the first; the shingles themselves then decide.
 NEAR_COPIES = {"shingle_words": 5, "similarity": 0.8, "distance": 15, "more_words": 3, "more_distance": 50}
 #: How often candidates are looked for, each time by another 64 bits: as few times as recall needs.
-ROUNDS = 1
+ROUNDS = 3
 #: Sets of so few shingles have too rough a fingerprint. They are candidates by their least hashes, of which similar ones
 #: must share one, whatever their fingerprints.
 SMALL_SET = 25
 #: Fingerprints under one key that a task takes at once; a key with more, as estimated from every 64th, is divided.
 MAX_UNDER_KEY = 200_000
+#: Sets of a group of candidates that a task compares at once: larger groups are dealt over pairs of blocks of half as many.
+MAX_GROUP = 1_000
+#: Bytes of rows that a task holds before it works on the groups that are complete.
+_HELD = 64 << 20
 _KEY_COST, _CHECK_COST = 1e-6, 2e-9
 
 
@@ -217,23 +221,24 @@ def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table, int, int], I
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
 
         def close(last: bool) -> pa.RecordBatch:
-            nonlocal held, n
+            nonlocal held, n, size
             table = pa.Table.from_batches(held).combine_chunks()
             key = table["key"].to_numpy()
             bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)] if last else []]).astype(int)
             out = [x for i, j in itertools.pairwise(bounds) if j - i > 1 for x in work(table, i, j)]
             held = [] if last else table.slice(bounds[-1]).to_batches()
-            n = 0
+            n = size = 0
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-                if n >= flush:
+                size += batch.nbytes
+                if n >= flush or size >= _HELD:
                     yield close(last=False)
         if held:
             yield close(last=True)
@@ -312,9 +317,20 @@ def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, mo
     return _by_key(keyed, "key long, node long" if groups else "a long, b long", verify).distinct()
 
 
-def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _in_blocks(members: DataFrame, most: int) -> DataFrame:
+    """`members` (key, node), with groups of more than `most` under keys for pairs of blocks of them, of at most about `most` nodes:
+    any two nodes of a group meet under one of its keys."""
+    block = max(1, most // 2)
+    large = members.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    joined = members.join(materialize(large), "key", "left")
+    dealt = joined.where("_blocks IS NOT NULL").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_own <> _other")
+    return joined.where("_blocks IS NULL").select("key", "node").unionByName(dealt.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "node"))
+
+
+def similar_links(members: DataFrame, sets: DataFrame, similarity: float, most: int = MAX_GROUP) -> DataFrame:
     """Links (a, b) that keep the components of exact Jaccard similarities of at least `similarity` within each group of
-    `members` (key, node). `sets`: (node, hashes)."""
+    `members` (key, node), a table. `sets`: (node, hashes). What a task holds at once is bounded by `most` sets."""
 
     def verify(table: pa.Table, i: int, j: int) -> Iterator[tuple]:
         part = table.slice(i, j - i)
@@ -322,7 +338,7 @@ def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
         for own in _similar([np.frombuffer(x.as_buffer(), np.uint64) for x in part["hashes"].combine_chunks()], similarity):
             yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
 
-    return _by_key(members.join(sets, "node").select("key", "node", "hashes"), "a long, b long", verify, flush=4_000).distinct()
+    return _by_key(_in_blocks(members, most).join(sets, "node").select("key", "node", "hashes"), "a long, b long", verify, flush=4_000).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int = 4, more_words: int = 0, more_distance: int = 0, similarity: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

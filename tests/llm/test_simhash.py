@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from corpusloom.llm import simhash
 from corpusloom.llm.components import connected_components
+from corpusloom.llm.components import connected_components
 from corpusloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +145,19 @@ def test_exact_clusters():
                 got[k] = int(min(own))
         # two empty sets have no similarity to speak of; they are one fingerprint, and linked by that
         assert all(got[k] == want[k] for k in want if sets[k])
+
+
+def test_large_groups_meet_in_blocks(spark):
+    """A group dealt over pairs of blocks holds together what one task would."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, (6, 40))
+    rows = [(i, np.sort(np.where(rng.random(40) < 0.03, rng.integers(0, 2**62, 40), base[i % 6]).astype(np.uint64)).tobytes()) for i in range(180)]
+    sets = spark.createDataFrame([(n, bytearray(h)) for n, h in rows], "node long, hashes binary")
+    members = spark.createDataFrame([(7, n) for n, _ in rows] + [(8, n) for n, _ in rows[:9]], "key long, node long")
+    parts = []
+    for most in (1000, 20):
+        links = simhash.similar_links(members, sets, 0.8, most)
+        parts.append({(r.node, r.component) for r in connected_components(links).collect()})
+    assert parts[0] == parts[1] and len(parts[0]) > 150
+    dealt = simhash._in_blocks(members, 20).groupBy("key").count().collect()
+    assert max(r["count"] for r in dealt) <= 45 and len(dealt) > 100
