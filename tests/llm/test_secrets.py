@@ -97,6 +97,32 @@ def test_spans_of_candidates():
         assert time.process_time() - began < 2
 
 
+def test_schemes_and_urls():
+    got = lambda t: [t[s:e] for s, e, _ in secrets.candidates(t)]
+    assert got("Authorization: Bearer abcdef123456 x") == ["abcdef123456"] and got('"Authorization": "Basic dXNlcjpwYXNz"') == ["dXNlcjpwYXNz"]
+    assert got("see postgres://admin:s3cr3tPw9@db.host:5432/x now") == ["s3cr3tPw9"] and got("redis://:p4ssw0rdX@host") == ["p4ssw0rdX"]
+    assert got("http://host:8080/path@x") == [] and got("token: Bearer") == ["Bearer"]
+    for long in ("://a:" * 20_000, "://" * 20_000, "auth: bearer " * 10_000, "://a:" + "b" * 100_000):
+        began = time.process_time()
+        secrets.candidates(long)
+        assert time.process_time() - began < 2
+
+
+def test_forms_that_the_labels_do_not_have(spark, model):
+    """Other vendors' tokens, other schemes, settings in other notations; and other things that only look like secrets."""
+    rng = random.Random(21)
+    pick = lambda k, chars=string.ascii_letters + string.digits: "".join(rng.choices(chars, k=k))
+    real, false = [], []
+    for _ in range(15):
+        real += [f"deploy with glpat-{pick(20)} please", f"export STRIPE=sk_test_{pick(24)}", f"Authorization: Basic {pick(36)}==", f"mysql://root:{pick(14)}@10.0.0.7:3306/shop", f"<password>x</password> passphrase: {pick(22)}", f"GITHUB_TOKEN=gho_{pick(36)}", f'"secretKey": "{pick(40)}"', f"pwd={pick(14, 'abcdef0123456789')}", f"slack xoxp-{pick(11, string.digits)}-{pick(24)}"]
+        false += [f"built at git tree {pick(40, '0123456789abcdef')}", f"etag {pick(32, '0123456789abcdef')} cached", "password: please choose", f"secret_name = my_config_{pick(2, string.digits)}", f"trace id {pick(8, '0123456789abcdef')}-{pick(4, '0123456789abcdef')}-{pick(4, '0123456789abcdef')}-{pick(4, '0123456789abcdef')}-{pick(12, '0123456789abcdef')}", "token = getToken(request)", "api_key: your_api_key"]
+    docs = spark.createDataFrame([(i, t, None, y) for i, (t, y) in enumerate([(t, 1) for t in real] + [(t, 0) for t in false])], "doc_id long, text string, source string, label int")
+    hit = {r.doc_id for r in secrets.scan(docs, model).where("is_secret").collect()}
+    recall, wrong = sum(i in hit for i in range(len(real))) / len(real), sum(i in hit for i in range(len(real), len(real) + len(false))) / len(false)
+    print("other forms: recall", recall, "false findings", wrong)
+    assert recall > 0.85 and wrong < 0.15
+
+
 def test_chosen_findings():
     """A bounded sample by hash: half of each label however the list is sorted, and independent of its order."""
     findings = [(f"token={i:040x}", "a", int(i >= 900)) for i in range(1000)]
