@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import jsontree
 from corpusloom.operators import scoring
+from corpusloom.session import written
 
 #: fixed value: what stands after a title that no result has
 UNVERIFIED = "[unverified — not in tool results]"
@@ -46,6 +49,42 @@ def call_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return joined.select("call_id", F.explode(errors).alias("error"))
 
 
+@F.arrow_udf(T.MapType(T.StringType(), T.StructType().add("kind", T.StringType()).add("text", T.StringType())))
+def typed_arguments(arguments: pa.Array) -> pa.Array:
+    """Of a JSON object, each key with the kind of its value (string, integer, number, boolean, array, object, null) and, of strings and
+    numbers, the text. Null for anything else."""
+    kinds = {str: "string", bool: "boolean", int: "integer", float: "number", list: "array", dict: "object", type(None): "null"}
+    out = []
+    for text in arguments.to_pylist():
+        try:
+            got = jsontree.parse(text)
+        except ValueError:
+            got = None
+        out.append([(k, {"kind": kinds[type(v)], "text": str(v) if isinstance(v, str | int | float) and not isinstance(v, bool) else None}) for k, v in got.items()] if isinstance(got, dict) else None)
+    return pa.array(out, pa.map_(pa.string(), pa.struct([("kind", pa.string()), ("text", pa.string())])))
+
+
+def argument_issues(calls: DataFrame, schema: DataFrame) -> DataFrame:
+    """(call_id, issue, parameter) of calls (call_id, tool, arguments JSON) against a frozen schema (tool, parameter, kind, required,
+    choices array<string>): unknown_tool, not_an_object, missing, unexpected, wrong_kind, not_a_choice. An integer is a number, too;
+    null counts as a value of no kind; a null kind or null choices allow all. Each parameter meets its own rule by a join, so a tool
+    may have any number of them."""
+    tools = schema.select("tool").distinct()
+    read = written(calls.select("call_id", "tool", typed_arguments(F.col("arguments")).alias("a")))
+    unknown = read.join(tools, "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("issue"), F.lit(None).cast("string").alias("parameter"))
+    known = read.join(tools, "tool", "left_semi")
+    bad = known.where("a IS NULL").select("call_id", F.lit("not_an_object").alias("issue"), F.lit(None).cast("string").alias("parameter"))
+    given = known.where("a IS NOT NULL").select("call_id", "tool", F.explode("a").alias("parameter", "v")).select("call_id", "tool", "parameter", "v.kind", "v.text")
+    rules = schema.select("tool", "parameter", F.col("kind").alias("_kind"), "required", "choices", F.lit(True).alias("_rule"))
+    held = given.join(rules, ["tool", "parameter"], "left")
+    fits = F.col("_kind").isNull() | (F.col("kind") == F.col("_kind")) | ((F.col("kind") == "integer") & (F.col("_kind") == "number"))
+    issue = F.when(F.col("_rule").isNull(), "unexpected").when(~fits, "wrong_kind").when(F.col("choices").isNotNull() & ~F.coalesce(F.array_contains("choices", F.col("text")), F.lit(False)), "not_a_choice")
+    wrong = held.select("call_id", issue.alias("issue"), "parameter").where("issue IS NOT NULL")
+    needed = known.where("a IS NOT NULL").select("call_id", "tool", F.map_keys("a").alias("_has")).join(rules.where("required").select("tool", "parameter"), "tool")
+    missing = needed.where(~F.array_contains("_has", F.col("parameter"))).select("call_id", F.lit("missing").alias("issue"), "parameter")
+    return unknown.unionByName(bad).unionByName(wrong).unionByName(missing)
+
+
 def flag_titles(answers: DataFrame, ungrounded: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`answers` with gated: UNVERIFIED after every place where an ungrounded title (`id_col`, title) stands, in any case, with its
     emphasis, quotes and year before the mark; not again where it already stands. An answer that names a title in no

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import jsontree, text
-from corpusloom.operators import calls, extraction, ingest
+from corpusloom.operators import calls, extraction, guards, ingest
 from corpusloom.plans.registry import query
 from corpusloom.plans.texts import PLANTED
 from corpusloom.session import table
@@ -157,3 +157,47 @@ def typed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(a).alias("arguments")) for t, a in wanted))
     expected = events.select("user_id").distinct().select("user_id", F.posexplode(lists).alias("place", "_w")).select("user_id", "place", "_w.*")
     return calls.score_calls(expected, emitted, "user_id", ["ts", "event_id"])
+
+
+_CALLS = """
+    SELECT event_id AS call_id, CASE event_id % 5 WHEN 4 THEN 'fly' ELSE 'get_versions' END AS tool,
+        CASE event_id % 7 WHEN 0 THEN '{"work_id": "w1", "scope": "indian"}' WHEN 1 THEN '{"work_id": 5, "scope": "everywhere"}' WHEN 2 THEN '{"scope": "all", "depth": 2.5}' WHEN 3 THEN '["w1"]' WHEN 4 THEN '{"work_id": "w1", "limit": ' || user_id || ', "share": 1}' WHEN 5 THEN '{"work_id": null, "deep": {"a": 1}}' ELSE '{"work_id": "w1"' END AS arguments FROM events"""
+
+
+@query(f"""
+    WITH c AS ({_CALLS}), s(parameter, kind, required, choices) AS (VALUES ('work_id', 'string', true, NULL), ('scope', 'string', false, ['indian', 'all']), ('limit', 'integer', false, NULL), ('share', 'number', false, NULL)),
+    k AS (SELECT *, CASE WHEN json_valid(arguments) THEN json_type(arguments) END AS j FROM c WHERE tool <> 'fly'),
+    a AS (SELECT call_id, e.key AS parameter, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' END AS kind, e.atom::VARCHAR AS atom FROM (SELECT * FROM k WHERE j = 'OBJECT') k, json_each(k.arguments) e),
+    w AS (SELECT call_id, parameter, CASE WHEN s.required IS NULL THEN 'unexpected' WHEN NOT (a.kind = s.kind OR a.kind = 'integer' AND s.kind = 'number') THEN 'wrong_kind' WHEN choices IS NOT NULL AND NOT list_contains(choices, trim(atom, '"')) THEN 'not_a_choice' END AS issue FROM a LEFT JOIN s USING (parameter))
+    SELECT call_id, 'unknown_tool' AS issue, NULL AS parameter FROM c WHERE tool = 'fly' UNION ALL SELECT call_id, 'not_an_object', NULL FROM k WHERE j IS DISTINCT FROM 'OBJECT'
+    UNION ALL SELECT call_id, issue, parameter FROM w WHERE issue IS NOT NULL UNION ALL SELECT call_id, 'missing', 'work_id' FROM k WHERE j = 'OBJECT' AND call_id NOT IN (SELECT call_id FROM a WHERE parameter = 'work_id')""")
+def argument_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls held against kinds and choices of their parameters."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    rows = [("get_versions", "work_id", "string", True, None), ("get_versions", "scope", "string", False, ["indian", "all"]), ("get_versions", "limit", "integer", False, None), ("get_versions", "share", "number", False, None)]
+    return guards.argument_issues(spark.sql(_CALLS), spark.createDataFrame(rows, "tool string, parameter string, kind string, required boolean, choices array<string>"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_name AS n FROM part)
+    SELECT k AS answer_id, CASE k % 4 WHEN 0 THEN 'See **' || n || '** [unverified — not in tool results] now.' WHEN 1 THEN upper(n) || ' (2013) [unverified — not in tool results] is it' WHEN 2 THEN 'Unverified: ' || n || ' [unverified — not in tool results]' || chr(10) || 'nothing of that' ELSE 'Known: ' || n END AS gated FROM p""")
+def gated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that name a part's title emphasised, with a year, or not at all; every fourth is grounded."""
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    answers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("answer_id"), F.when(k == 0, F.concat(F.lit("See **"), n, F.lit("** now."))).when(k == 1, F.concat(F.upper(n), F.lit(" (2013) is it"))).when(k == 2, "nothing of that").otherwise(F.concat(F.lit("Known: "), n)).alias("answer"))
+    ungrounded = table(spark, sf_dir, "part").where("p_partkey % 4 < 3").select(F.col("p_partkey").alias("answer_id"), n.alias("title"))
+    return guards.flag_titles(answers, ungrounded, "answer_id", "answer").select("answer_id", "gated")
+
+
+@query("""
+    SELECT user_id AS fixture, count(*) FILTER (event_type = 'click' AND event_id % 3 = 0) > 0 AS canary_surfaced, count(*) FILTER (event_type = 'purchase' AND event_id % 2 = 0) > 0 AS forbidden_call,
+        count(*) FILTER (event_type = 'click' AND event_id % 3 = 0) > 0 OR count(*) FILTER (event_type = 'purchase' AND event_id % 2 = 0) > 0 AS succeeded FROM events GROUP BY user_id""")
+def attack_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as attacks: whether the longest answer gives the canary away, or a forbidden call was made."""
+    events = table(spark, sf_dir, "events")
+    fixtures = events.select(F.col("user_id").alias("fixture")).distinct().withColumns({"canary": F.concat(F.lit("C-"), "fixture", F.lit("-X")), "forbidden_tool": F.lit("purchase"), "forbidden_part": F.lit('"even": true')})
+    leaks = F.count_if((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0)) > 0
+    answers = events.groupBy(F.col("user_id").alias("fixture")).agg(F.when(leaks, F.concat(F.lit("it says c-"), F.first("user_id"), F.lit("-x: C-"), F.first("user_id"), F.lit("-X"))).otherwise(F.concat(F.lit("it says C-"), F.first("user_id"))).alias("answer"))
+    made = events.select(F.col("user_id").alias("fixture"), F.col("event_type").alias("tool"), F.to_json(F.struct((F.col("event_id") % 2 == 0).alias("even"))).alias("arguments")).withColumn("arguments", F.regexp_replace("arguments", ":", ": "))
+    allowed = fixtures.select("fixture", F.lit("A Title").alias("title"))
+    return guards.attack_verdicts(fixtures, answers, made, allowed).select("fixture", "canary_surfaced", "forbidden_call", "succeeded")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import retrieval
+from corpusloom.operators import retrieval, versions
 from corpusloom.plans.registry import query
 from corpusloom.session import table, written
 
@@ -52,8 +52,18 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([_dense(spark, sf_dir), _sparse(spark, sf_dir)])
 
 
-def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.fuse([_dense(spark, sf_dir), _sparse(spark, sf_dir)]).where("rank <= 20")
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title channel: a query's title is the name of the part of its number, cards are those of two parts in three."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version_id"), (F.col("p_partkey") % 97).alias("work_id"), F.col("p_name").alias("title"), F.lit("en").alias("language"))
+    asked = parts.where("version_id % 50 = 0").select(F.col("version_id").alias("id"), F.col("title").alias("text"))
+    chunks = parts.where("version_id % 3 > 0").select(F.col("version_id").alias("chunk_id"), "version_id", F.lit("metadata_card").alias("kind"))
+    hits = versions.card_hits(versions.resolve_titles(asked.select(F.col("text").alias("query")), parts), chunks)
+    return hits.join(asked, F.col("query") == F.col("text")).select(F.col("id").alias("query"), "item", "score", "rank")
+
+
+def _works(spark: SparkSession, sf_dir: str, with_titles: bool = False) -> DataFrame:
+    channels = [_dense(spark, sf_dir), _sparse(spark, sf_dir), *([_titles(spark, sf_dir)] if with_titles else [])]
+    fused = retrieval.fuse(channels).where("rank <= 20")
     scored = fused.select("query", "item", retrieval.pair_score(F.col("query"), F.col("item")).alias("score"))
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "label")
     # items that the gate doesn't show are dropped by the inner join
@@ -66,6 +76,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _works(spark, sf_dir).select("query", "label", "rank", F.round("score", 6).alias("score"), "abstain")
 
 
+@query()
+def three_channel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the title channel as the third: names resolved to versions, whose cards are fused in. A test fuses the three
+    channels by hand."""
+    return _works(spark, sf_dir, with_titles=True).select("query", "label", "rank", F.round("score", 6).alias("score"), "abstain")
+
+
 @query(f"""
     WITH {_DENSE}, r AS (SELECT query, label AS grp, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, label) AS rank FROM dense JOIN embeddings ON vec_id = item GROUP BY query, label),
     f AS (SELECT e.vec_id AS query, e.label % 3 AS slice, (SELECT min(rank) FROM r WHERE r.query = e.vec_id AND grp = e.label AND rank <= 10) AS first FROM embeddings e WHERE vec_id % 50 = 0)

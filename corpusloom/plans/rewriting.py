@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rewrites
-from corpusloom.operators import excerpts
+from corpusloom.operators import excerpts, generator
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -54,3 +54,22 @@ def unlocked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("conv_id", "turn", rewrites.lock(low, F.split(low, " ")).alias("l"), leaked.alias("leaked"))
     thought = F.concat(F.lit('a thought</think> "'), "leaked", F.lit('"'))
     return rows.select("conv_id", "turn", rewrites.unlock(F.col("l.locked"), F.col("l.names")).alias("unlocked"), rewrites.clean_answer(thought).alias("cleaned"))
+
+
+_TEXTS = ", ".join(f"('{b}', '{lang}', '{text}')" for b, by in generator.USER.items() for lang, text in by.items())
+_QUOTA = """{0}_x AS (SELECT k, round(s * t, 9) AS x, t FROM (VALUES {1}) v(k, s), n), {0}_c AS (SELECT k, floor(x) + (row_number() OVER (ORDER BY -round(x - floor(x), 9), k) <= t - sum(floor(x)) OVER ())::INT AS c FROM {0}_x), {0} AS (SELECT k, sum(c) OVER (ORDER BY k) AS stop, c FROM {0}_c)"""
+
+
+@query(f"""
+    WITH n AS (SELECT count(*) AS w, count(*) // 2 AS t, floor(sqrt(count(*) // 2))::BIGINT AS m FROM part), ranked AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part),
+    {_QUOTA.format("b", ", ".join(str(x) for x in generator.BEHAVIOURS.items()))}, {_QUOTA.format("l", ", ".join(str(x) for x in generator.LANGUAGES.items()))},
+    i AS (SELECT i, (i * (2147483647 % t) + 55433 % t) % t AS pb, ((CASE WHEN i < m * m THEN i % m * m + i // m ELSE i END) * (998244353 % t) + 55433 % t) % t AS pl, ((i % w) * (1000000007 % w) + 55433 % w) % w AS pw FROM n, range((SELECT t FROM n)) x(i)),
+    d AS (SELECT i.i, b.k AS behaviour, l.k AS query_lang, p.* FROM i JOIN b ON pb >= b.stop - b.c AND pb < b.stop JOIN l ON pl >= l.stop - l.c AND pl < l.stop JOIN ranked p ON p.r = pw),
+    a AS (SELECT *, CASE behaviour WHEN 'find_by_plot' THEN regexp_replace('in which ' || p_type || ' meets ' || p_name || ' again', p_name, 'that film', 'gi') WHEN 'out_of_catalog' THEN ['silver', 'wooden', 'golden'][i % 3 + 1] ELSE p_name END AS asked FROM d)
+    SELECT 'ft-0007-' || lpad(i::VARCHAR, 9, '0') AS conv_id, behaviour, query_lang, CASE WHEN behaviour <> 'out_of_catalog' THEN p_partkey END AS work_id, replace(u.text, '{{}}', asked) AS asked, 'INTENT: {{"intent":"' || behaviour || '","slots":{{"query":"' || asked || '"}}}}' || chr(10) || CASE WHEN behaviour = 'out_of_catalog' THEN 'NO_MATCH' ELSE '**' || p_name || '** (' || (1950 + p_size) || ')' END AS answer, 4 AS n_turns
+    FROM a JOIN (VALUES {_TEXTS}) u(behaviour, query_lang, text) USING (behaviour, query_lang)""")
+def generated_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half as many conversations as there are parts, about parts as works, by the quotas."""
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), (F.col("p_size") + 1950).alias("year"), F.concat(F.lit("in which "), "p_type", F.lit(" meets "), "p_name", F.lit(" again")).alias("excerpt"))
+    rows = generator.conversations(works, works.count() // 2)
+    return rows.select("conv_id", "behaviour", "query_lang", "work_id", F.col("turns")[0]["content"].alias("asked"), F.col("turns")[3]["content"].alias("answer"), F.size("turns").alias("n_turns"))

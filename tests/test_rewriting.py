@@ -1,6 +1,9 @@
+import json
+from collections import Counter
+
 import pytest
 from corpusloom.functions import rewrites
-from corpusloom.operators import excerpts
+from corpusloom.operators import excerpts, generator
 from pyspark.sql import functions as F
 
 BEFORE = "INTENT: {\"intent\": \"find\"}\nYou want **[[T1]]** ([[T2]]).\n- [[T1]] one\n- two"
@@ -80,3 +83,52 @@ def test_excerpts(spark):
     found = {(r.work, r.nth): (r.id, r.excerpt) for r in got}
     assert found[("w", 1)] == (4, "A " + " ".join(story[:2])) and found[("w", 2)] == (1, " ".join(story[:2])) and set(found) == {("w", 1), ("w", 2), (None, 1)}
     assert len(found[(None, 1)][1]) == 320
+
+
+def works(spark, n):
+    return spark.createDataFrame([(3 * i, f"Film (No. {i})", 1990 + i % 30 if i % 5 else None, f"a man sees film (no. {i}) twice") for i in range(n)], "work_id long, title string, year int, excerpt string")
+
+
+@pytest.mark.parametrize("total", [1, 7, 97, 640])
+def test_quotas_are_exact(spark, total):
+    rows = generator.conversations(works(spark, 50), total).collect()
+    assert Counter(r.behaviour for r in rows) == Counter(generator.quotas(generator.BEHAVIOURS, total)) and sum(generator.quotas(generator.LANGUAGES, total).values()) == total
+    assert Counter(r.query_lang for r in rows) == Counter(generator.quotas(generator.LANGUAGES, total))
+    assert len({r.conv_id for r in rows}) == len({r.plan_hash for r in rows}) == total
+    if total > 500:
+        assert len({(r.behaviour, r.query_lang) for r in rows}) == 42 and len({r.work_id for r in rows} - {None}) == 50
+
+
+def test_largest_remainders():
+    assert generator.quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0} and generator.quotas({"a": 0.1, "b": 0.9}, 0) == {"a": 0, "b": 0}
+    assert generator.quotas({"x": 0.5, "y": 0.25, "z": 0.25}, 5) == {"x": 3, "y": 1, "z": 1}
+    with pytest.raises(ValueError, match="permuted"):
+        generator.place(F.lit(1), generator._PRIMES["work"], "work", 1)
+
+
+def test_same_rows_at_any_partitioning(spark):
+    a = generator.conversations(works(spark, 40), 200)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        b = generator.conversations(works(spark, 40).repartition(13), 200)
+        assert sorted(a.collect()) == sorted(b.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    other = generator.conversations(works(spark, 40), 200, generator.Mix(seed=8)).collect()
+    assert {r.plan_hash for r in other}.isdisjoint(r.plan_hash for r in a.collect())
+
+
+def test_turns_of_conversations(spark):
+    held = {r.work_id: r for r in works(spark, 30).collect()}
+    for r in generator.conversations(works(spark, 30), 120).collect():
+        user, call, tool, answer = r.turns
+        assert [t.role for t in r.turns] == ["user", "call", "tool", "assistant"] and call.name == tool.name
+        results = json.loads(tool.content)["results"]
+        assert [x["score"] for x in results] == sorted((x["score"] for x in results), reverse=True) and all(held[x["work_id"]].title == x["title"] for x in results)
+        if r.behaviour == "out_of_catalog":
+            assert r.work_id is None and json.loads(tool.content)["abstain"] and answer.content.endswith("NO_MATCH")
+        else:
+            assert results[0]["work_id"] == r.work_id and held[r.work_id].title in answer.content and 2 <= len(results) <= 4
+        if r.behaviour == "find_by_plot":
+            assert "a man sees that film twice" in user.content
+    assert generator.conversations(works(spark, 0), 10).count() == 0 and generator.conversations(works(spark, 2), 0).count() == 0

@@ -56,3 +56,34 @@ def test_titles_go_to_their_versions(spark):
     titles = [("tt1", "a", "canonical", None), ("tt1", "b", "translation", "ml"), ("tt1", "c", "translation", "ta"), ("tt1", "d", "translation", "hi"), ("tt1", "e", "translation", "fr"), ("tt1", "f", "aka", None), ("tt9", "g", "canonical", "ml")]
     got = routing.route_titles(spark.createDataFrame(titles, "external_id string, title string, kind string, language string"), known).collect()
     assert {r.title: (r.version_id, r.kind, r.language) for r in got} == {"a": (1, "canonical", "ml"), "b": (1, "canonical", "ml"), "c": (2, "dub", "ta"), "d": (3, "canonical", "hi"), "f": (1, "aka", None)}
+
+
+def test_three_channels(spark):
+    """Rank fusion, cut, rerank, best per label and abstention by hand over the three channels' rows."""
+    import hashlib
+    from collections import defaultdict
+
+    from corpusloom.plans import QUERIES, retrieval
+
+    sf = "/root/testdata/sf0.001"
+    channels = [[(r.query, r.item, r["rank"]) for r in f(spark, sf).collect()] for f in (retrieval._dense, retrieval._sparse, retrieval._titles)]
+    assert all(channels) and {q for q, _, _ in channels[2]} <= {q for q, _, _ in channels[0]}
+    fused = defaultdict(lambda: defaultdict(float))
+    for rows in channels:
+        for q, item, rank in rows:
+            fused[q][item] += 1 / (60 + rank)
+    labels = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    want = {}
+    for q, items in fused.items():
+        cut = sorted(items, key=lambda i: (-round(items[i], 9), i))[:20]
+        best = defaultdict(float)
+        for i in cut:
+            if i in labels:
+                best[labels[i]] = max(best[labels[i]], int(hashlib.sha256(f"{q}\0{i}".encode()).hexdigest()[:8], 16) / 4294967296)
+        top = sorted(best, key=lambda g: (-best[g], g))[:10]
+        for rank, g in enumerate(top, 1):
+            want[q, g] = (rank, round(best[g], 6), best[top[0]] < retrieval.THETA)
+    got = {(r.query, r.label): (r["rank"], r.score, r.abstain) for r in QUERIES["three_channel_search"](spark, sf).collect()}
+    assert got == want
+    two = {(r.query, r.label): r.score for r in QUERIES["hybrid_search"](spark, sf).collect()}
+    assert {k: v[1] for k, v in got.items()} != two
