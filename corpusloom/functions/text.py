@@ -105,5 +105,18 @@ def parse_verdict(text: Column) -> Column:
     return F.when(score.between(0, 1), score)
 
 
+def read_verdict(text: Column) -> Column:
+    """struct(score, criteria map<string, boolean>, rationale, error) of the JSON object in a judge's answer. error tells why there is no
+    score: no object, none in it, or one outside 0 to 1; criteria that aren't an object are none."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    keys = F.json_object_keys(found)
+    score = F.get_json_object(found, "$.score")
+    number = F.when(score.rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$"), score.try_cast("double"))
+    error = F.when(keys.isNull(), "no JSON object").when(number.isNull(), "no score").when(~number.between(0, 1), "score out of range")
+    criteria = F.coalesce(F.from_json(F.get_json_object(found, "$.criteria"), "map<string, boolean>"), F.from_json(F.lit("{}"), "map<string, boolean>"))
+    ok = error.isNull()
+    return F.struct(F.when(ok, number).alias("score"), F.when(ok, criteria).alias("criteria"), F.when(ok, F.get_json_object(found, "$.rationale")).alias("rationale"), error.alias("error"))
+
+
 def datamark(text: Column, mark: str = "ˆ") -> Column:
     return F.replace(text, F.lit(" "), F.lit(mark))

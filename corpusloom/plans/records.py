@@ -71,6 +71,23 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsed["intent"].alias("intent"), parsed["slots"]["year"].alias("slot"), text.parse_verdict(answer).alias("judge_score"))
 
 
+_ANSWERS = """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Judged: {"score": ' || turn / 8.0 || ', "criteria": {"clear": true, "short": false}, "rationale": "ok {} then"} done' WHEN 1 THEN '{"score": "high"}' WHEN 2 THEN 'I give {"score": 1, "criteria": "none"}' WHEN 3 THEN '{"score": 0.5' WHEN 4 THEN '{"rationale": "no score"}' ELSE text END AS answer,
+    CASE turn % 4 WHEN 0 THEN ' INTENT: {"intent": "refine", "slots": {"year": "' || turn || '"}}' || chr(10) || 'rest' WHEN 1 THEN 'INTENT: {"intent": "find"' WHEN 2 THEN 'So INTENT: {"intent": "find"}' ELSE 'INTENT: {"slots": {}}' END AS preamble FROM conversations"""
+
+
+@query(f"""
+    WITH a AS ({_ANSWERS}), o AS (SELECT *, regexp_extract(answer, '(?s)\\{{.*\\}}') AS o, split_part(ltrim(preamble), chr(10), 1) AS line FROM a),
+    j AS (SELECT *, CASE WHEN json_valid(o) THEN o END AS j, CASE WHEN starts_with(line, 'INTENT:') AND json_valid(substr(line, 8)) THEN substr(line, 8) END AS i FROM o),
+    s AS (SELECT *, CASE WHEN json_type(j, '$.score') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN (j->>'score')::DOUBLE END AS n FROM j),
+    e AS (SELECT *, CASE WHEN j IS NULL THEN 'no JSON object' WHEN n IS NULL THEN 'no score' WHEN n < 0 OR n > 1 THEN 'score out of range' END AS error FROM s)
+    SELECT conv_id, turn, CASE WHEN error IS NULL THEN n END AS score, CASE WHEN error IS NULL AND json_type(j, '$.criteria') = 'OBJECT' THEN (j->>'$.criteria.clear')::BOOLEAN END AS clear, CASE WHEN error IS NULL THEN j->>'rationale' END AS rationale, error, i->>'intent' AS intent, CASE WHEN i->>'intent' IS NOT NULL THEN i->>'$.slots.year' END AS year FROM e""")
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges' answers and intent lines, whole and broken, as either engine reads them."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    rows = spark.sql(_ANSWERS).select("conv_id", "turn", text.read_verdict(F.col("answer")).alias("v"), text.parse_intent(F.col("preamble")).alias("i"))
+    return rows.select("conv_id", "turn", "v.score", F.col("v.criteria")["clear"].alias("clear"), "v.rationale", "v.error", F.col("i.intent").alias("intent"), F.col("i.slots")["year"].alias("year"))
+
+
 @query("""
     SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'view' THEN ts END) IS NULL THEN 'none' WHEN bool_or(event_type = 'purchase') THEN 'bought' ELSE 'looked' END AS digest, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id""")
 def result_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

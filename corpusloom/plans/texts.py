@@ -93,6 +93,24 @@ def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.size(text.title_perturbations(F.col("p_name"))).alias("n_forms"))
 
 
+def _single(column: str) -> str:
+    """SQL that makes doubled consonants single, a letter at a time."""
+    for c in "bcdfghjklmnpqrstvwxyz":
+        column = f"regexp_replace({column}, '([{c}{c.upper()}])[{c}{c.upper()}]', '\\1', 'g')"
+    return column
+
+
+@query(f"""
+    WITH n AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Paappanaasam Illai ' || p_name ELSE 'AAdukalam' END AS t FROM part),
+    f AS (SELECT t, unnest([lower({_single("t")}), lower(regexp_replace(t, '(?i)aa', 'a', 'g')), lower(regexp_replace(t, '^([^iI]*)[iI]', '\\1ee')), lower(replace(t, ' ', ''))]) AS form FROM n)
+    SELECT DISTINCT t AS title, form FROM f WHERE form <> lower(t)""")
+def title_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other spellings of names, and of names with doubled letters before them."""
+    k = F.col("p_partkey") % 3
+    titles = table(spark, sf_dir, "part").select(F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("Paappanaasam Illai "), "p_name")).otherwise("AAdukalam").alias("title")).distinct()
+    return titles.select("title", F.explode(text.title_perturbations(F.col("title"))).alias("form"))
+
+
 @query()
 def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of customers' and parts' names; tests compare with the function on its own."""
