@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import jsontree, text
-from corpusloom.operators import calls, extraction, guards, ingest
+from corpusloom.operators import calls, enrich, extraction, guards, ingest
 from corpusloom.plans.registry import query
 from corpusloom.plans.texts import PLANTED
 from corpusloom.session import table
@@ -201,3 +201,46 @@ def attack_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = events.select(F.col("user_id").alias("fixture"), F.col("event_type").alias("tool"), F.to_json(F.struct((F.col("event_id") % 2 == 0).alias("even"))).alias("arguments")).withColumn("arguments", F.regexp_replace("arguments", ":", ": "))
     allowed = fixtures.select("fixture", F.lit("A Title").alias("title"))
     return guards.attack_verdicts(fixtures, answers, made, allowed).select("fixture", "canary_surfaced", "forbidden_call", "succeeded")
+
+
+_ENRICHED = """
+    WITH v AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b, p_type AS y, p_size AS z, 1950 + p_size AS year, CASE WHEN p_partkey % 2 = 0 THEN 'ml' ELSE 'ta' END AS language, p_partkey % 4 IN (0, 3) AS has FROM part)"""
+
+
+@query(f"""{_ENRICHED},
+    c AS (SELECT k, z AS person, 'lead' AS role FROM v WHERE has UNION SELECT k, 100 + z % 7, 'director' FROM v WHERE has), q AS (SELECT DISTINCT person FROM c),
+    t AS (SELECT k, n AS title, 'canonical' AS kind, CASE WHEN k % 16 = 0 THEN 'hi' ELSE 'ml' END AS language FROM v WHERE has UNION ALL SELECT k, b, 'aka', NULL FROM v WHERE has UNION ALL SELECT CASE WHEN k % 4 = 0 THEN k + 1 ELSE k END, y, CASE WHEN k % 4 = 0 THEN 'dub' ELSE 'canonical' END, 'ta' FROM v WHERE has AND (k % 4 = 3 OR k + 1 <= (SELECT max(k) FROM v)))
+    SELECT 'versions' AS table_name, k::VARCHAR AS key, CASE WHEN has AND k % 5 > 0 THEN 'filled' ELSE 'unchanged' END AS outcome, CASE WHEN k % 5 = 0 THEN 'tt' || k WHEN has THEN 'tm' || k ELSE '' END AS detail FROM v
+    UNION ALL SELECT 'titles', k || '/' || title || '/' || kind, CASE WHEN k % 8 = 0 AND kind = 'canonical' THEN 'merged' ELSE 'new' END, coalesce(language, '') || '/' || CASE WHEN k % 8 = 0 AND kind = 'canonical' THEN 2 ELSE 1 END FROM t
+    UNION ALL SELECT 'people', person::VARCHAR, 'new', 'p' || person FROM q WHERE person > 10
+    UNION ALL SELECT 'cast', k || '/' || person || '/' || role, 'new', '' FROM c WHERE NOT (k % 12 = 0 AND role = 'lead' AND person <= 10)
+    UNION ALL SELECT 'conflicts', k || '/release_year', 'open', year || '/' FROM v WHERE has AND k % 3 = 0 AND k % 24 > 0
+    UNION ALL SELECT 'conflicts', k || '/original_language', 'resolved', 'hi/primary:tmdb' FROM v WHERE k % 16 = 0
+    UNION ALL SELECT 'missing', k::VARCHAR, '', '' FROM v WHERE k % 4 = 2""")
+def graph_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as versions, half of them with a movie that brings an id, titles, people and now and then another year or language."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    sql = lambda rest: spark.sql(f"{_ENRICHED} {rest}")
+    versions = sql("SELECT k AS version_id, k DIV 2 AS work_id, CASE WHEN k % 4 <> 1 THEN k END AS tmdb_id, CASE WHEN k % 5 = 0 THEN 'tt' || k END AS imdb_id, language, year AS release_year, k % 2 = 0 AS is_original FROM v")
+    movies = sql("""SELECT k AS tmdb_id, 'tm' || k AS imdb_id, CASE WHEN k % 16 = 0 THEN 'hi' ELSE 'ml' END AS original_language, CASE WHEN k % 3 = 0 THEN year + 1 ELSE year END AS release_year,
+        array(named_struct('title', n, 'language', CASE WHEN k % 16 = 0 THEN 'hi' ELSE 'ml' END, 'kind', 'canonical'), named_struct('title', b, 'language', CAST(NULL AS STRING), 'kind', 'aka'), named_struct('title', y, 'language', 'ta', 'kind', 'translation')) AS titles,
+        array(named_struct('person_id', z, 'name', 'p' || z, 'role_kind', 'lead', 'billing_order', 0), named_struct('person_id', 100 + z % 7, 'name', 'p' || (100 + z % 7), 'role_kind', 'director', 'billing_order', CAST(NULL AS INT))) AS credits FROM v WHERE has""")
+    titles = sql("SELECT k AS version_id, n AS title, 'canonical' AS kind, CASE WHEN k % 16 = 0 THEN 'hi' ELSE 'ml' END AS language, 'human' AS source, 'seed' AS ref, 0 AS pos FROM v WHERE k % 8 = 0")
+    people = spark.range(1, 11).select(F.concat(F.lit("own"), "id").alias("person_id"), F.concat(F.lit("p"), "id").alias("name"), F.col("id").cast("int").alias("tmdb_person"))
+    cast = sql("SELECT k AS version_id, 'own' || z AS person_id, 'lead' AS role_kind, 0 AS billing_order FROM v WHERE k % 12 = 0 AND z <= 10")
+    after = enrich.enrich(versions, movies, titles, people, cast, sql("SELECT k AS entity, 'release_year' AS field, 'resolved' AS status FROM v WHERE k % 24 = 0"))
+    numbers = people.select("person_id", "tmdb_person").unionByName(after["people"].select("person_id", "tmdb_person"))
+    own = lambda name, rows, key, outcome, detail: rows.select(F.lit(name).alias("table_name"), key.cast("string").alias("key"), outcome.alias("outcome"), detail.alias("detail"))
+    none = F.lit("")
+    parts = [
+        own("versions", after["versions"], F.col("version_id"), F.col("outcome"), F.coalesce("imdb_id", none)),
+        own("titles", after["titles"], F.concat_ws("/", "version_id", "title", "kind"), F.col("outcome"), F.concat(F.coalesce("language", none), F.lit("/"), F.size("sources"))),
+        own("people", after["people"], F.col("tmdb_person"), F.lit("new"), F.col("name")),
+        own("cast", after["cast"].join(numbers, "person_id"), F.concat_ws("/", "version_id", "tmdb_person", "role_kind"), F.lit("new"), none),
+        own("conflicts", after["conflicts"], F.concat_ws("/", "entity", "field"), F.col("status"), F.concat("chosen", F.lit("/"), F.coalesce("rule", none))),
+        own("missing", after["missing"], F.col("tmdb_id"), none, none),
+    ]
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows)
+    return out

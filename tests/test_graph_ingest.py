@@ -102,3 +102,22 @@ def test_broken_write_is_no_version(spark, tmp_path):
 def test_query_has_all_outcomes(spark):
     got = graph_ingest(spark, "/root/testdata/sf0.001").groupBy("table_name", "outcome").count().collect()
     assert {("works", "new"), ("works", "changed"), ("versions", "changed"), ("edges", "new"), ("conflicts", "new"), ("conflicts", "kept"), ("unmatched", "new")} <= {(r.table_name, r.outcome) for r in got}
+
+
+def test_enriching_again_adds_nothing(spark):
+    from corpusloom.operators import enrich
+
+    versions = spark.createDataFrame([(1, 10, 7, None, "ml", 2013, True), (2, 10, None, None, "ta", 2015, False), (3, 11, 8, "tt8", "hi", None, True), (4, 12, 9, None, "hi", 2000, False)], "version_id int, work_id int, tmdb_id int, imdb_id string, language string, release_year int, is_original boolean")
+    title, person = "array<struct<title: string, language: string, kind: string>>", "array<struct<person_id: int, name: string, role_kind: string, billing_order: int>>"
+    movies = spark.createDataFrame([(7, "tt7", "hi", 2014, [("A", "hi", "canonical"), ("B", "ta", "translation"), ("C", "bn", "translation"), ("", None, "aka")], [(5, "P", "lead", 0), (5, "P", "lead", 3), (6, "Q", "director", None)]), (8, "ttX", "hi", 1999, None, None)], f"tmdb_id int, imdb_id string, original_language string, release_year int, titles {title}, credits {person}")
+    titles = spark.createDataFrame([], "version_id int, title string, kind string, language string, source string, ref string, pos int")
+    people, cast = spark.createDataFrame([("own", "P", 5)], "person_id string, name string, tmdb_person int"), spark.createDataFrame([], "version_id int, person_id string, role_kind string, billing_order int")
+    conflicts = spark.createDataFrame([], "entity int, field string, status string")
+    out = enrich.enrich(versions, movies, titles, people, cast, conflicts)
+    assert {r.version_id: (r.imdb_id, r.outcome) for r in out["versions"].collect()} == {1: ("tt7", "filled"), 2: (None, "unchanged"), 3: ("tt8", "unchanged"), 4: (None, "unchanged")}
+    assert {(r.version_id, r.title, r.kind) for r in out["titles"].collect()} == {(1, "A", "canonical"), (2, "B", "dub")}
+    assert [r.name for r in out["people"].collect()] == ["Q"] and {(r.role_kind, r.billing_order) for r in out["cast"].collect()} == {("lead", 0), ("director", None)}
+    assert {(r.field, r.status) for r in out["conflicts"].collect()} == {("release_year", "open"), ("original_language", "resolved")} and [r.tmdb_id for r in out["missing"].collect()] == [9]
+    refs = out["titles"].select("version_id", "title", "kind", "language", F.posexplode("sources").alias("pos", "s")).select("version_id", "title", "kind", "language", "s.source", "s.ref", "pos")
+    again = enrich.enrich(out["versions"].drop("outcome"), movies, refs, people.unionByName(out["people"].select(*people.columns)), cast.unionByName(out["cast"].select(*cast.columns)), conflicts.unionByName(out["conflicts"].select(*conflicts.columns)))
+    assert all(again[n].count() == 0 for n in ("people", "cast", "conflicts")) and {r.outcome for r in again["titles"].collect()} == {"unchanged"} and {r.outcome for r in again["versions"].collect()} == {"unchanged"}
