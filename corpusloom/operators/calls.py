@@ -29,12 +29,12 @@ def found_in_order(expected: DataFrame, emitted: DataFrame, key: str, position:
     """(key, matched): how many of the expected calls are found in order among the emitted ones, greedily, per key that has both.
 
     `expected`: key, place, tool, want; `emitted`: key, the columns of `position`, tool, given, known array<string>. Positions of a
-    key's calls are different. Only calls of an expected one's tool are held against it."""
+    key's calls are different. Only calls of an expected one's tool are held against it. A null key is a key like any other."""
     rows = emitted.select(F.col(key).alias("key"), *(F.col(p).alias(f"_at{i}") for i, p in enumerate(position)), "tool", "given", "known")
     order = [f"_at{i}" for i in range(len(position))]
-    placed = written(rows.where("key IS NOT NULL").repartitionByRange("key", *order).withColumn("_pid", F.spark_partition_id()))
-    want = expected.select(F.col(key).alias("key"), F.col("place").cast("long").alias("place"), "tool", F.col("want").alias("given"))
-    lists = placed.select("key", "_pid").distinct().join(want, "key").withColumns({c: F.lit(None).cast(placed.schema[c].dataType) for c in [*order, "known"]})
+    placed = written(rows.repartitionByRange("key", *order).withColumn("_pid", F.spark_partition_id()))
+    want = expected.select(F.col(key).alias("_key"), F.col("place").cast("long").alias("place"), "tool", F.col("want").alias("given"))
+    lists = placed.select("key", "_pid").distinct().join(want, F.col("key").eqNullSafe(F.col("_key"))).drop("_key").withColumns({c: F.lit(None).cast(placed.schema[c].dataType) for c in [*order, "known"]})
     both = placed.withColumn("place", F.lit(None).cast("long")).unionByName(lists)
     # a range's expected calls first, then its calls, the last one first
     ranged = both.repartition("key", "_pid").sortWithinPartitions("key", "_pid", F.col("place").asc_nulls_last(), *(F.col(c).desc_nulls_first() for c in order))
@@ -78,7 +78,7 @@ def found_in_order(expected: DataFrame, emitted: DataFrame, key: str, position:
             yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([now[1]], pa.int32()), pa.array([after.tolist()], pa.list_(pa.int32()))], names=["key", "_pid", "after"])
 
     schema = T.StructType([T.StructField("key", placed.schema["key"].dataType), T.StructField("_pid", T.IntegerType()), T.StructField("after", T.ArrayType(T.IntegerType()))])
-    steps = ranged.mapInArrow(run, schema).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_pid", "after"))).alias("steps"))
+    steps = ranged.mapInArrow(run, schema).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("_pid", "after"))).alias("steps"))
     reached = F.aggregate("steps", F.lit(0), lambda at, s: F.get(s["after"], at))
     return steps.select(F.col("key").alias(key), reached.cast("long").alias("matched"))
 

@@ -55,17 +55,17 @@ def match_calls(calls: DataFrame, schema_key: str = "fixture") -> DataFrame:
 
     `calls`: fixture, kind (expected or emitted), position, tool, argument, result_id. An expected argument `$id` matches an
     argument that an earlier emitted call returned. Emitted calls of a fixture have different positions; rows without a
-    fixture count as one without matches. No fixture is gathered in a task."""
+    fixture are those of one more. No fixture is gathered in a task."""
     key = F.col(schema_key)
     got = calls.where("kind = 'emitted'")
     want = calls.where("kind = 'expected'").select(key, F.row_number().over(Window.partitionBy(schema_key).orderBy("position")).alias("place"), "tool", F.col("argument").alias("want"))
     returned = got.groupBy(key.alias("_g"), F.col("result_id").alias("_r")).agg(F.min("position").alias("_returned"))
-    got = got.join(returned, (key == F.col("_g")) & (F.col("argument") == F.col("_r")), "left")
+    got = got.join(returned, key.eqNullSafe(F.col("_g")) & F.col("argument").eqNullSafe(F.col("_r")), "left")
     known = F.when(F.col("_returned") < F.col("position"), F.array("argument"))
     fits = lambda want, given, known: bool(known) if want == "$id" else want == given
     matched = found_in_order(want, got.select(key, "position", "tool", F.col("argument").alias("given"), known.alias("known")), schema_key, ["position"], fits)
     counts = calls.groupBy(schema_key).agg(F.count_if(F.col("kind") == "expected").alias("expected_n"), F.count_if(F.col("kind") == "emitted").alias("emitted_n"))
-    return counts.join(matched.select(key.alias("_m"), "matched"), key == F.col("_m"), "left").select(schema_key, F.coalesce("matched", F.lit(0)).alias("matched"), "expected_n", "emitted_n")
+    return counts.join(matched.select(key.alias("_m"), "matched"), key.eqNullSafe(F.col("_m")), "left").select(schema_key, F.coalesce("matched", F.lit(0)).alias("matched"), "expected_n", "emitted_n")
 
 
 def lock_entities(texts: DataFrame, text_col: str, entities_col: str) -> DataFrame:
