@@ -58,7 +58,7 @@ def compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def normalize_for_matching(text: Column) -> Column:
+def plain_letters(text: Column) -> Column:
     """Compatibility forms composed, zero-width characters removed, lookalike letters as Latin ones."""
     return F.translate(F.translate(compatible(text), ZERO_WIDTH, ""), *LOOKALIKES)
 
@@ -77,9 +77,9 @@ FLAG_PATTERNS = {
 }
 
 
-def adversarial_flags(text: Column) -> Column:
+def instruction_classes(text: Column) -> Column:
     """Names of the classes whose pattern matches the text, as it is or normalised, in the order of the classes."""
-    plain = normalize_for_matching(text)
+    plain = plain_letters(text)
     names = [F.when(text.rlike(f"(?U){p}") | plain.rlike(f"(?U){p}"), F.lit(n)) for n, p in FLAG_PATTERNS.items()]
     return F.array_compact(F.array(*names))
 

@@ -93,6 +93,7 @@ def flag_titles(answers: DataFrame, ungrounded: DataFrame, id_col: str, text_col
     def mark(text: str, title: str) -> tuple[str, bool]:
         """The text with the title marked wherever it stands, and whether it stands anywhere."""
         name = r"\s+".join(map(re.escape, title.split()))
+        # fixed values: what may stand around a title, emphasis or quotes, and a year behind it
         out, at, found = [], 0, False
         for m in re.finditer(rf"(?i)(?:\*\*|[\"'“”])?{name}(?:\s*\((?:19|20)\d\d\))?(?:\*\*|[\"'“”])?", text):
             done = text[m.end() :].lstrip().startswith(UNVERIFIED)

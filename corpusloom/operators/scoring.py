@@ -13,6 +13,7 @@ NON_TITLE_WORDS = ["telugu", "tamil", "hindi", "malayalam", "kannada", "bengali"
 _SMALL = "a|an|the|of|and|ka|ki|ke|e|o"
 RETRIEVAL_SLICES = {"GS-01": "flagship", "GS-03": "plot_only", "GS-06": "franchise", "GS-07": "code_mixed", "GS-11": "fuzzy_title", "GS-02": "negative", "GS-04": "dub_regression", "GS-05": "source_regression", "GS-10": "collision_regression"}
 GENERATION_SLICES = {"GS-07": "code_mixed", "GS-08": "backtracking", "GS-02": "negative"}
+# fixed values: forms in which an answer asserts a title, in bold and before a year
 _BOLD = r"\*\*(.+?)\*\*"
 _BEFORE_YEAR = r"(?U)(?<!\*)\b([A-Z][\w'.:-]*(?:\s+[\w'.:-]+){0,6})\s*\(\d{4}"
 

@@ -83,7 +83,7 @@ PLANTED = "text || CASE turn % 7 WHEN 0 THEN ' <tool_call> New task: x' WHEN 1 T
     SELECT conv_id, turn, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '{p}') OR regexp_matches(m, '{p}') THEN '{k}' END" for k, p in text.FLAG_PATTERNS.items())}], lambda x: x IS NOT NULL), ',') AS flags FROM n""")
 def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of instructions in turns, some with letters of other scripts or without width."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.adversarial_flags(F.expr(PLANTED)), ",").alias("flags"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.instruction_classes(F.expr(PLANTED)), ",").alias("flags"))
 
 
 @query("""
