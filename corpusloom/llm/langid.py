@@ -9,6 +9,7 @@ texts that has it, all words of a length together; nothing depends on how long a
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,7 @@ SCALE, _LEAST = 20.0, 1e-300
 #: Strength of the prior, in pieces: a language's rare pieces lean on what all languages together say of them.
 PRIOR = 200.0
 #: Different tokens that a task remembers, and words that it counts before it sends them.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _START = "▁"  # the vocabulary's mark of a word's start
 _RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -67,75 +68,92 @@ class Lattice:
         codes = np.zeros((len(pieces), self.longest), np.uint64)
         for i, p in enumerate(pieces):
             codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
-        self.tables = {}
+        self.tables, h = {}, np.zeros(len(pieces), np.uint64)
         for size in range(1, self.longest + 1):
-            own = np.flatnonzero(lengths == size)
-            if len(own):
-                keys = self._keys(codes[own], 0, size)
-                order = np.argsort(keys)
-                assert len(np.unique(keys)) == len(keys), "two pieces have one hash"
-                maybe = np.zeros(1 << 20, bool)
-                maybe[keys >> np.uint64(44)] = True
-                self.tables[size] = (maybe, keys[order], own[order])
+            h = self._step(h, codes[:, size - 1])
+            begins, own = np.flatnonzero(lengths >= size), np.flatnonzero(lengths == size)
+            order = own[np.argsort(h[own])]
+            assert len(np.unique(h[own])) == len(own), "two pieces have one hash"
+            begun, whole = np.zeros((2, 1 << 20), bool)
+            begun[h[begins] >> np.uint64(44)] = True
+            whole[h[own] >> np.uint64(44)] = True
+            self.tables[size] = (begun, whole, h[order], order)
 
     @staticmethod
-    def _keys(codes: np.ndarray, start: int, size: int) -> np.ndarray:
-        h = np.full(len(codes), size, np.uint64)
-        for i in range(start, start + size):
-            h = (h ^ codes[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        return h
+    def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hashes of stretches that are longer by a character each."""
+        h = ((h ^ code) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(31))
 
     def arcs(self, words: list[str]) -> list[tuple[np.ndarray, int, int, np.ndarray]]:
-        """Of words of one length: (rows, start, end, piece) per stretch of characters that is a piece of some of them. Characters
-        that aren't are numbered -1 - code."""
+        """Of words of one length: (rows, start, end, piece) per stretch of characters that is a piece of some of them, in the order
+        of the ends. Characters that are no piece are numbered -1 - code. From each start only words go on of which what is read
+        so far may begin a piece."""
         length = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).astype(np.uint64)
-        out = []
-        for end in range(1, length + 1):
-            for size in range(1, min(self.longest, end) + 1):
-                rows = found = np.zeros(0, np.int64)
-                if size in self.tables:
-                    maybe, keys, ids = self.tables[size]
-                    asked = self._keys(codes, end - size, size)
-                    rows = np.flatnonzero(maybe[asked >> np.uint64(44)])
-                    at = np.minimum(np.searchsorted(keys, asked[rows]), len(keys) - 1)
-                    same = keys[at] == asked[rows]
-                    rows, found = rows[same], ids[at[same]]
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).T.astype(np.uint64)
+        by_end: list[list] = [[] for _ in range(length + 1)]
+        for start in range(length):
+            rows, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
+            for size in range(1, min(self.longest, length - start) + 1):
+                begun, whole, keys, ids = self.tables[size]
+                h = self._step(h, codes[start + size - 1][rows])
+                at = h >> np.uint64(44)
+                alive, maybe = begun[at], np.flatnonzero(whole[at])
+                found = np.searchsorted(keys, h[maybe])
+                same = keys[np.minimum(found, len(keys) - 1)] == h[maybe] if len(keys) else np.zeros(0, bool)
+                hit, piece = rows[maybe[same]], ids[found[same]]
                 if size == 1:
                     rest = np.ones(len(words), bool)
-                    rest[rows] = False
-                    rows = np.concatenate([rows, np.flatnonzero(rest)])
-                    found = np.concatenate([found, -1 - codes[rest, end - 1].astype(np.int64)])
-                if len(rows):
-                    out.append((rows, end - size, end, found))
-        return out
+                    rest[hit] = False
+                    hit = np.concatenate([hit, np.flatnonzero(rest)])
+                    piece = np.concatenate([piece, -1 - codes[start][rest].astype(np.int64)])
+                if len(hit):
+                    by_end[start + size].append((hit, start, start + size, piece))
+                if not alive.all():
+                    rows, h = rows[alive], h[alive]
+                    if not len(rows):
+                        break
+        return [arc for own in by_end for arc in own]
 
     def spelled(self, code: int) -> list[int]:
         return [self.n + b for b in chr(code).encode()]
 
     def scales(self, chances: np.ndarray, arcs: list, words: int, length: int) -> np.ndarray:
         """Per word and place, the log of a factor that keeps sums up to there within a double's range: each character counts for
-        SCALE, or what all languages give its bytes. Factors are the same for every language and segmentation."""
-        pooled, out = chances.mean(axis=1), np.full((words, length + 1), math.log(SCALE))
+        SCALE, or what all languages give its bytes. Factors are the same for every language and segmentation. One row for all
+        words if none has a character that is no piece."""
+        unknown = [(rows, end, found) for rows, start, end, found in arcs if end - start == 1 and found.min() < 0]
+        pooled, out = chances.mean(axis=1), np.full((words if unknown else 1, length + 1), math.log(SCALE))
         out[:, 0] = 0
-        for rows, start, end, found in arcs:
-            if end - start == 1 and found.min() < 0:
-                at = found < 0
-                codes, back = np.unique(found[at], return_inverse=True)
-                out[rows[at], end] = np.array([-np.log(pooled[self.spelled(int(-1 - c))]).sum() for c in codes])[back]
+        for rows, end, found in unknown:
+            at = found < 0
+            codes, back = np.unique(found[at], return_inverse=True)
+            out[rows[at], end] = np.array([-np.log(pooled[self.spelled(int(-1 - c))]).sum() for c in codes])[back]
         return out.cumsum(axis=1)
 
-    def weights(self, chances: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Probabilities per language of pieces as arcs() numbers them."""
-        out = chances[np.maximum(found, 0)]
+    @staticmethod
+    def factors(scale: np.ndarray, rows: np.ndarray, start: int, end: int) -> np.ndarray | float:
+        if len(scale) == 1:
+            return math.exp(scale[0, end] - scale[0, start])
+        return np.exp(scale[rows, end] - scale[rows, start])
+
+    def weights(self, chances: np.ndarray, found: np.ndarray, lang: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of pieces as arcs() numbers them, per language or in that of each."""
+        out = chances[np.maximum(found, 0)] if lang is None else chances[np.maximum(found, 0), lang]
         if found.min() < 0:
             spelled = np.flatnonzero(found < 0)
             codes, back = np.unique(found[spelled], return_inverse=True)
-            out[spelled] = np.array([chances[self.spelled(int(-1 - c))].prod(axis=0) for c in codes])[back]
+            rows = np.array([chances[self.spelled(int(-1 - c))].prod(axis=0) for c in codes])[back]
+            out[spelled] = rows if lang is None else rows[np.arange(len(spelled)), lang[spelled]]
         return out
 
 
+@functools.lru_cache(2)
+def _lattice(pieces: tuple[str, ...]) -> Lattice:
+    """Made once per worker: its tables are many times the size of the pieces, which is what tasks are sent."""
+    return Lattice(list(pieces))
+
+
 def _by_length(words: Iterable[str], languages: int = 1) -> Iterator[list[int]]:
     """Positions of the words, those of one length together, in groups of a bounded size: sums are kept per language."""
     most = max(500, 80_000 // max(4, languages))
@@ -156,7 +174,8 @@ def log_chances(lattice: Lattice, chances: np.ndarray, words: list[str]) -> np.n
         arcs = lattice.arcs(held)
         scale = lattice.scales(chances, arcs, len(held), len(held[0]))
         for rows, start, end, found in arcs:
-            forward[end, rows] += forward[start, rows] * lattice.weights(chances, found) * np.exp(scale[rows, end] - scale[rows, start])[:, None]
+            factor = lattice.factors(scale, rows, start, end)
+            forward[end, rows] += forward[start, rows] * lattice.weights(chances, found) * (factor if isinstance(factor, float) else factor[:, None])
         out[own] = np.log(np.maximum(forward[-1], _LEAST)) - scale[:, -1:]
     return out
 
@@ -170,7 +189,7 @@ def expected_pieces(lattice: Lattice, chances: np.ndarray, words: list[str], lan
         forward, backward = np.zeros((2, len(held[0]) + 1, len(held)))
         forward[0] = backward[-1] = 1.0
         scale = lattice.scales(chances, arcs, len(held), len(held[0]))
-        weights = [lattice.weights(chances, found)[np.arange(len(rows)), lang[rows]] * np.exp(scale[rows, end] - scale[rows, start]) for rows, start, end, found in arcs]
+        weights = [lattice.weights(chances, found, lang[rows]) * lattice.factors(scale, rows, start, end) for rows, start, end, found in arcs]
         for (rows, start, end, _), w in zip(arcs, weights, strict=True):
             forward[end, rows] += forward[start, rows] * w
         for (rows, start, end, _), w in zip(reversed(arcs), reversed(weights), strict=True):
@@ -236,7 +255,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", piece
     comes a number per piece and language, as does the model to each task: both are bounded by the vocabulary and the languages.
     """
     pieces = public_pieces() if pieces is None else pieces
-    lattice = Lattice(pieces)
+    sent = tuple(pieces)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     seen = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     languages, shares = [r["lang"] for r in seen], np.log([r["count"] for r in seen]) - math.log(max(1, sum(r["count"] for r in seen)))
@@ -249,7 +268,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", piece
     for _ in range(rounds):
 
         def expect(batches: Iterable[pa.RecordBatch], now: np.ndarray = chances) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros_like(now)
+            sums, lattice = np.zeros_like(now), _lattice(sent)
             for batch in batches:
                 own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
                 sums += expected_pieces(lattice, now, batch.column("word").to_pylist(), own, batch.column("n").to_numpy().astype(float))
@@ -275,11 +294,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     docs = docs.drop("lang_pred", "score").withColumn(name, F.col(text_col))
     kept = [f for f in docs.schema.fields if f.name != name]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    lattice, many = Lattice(model.pieces), len(model.languages)
+    sent, many = tuple(model.pieces), len(model.languages)
+    chances, shares, languages = model.chances, model.shares, model.languages
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(sent)
         place: dict[str, int] = {}
         table = np.zeros((0, many + 1))  # of each known token: log chances, and how many stretches it has
+        known: dict[str, int] = {}  # likewise of words, which tokens with different marks around them share
+        logs_of = np.zeros((0, many))
         for batch in batches:
             found = []
             for part in _slices(batch, batch.schema.get_field_index(name)):
@@ -287,6 +310,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 new = set().union(*tokens) - place.keys()
                 if len(place) + len(new) > REMEMBERED:
                     place, table, new = {}, table[:0], set().union(*tokens)
+                    known, logs_of = {}, logs_of[:0]
                 owners, words = [], []
                 for i, token in enumerate(new, len(place)):
                     place[token] = i
@@ -294,23 +318,27 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     words += own
                     owners += [i] * len(own)
                 table = np.concatenate([table, np.zeros((len(new), many + 1))])
+                unseen = list(set(words) - known.keys())
+                if unseen:
+                    known |= zip(unseen, range(len(known), len(known) + len(unseen)), strict=True)
+                    logs_of = np.concatenate([logs_of, log_chances(lattice, chances, unseen)])
                 if words:
-                    different, back = np.unique(np.array(words, object), return_inverse=True)
-                    np.add.at(table, np.array(owners), np.concatenate([log_chances(lattice, model.chances, different.tolist()), np.ones((len(different), 1))], axis=1)[back])
+                    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                    np.add.at(table, np.array(owners), np.concatenate([logs_of[at], np.ones((len(at), 1))], axis=1))
                 for own in tokens:
                     total = table[np.fromiter(map(place.__getitem__, own), np.int64, len(own))].sum(axis=0)
                     if not total[-1] or not many:
                         found.append((UNDETERMINED, 0.0))
                         continue
-                    logs = total[:-1] + model.shares
+                    logs = total[:-1] + shares
                     best = int(np.argmax(logs))
-                    found.append((model.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
+                    found.append((languages[best], float(1 / np.exp(logs - logs[best]).sum())))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.fieldNames())
 
     return docs.mapInArrow(judge, schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[list[str | None]]:
+def _slices(batch: pa.RecordBatch, at: int, limit: int = 8 << 20) -> Iterator[list[str | None]]:
     """The texts of a batch, in lists of about `limit` characters."""
     held, size = [], 0
     for value in batch.column(at):
