@@ -60,7 +60,8 @@ def evidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("item")).withColumn("n", F.least(F.size(F.split("item", " ")) - 2, F.lit(8)))
     docs = table(spark, sf_dir, "documents").select("doc_id", norm("text").alias("doc"))
     long = items.where("n >= 1").withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("item", " "), F.lit(2), F.col("n")), " ")))
-    short = blocks.in_blocks(items.where("n < 1"), items.where("n < 1").count(), blocks.BLOCK, "item_id", "item")
+    n_short = items.where("n < 1").count()
+    short = blocks.in_blocks(items.where("n < 1"), n_short, blocks.BLOCK, "item_id", "item")
     widths = [r.n for r in long.select("n").distinct().collect()]  # eight values at most
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     hashed = lambda n: F.transform(starts(n), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")))
@@ -70,7 +71,9 @@ def evidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         # hashes meet without the texts, which are fetched for the documents that share one
         at = docs.select("doc_id", F.split("doc", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*map(hashed, widths))))).alias("h"))
         met = written(at.join(long.select("h", "item_id", "item"), "h").select("doc_id", "item_id", "item").distinct())
-        hits = hits.unionByName(docs.join(met, "doc_id").where(stands(F.col("item"))).select("item_id", "doc_id"))
+        texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(met, "doc_id")  # only theirs are collapsed again
+        long_hits = texts.withColumn("doc", norm("text")).where(stands(F.col("item"))).select("item_id", "doc_id")
+        hits = hits.unionByName(long_hits) if n_short else long_hits
     found = hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
