@@ -55,6 +55,9 @@ def public_pieces(path: str | None = None) -> list[str]:
 
 def stretches(token: str) -> list[str]:
     """The token's runs of letters, marked as starts of words and cut where they are too long."""
+    own = token if token.isalpha() else token[:-1]
+    if own.isalpha() and (own is token or token[-1] < "\x80") and len(low := own.lower()) < STRETCH:  # one run, as most tokens are
+        return [_START + low]
     return [(_START + run)[i : i + STRETCH] for run in _RUN.findall(token.lower()) for i in range(0, len(run) + 1, STRETCH)]
 
 
