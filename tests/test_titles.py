@@ -58,6 +58,29 @@ def test_titles_go_to_their_versions(spark):
     assert {r.title: (r.version_id, r.kind, r.language) for r in got} == {"a": (1, "canonical", "ml"), "b": (1, "canonical", "ml"), "c": (2, "dub", "ta"), "d": (3, "canonical", "hi"), "f": (1, "aka", None)}
 
 
+def test_sparse_channel_in_rounds(spark):
+    """Blocks of a few rows, so that most are met in the second round: the same as by hand, with ties by id, texts of one word, copies
+    and rows without words."""
+    import random
+    from collections import Counter
+
+    from corpusloom.operators import retrieval
+
+    draw = random.Random(5)
+    texts = [" ".join(f"w{min(int(draw.paretovariate(0.7)), 90)}" for _ in range(draw.choice((1, 3, 12, 60, 200)))) for _ in range(400)]
+    texts += [texts[7], texts[7], "", " ", "only", "w1"]
+    weights = [{w: min(1.0, 0.2 * n) for w, n in Counter(t.split()).items()} for t in texts]
+    want = {}
+    for q in range(0, len(texts), 9):
+        score = {i: round(sum(x * weights[i].get(w, 0) for w, x in weights[q].items()), 9) for i in range(len(texts)) if i != q}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:5]
+        want |= {(q, rank): (i, round(score[i], 6)) for rank, i in enumerate(best, 1)}
+    rows = retrieval.written(retrieval.term_weights(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text"))
+    for block, seeds in ((16, 20), (64, 64), (4096, 8192)):
+        got = retrieval.sparse_channel(rows.where("id % 9 = 0"), rows, 5, block, seeds)
+        assert {(r.query, r["rank"]): (r.item, round(r.score, 6)) for r in got.collect()} == want
+
+
 def test_three_channels(spark):
     """Rank fusion, cut, rerank, best per label and abstention by hand over the three channels' rows."""
     import hashlib
