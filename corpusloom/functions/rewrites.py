@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,26 +24,66 @@ LONGEST_WORD, WORD_GROWTH, NATIVE_BEFORE, NATIVE_AFTER, SHORTEST, LONGEST = 30,
 REASONS = ("locked_altered", "bold_lost", "unknown_lock", "new_bold", "list_changed", "decline_dropped", "words_glued", "script_flipped", "about_the_task", "length", "intent_dropped", "intent_altered")
 
 
+def _folds() -> dict[int, str]:
+    """A character for each that has a case, the same for all that `re` takes for equal when case doesn't matter: those that share
+    their upper case, with the dotted capital I as a plain one."""
+    first, out = {}, {}
+    for n in range(sys.maxunicode + 1):
+        c = "I" if n == 0x130 else chr(n)
+        if c.lower() != c or c.upper() != c:
+            out[n] = first.setdefault(c.lower().upper(), c.lower())
+    return out
+
+
+_FOLDS = _folds()
+#: What str.lower does not fold alike; a surrogate, which no text in a table has.
+_UNEVEN, _TAKEN = re.compile("[" + re.escape("".join(chr(n) for n, c in _FOLDS.items() if chr(n).lower() != c or chr(n) == "Σ")) + "]"), "\ud800"
+
+
+def _folded(text: str) -> str:
+    return text.translate(_FOLDS) if _UNEVEN.search(text) else text.lower()
+
+
+def _places(text: str, name: str) -> list[int]:
+    """Where a folded name stands in a folded text, from left to right and not over itself; a number not within a longer one."""
+    out, at, digits = [], text.find(name), name.isdecimal()
+    while at >= 0:
+        stop = at + len(name)
+        inside = digits and (text[at - 1 : at].isdecimal() or text[stop : stop + 1].isdecimal())
+        if not inside:
+            out.append(at)
+        at = text.find(name, at + 1 if inside else stop)
+    return out
+
+
+def locked(text: str, entities: Iterable[str | None]) -> tuple[str, dict[str, str]]:
+    """The text with its names locked, and the locks that are in it. What a name has taken is marked in a folded copy, of the same
+    length as the text, so each name costs one search; the text is put together once."""
+    left, taken, found = _folded(text), [], {}
+    for m in _LOCK.finditer(text):  # what is locked already is passed over
+        left = left[: m.start()] + _TAKEN * len(m[0]) + left[m.end() :]
+    for n, name in enumerate(sorted({e for e in entities if e}, key=lambda e: (-len(e), e)), 1):
+        plain = _folded(name)
+        if places := _places(left, plain):
+            found[f"[[T{n}]]"] = name
+            taken += [(at, at + len(plain), f"[[T{n}]]") for at in places]
+            kept = zip([0, *(at + len(plain) for at in places)], [*places, len(left)], strict=True)
+            left = (_TAKEN * len(plain)).join(left[start:stop] for start, stop in kept)
+    out, at = [], 0
+    for start, stop, lock in sorted(taken):
+        out += [text[at:start], lock]
+        at = stop
+    return "".join([*out, text[at:]]), found
+
+
 @F.arrow_udf(T.StructType().add("locked", T.StringType()).add("names", T.MapType(T.StringType(), T.StringType())))
 def lock(texts: pa.Array, entities: pa.Array) -> pa.Array:
     """Each name replaced by [[Tn]], in any case, the longest first; digits only where no digit stands beside them. names: the locks
     that are in the text. A null text gives nulls."""
     out = []
     for text, own in zip(texts.to_pylist(), entities.to_pylist(), strict=True):
-        if text is None:
-            out.append({"locked": None, "names": None})
-            continue
-        names = sorted({e for e in own or () if e}, key=lambda e: (-len(e), e))
-        found = {}
-        for n, name in enumerate(names, 1):
-            pattern = re.compile(rf"(?<!\d){name}(?!\d)" if name.isdecimal() else re.escape(name), re.IGNORECASE)
-            # what is locked already is passed over
-            parts = _LOCK.split(text)
-            changed = [part if i % 2 else pattern.subn(f"[[T{n}]]", part) for i, part in enumerate(parts)]
-            if any(i % 2 == 0 and c[1] for i, c in enumerate(changed)):
-                found[f"[[T{n}]]"] = name
-            text = "".join(f"[[T{c}]]" if i % 2 else c[0] for i, c in enumerate(changed))
-        out.append({"locked": text, "names": list(found.items())})
+        after, found = (None, None) if text is None else locked(text, own or ())
+        out.append({"locked": after, "names": None if found is None else list(found.items())})
     return pa.array(out, pa.struct([("locked", pa.string()), ("names", pa.map_(pa.string(), pa.string()))]))
 
 
@@ -154,6 +196,12 @@ def _undone(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else undo_bytes(t) for t in texts.to_pylist()], pa.string())
 
 
+def leaked(text: Column) -> Column:
+    """A text as the byte-level characters of its bytes: these read as Latin-1, and each translated."""
+    by = byte_characters()
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "".join(map(chr, by)), "".join(by.values()))
+
+
 def clean_answer(text: Column) -> Column:
     """Leaked tokens undone; without white space around, what stands up to the last end of a think block, and a pair of quotes
     around all of it."""

@@ -46,12 +46,8 @@ def rewrite_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unlocked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns locked and unlocked again, and leaked as byte-level tokens behind a think block and cleaned again."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("text"))
-    letters = F.array(*(F.lit(c) for _, c in sorted(rewrites.byte_characters().items())))
-    digits = F.hex(F.encode("text", "UTF-8"))
-    byte = lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-    leaked = F.when(F.length("text") > 0, F.array_join(F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda i: F.get(letters, byte(i))), "")).otherwise("")
     low = F.lower("text")
-    rows = rows.select("conv_id", "turn", rewrites.lock(low, F.split(low, " ")).alias("l"), leaked.alias("leaked"))
+    rows = rows.select("conv_id", "turn", rewrites.lock(low, F.split(low, " ")).alias("l"), rewrites.leaked(F.col("text")).alias("leaked"))
     thought = F.concat(F.lit('a thought</think> "'), "leaked", F.lit('"'))
     return rows.select("conv_id", "turn", rewrites.unlock(F.col("l.locked"), F.col("l.names")).alias("unlocked"), rewrites.clean_answer(thought).alias("cleaned"))
 

@@ -88,6 +88,25 @@ def test_excerpts_of_long_texts_take_one_pass(spark):
     assert time.time() - start < 20
 
 
+def test_lock_of_many_names_is_quick():
+    """A text of 4,000 different words, all of them names, as fast as a search for each; and what equals what when case doesn't matter."""
+    import time
+
+    words = [f"wörd{i}x" for i in range(4000)]
+    start = time.time()
+    text, found = rewrites.locked(" ".join(words).upper(), words)
+    assert time.time() - start < 5
+    assert len(found) == 4000 and text.split()[:2] == [k for w in words[:2] for k, name in found.items() if name == w]
+    assert rewrites.locked("ſtrasse İn 12 x12 ΣΑΣ [[T9]]", ["STRASSE", "in", "12", "ς", "T9"]) == ("[[T1]] [[T4]] [[T2]] x[[T2]] [[T5]]Α[[T5]] [[T9]]", {"[[T1]]": "STRASSE", "[[T2]]": "12", "[[T4]]": "in", "[[T5]]": "ς"})
+
+
+def test_leaked_characters(spark):
+    texts = ["a b\n\tc", "é ¡\xad\x00\x7f", "मलയാ 𝒳", "", None]
+    by = rewrites.byte_characters()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rewrites.leaked(F.col("t")).alias("l")).collect()
+    assert [r.l for r in sorted(rows)] == [t if t is None else "".join(by[b] for b in t.encode()) for t in texts]
+
+
 def test_excerpts(spark):
     story = ["The man hides the body of the boy in the garden.", "His family learns to tell the same story again and again.", "A Short Name, Of Many, Is Here And There And Everywhere Else."]
     about = "The film was directed by someone who has won a prize for it."
