@@ -157,6 +157,7 @@ def movie_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(F.struct(F.lit("ta").alias("iso_639_1"), F.struct(F.when(F.col("p_size") % 2 == 1, F.col("p_type")).alias("title")).alias("data"))).alias("translations")).alias("translations"),
         F.struct(F.transform(upto(F.col("p_size")), person(lambda i: i.alias("order"))).alias("cast"), crew.alias("crew")).alias("credits"),
     )
-    movie = table(spark, sf_dir, "part").select(payloads.parse_movie(F.to_json(raw)).alias("m"))
+    # a few megabytes of parts make gigabytes of JSON, so they are dealt over all tasks first
+    movie = table(spark, sf_dir, "part").repartition("p_partkey").select(payloads.parse_movie(F.to_json(raw)).alias("m"))
     count = lambda role: F.size(F.filter("m.credits", lambda c: c["role_kind"] == role))
     return movie.select("m.tmdb_id", "m.release_year", F.size("m.titles").alias("n_titles"), count("lead").alias("n_leads"), count("support").alias("n_support"), count("director").alias("n_directors"), F.array_join("m.titles.title", "/").alias("titles"))

@@ -28,7 +28,11 @@ def parse_movie(payload: Column) -> Column:
 
     titles (title, language, region, kind): the original one, other ones that aren't empty, translations. credits (person_id,
     name, role_kind, billing_order): the first CAST_LIMIT of the cast, leads up to the fifth place, then directors."""
-    m = F.from_json(payload, _MOVIE)
+    # the parsed movie is the one element of an array, whose function reads it by name: it is parsed once, however often it is read
+    return F.get(F.transform(F.array(F.from_json(payload, _MOVIE)), _movie), 0)
+
+
+def _movie(m: Column) -> Column:
     none = F.lit(None).cast("string")
     title = lambda t, language, region, kind: F.struct(t.alias("title"), language.alias("language"), region.alias("region"), F.lit(kind).alias("kind"))
     filled = lambda rows, of: F.filter(F.coalesce(rows, F.array().cast(rows_type[of])), lambda x: F.coalesce((x["title"] if of == "alt" else x["data"]["title"]) != "", F.lit(False)))

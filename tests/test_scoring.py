@@ -112,3 +112,12 @@ def test_upkeep_keeps_what_it_should(spark):
     found = spark.createDataFrame([(1, "y"), (2, "y"), (3, "y"), (3, "y")], "entity long, field string")
     assert [r.entity for r in upkeep.conflicts_to_open(found, recorded).collect()] == [3]
     assert sorted(r.entity for r in upkeep.conflicts_to_open(found, recorded, only_open=True).collect()) == [1, 3]
+
+
+def test_movies_are_parsed_once(spark):
+    """However many fields of a movie are read, its JSON is parsed once, and a missing one gives what it gave."""
+    text = '{"id": 7, "original_title": "A", "original_language": "ml", "release_date": "2013-12-19", "alternative_titles": {"titles": [{"title": "B", "iso_3166_1": "IN"}, {"title": ""}]}, "credits": {"cast": [{"id": 1, "name": "x", "order": 0}, {"id": 2, "name": "y", "order": 7}], "crew": [{"id": 3, "name": "z", "job": "Director"}]}}'
+    rows = spark.createDataFrame([(1, text), (2, None)], "i int, p string").select("i", payloads.parse_movie(F.col("p")).alias("m"))
+    read = rows.select("i", "m.tmdb_id", "m.release_year", F.transform("m.titles", lambda t: t["title"]).alias("titles"), F.transform("m.credits", lambda c: c["role_kind"]).alias("roles"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in sorted(read.collect())] == [(1, 7, 2013, ["A", "B"], ["lead", "support", "director"]), (2, None, None, [None], [])]
