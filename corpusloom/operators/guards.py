@@ -41,7 +41,7 @@ def call_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """(call_id, error) of calls (call_id, tool, arguments map<string, string>) against tools (tool, parameter, required): an unknown
     tool, arguments that aren't an object, a required parameter that is missing, one that the tool doesn't have."""
     known = tools.groupBy("tool").agg(F.collect_set("parameter").alias("has"), F.collect_set(F.when(F.col("required"), F.col("parameter"))).alias("needs"))
-    joined = calls.join(known.withColumn("found", F.lit(True)), "tool", "left")
+    joined = calls.join(F.broadcast(known.withColumn("found", F.lit(True))), "tool", "left")
     names = F.map_keys("arguments")
     say = lambda text, rows: F.transform(rows, lambda x: F.concat(F.lit(text), x))
     errors = F.when(F.col("found").isNull(), F.array(F.concat(F.lit("unknown tool: "), F.coalesce("tool", F.lit("")))))
@@ -68,19 +68,19 @@ def argument_issues(calls: DataFrame, schema: DataFrame) -> DataFrame:
     """(call_id, issue, parameter) of calls (call_id, tool, arguments JSON) against a frozen schema (tool, parameter, kind, required,
     choices array<string>): unknown_tool, not_an_object, missing, unexpected, wrong_kind, not_a_choice. An integer is a number, too;
     null counts as a value of no kind; a null kind or null choices allow all. Each parameter meets its own rule by a join, so a tool
-    may have any number of them."""
-    tools = schema.select("tool").distinct()
+    may have any number of them. The schema is sent to the calls, which few tools share and so would meet in few tasks."""
+    tools = F.broadcast(schema.select("tool").distinct())
     read = written(calls.select("call_id", "tool", typed_arguments(F.col("arguments")).alias("a")))
     unknown = read.join(tools, "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("issue"), F.lit(None).cast("string").alias("parameter"))
     known = read.join(tools, "tool", "left_semi")
     bad = known.where("a IS NULL").select("call_id", F.lit("not_an_object").alias("issue"), F.lit(None).cast("string").alias("parameter"))
     given = known.where("a IS NOT NULL").select("call_id", "tool", F.explode("a").alias("parameter", "v")).select("call_id", "tool", "parameter", "v.kind", "v.text")
-    rules = schema.select("tool", "parameter", F.col("kind").alias("_kind"), "required", "choices", F.lit(True).alias("_rule"))
+    rules = F.broadcast(schema.select("tool", "parameter", F.col("kind").alias("_kind"), "required", "choices", F.lit(True).alias("_rule")))
     held = given.join(rules, ["tool", "parameter"], "left")
     fits = F.col("_kind").isNull() | (F.col("kind") == F.col("_kind")) | ((F.col("kind") == "integer") & (F.col("_kind") == "number"))
     issue = F.when(F.col("_rule").isNull(), "unexpected").when(~fits, "wrong_kind").when(F.col("choices").isNotNull() & ~F.coalesce(F.array_contains("choices", F.col("text")), F.lit(False)), "not_a_choice")
     wrong = held.select("call_id", issue.alias("issue"), "parameter").where("issue IS NOT NULL")
-    needed = known.where("a IS NOT NULL").select("call_id", "tool", F.map_keys("a").alias("_has")).join(rules.where("required").select("tool", "parameter"), "tool")
+    needed = known.where("a IS NOT NULL").select("call_id", "tool", F.map_keys("a").alias("_has")).join(F.broadcast(rules.where("required").select("tool", "parameter")), "tool")
     missing = needed.where(~F.array_contains("_has", F.col("parameter"))).select("call_id", F.lit("missing").alias("issue"), "parameter")
     return unknown.unionByName(bad).unionByName(wrong).unionByName(missing)
 

@@ -152,3 +152,17 @@ def test_same_shape(spark):
 def test_nested_beyond_the_parser():
     text = "[" * 200_000 + "]" * 200_000
     assert jsontree.rewritten(text, lambda k, v: v) == (None, 0)
+
+
+def test_calls_are_not_dealt_by_tool(spark):
+    """However many calls name one tool, none moves to meet its schema."""
+    from corpusloom.operators import guards
+    from pyspark.sql import functions as F
+
+    schema = spark.createDataFrame([("t", "a", "string", True, None), ("t", "b", "integer", False, None)], "tool string, parameter string, kind string, required boolean, choices array<string>")
+    calls = spark.range(100).select(F.col("id").alias("call_id"), F.when(F.col("id") >= 0, "t").alias("tool"), F.when(F.col("id") < 99, '{"a": "x"}').otherwise('{"b": "y", "c": 1}').alias("arguments"))
+    issues = guards.argument_issues(calls, schema)
+    assert sorted((r.call_id, r.issue, r.parameter) for r in issues.collect()) == [(99, "missing", "a"), (99, "unexpected", "c"), (99, "wrong_kind", "b")]
+    errors = guards.call_errors(calls.withColumn("arguments", F.create_map(F.lit("a"), F.lit("x"))), schema)
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (issues, errors)):
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
