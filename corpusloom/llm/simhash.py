@@ -4,12 +4,14 @@ Fingerprints are computed in Arrow batches. Their bits are put in groups, correl
 gives each group its own threshold so that the estimated work is least: with thresholds t_i and sum(t_i + 1) = k + 1, two
 fingerprints within k bits agree in some group i but for t_i bits at most. Every distinct fingerprint goes under its keys
 (a group's bits without any t_i of them); under a key, candidates are verified bit by bit, and only enough links to hold
-a component together come out, never all pairs. Near copies by Jaccard similarity are found in the same way, by wider limits,
+a component together come out, never all pairs. Keys are sent in passes of a bounded number each, so that disk doesn't grow
+with their number. Near copies by Jaccard similarity are found in the same way, by wider limits,
 and then decided on by the shingles of those documents that have a candidate.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, materialize, text_of
+from corpusloom.llm.common import brief_shuffles, free_name, materialize, text_of
 from corpusloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -40,10 +42,15 @@ ROUNDS = 3
 SMALL_SET = 25
 #: Fingerprints under one key that a task takes at once; a key with more, as estimated from every 64th, is divided.
 MAX_UNDER_KEY = 200_000
+#: Keys of each fingerprint that are sent at once; a plan for many rows has more, and takes so many passes. What a pass shuffles
+#: is deleted before the next one.
+KEYS_AT_ONCE = 16
 #: Sets of a group of candidates that a task compares at once: larger groups are dealt over pairs of blocks of half as many.
 MAX_GROUP = 1_000
 #: Bytes of rows that a task holds before it works on the groups that are complete.
 _HELD = 64 << 20
+#: Pairs of rows under a key that are compared at once, about, and with how many others a row is.
+_PAIRS, _COLUMNS = 32_768, 4096
 _KEY_COST, _CHECK_COST = 1e-6, 2e-9
 
 
@@ -156,36 +163,54 @@ def allocate(sample: np.ndarray, distance: int, rows: float) -> list[tuple[list[
     return best[1]
 
 
-def _keys(fp: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterator[np.ndarray]:
-    for g, (group, t) in enumerate(plan):
-        for c, out in enumerate(itertools.combinations(group, t)):
-            mask = np.uint64(sum(1 << b for b in group if b not in out))
-            yield _more_bits(fp & mask, 1 + g * 4096 + c)
+def _masks(plan: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
+    """For each key of a fingerprint, a number of its own and the bits that it is made of."""
+    return [(1 + g * 4096 + c, sum(1 << b for b in group if b not in out)) for g, (group, t) in enumerate(plan) for c, out in enumerate(itertools.combinations(group, t))]
 
 
 def _clusters(fp: np.ndarray, more: np.ndarray, size: np.ndarray, distance: int, more_distance: int) -> Iterator[np.ndarray]:
-    """Rows under one key that links hold together, two or more: each row found leaves those still to be found, so dense
-    groups cost little more than one look at each row."""
-    rest = np.arange(len(fp))
+    """Rows under one key that links hold together, two or more. Most rows are near no other one: some at a time are compared
+    with all that are left, and those without a neighbour go. From the others links are followed: each row found leaves those
+    still to be found, so dense groups cost little more than one look at each row."""
+
+    def agree(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(more[y] ^ more[x]).sum(1)
+        ratio = np.minimum(size[y], size[x]) / np.maximum(size[y], size[x])
+        return ~((apart > more_distance) | (ratio < 1 / _SIZE_STEP))
+
+    rest, left = np.arange(len(fp)), fp
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
-        own = list(queue)
-        while queue and len(rest):
-            x = queue.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[x]) <= distance
-            if more.shape[1] and near.any():
-                at = np.flatnonzero(near)
-                other = rest[at]
-                apart = np.bitwise_count(more[other] ^ more[x]).sum(1)
-                ratio = np.minimum(size[other], size[x]) / np.maximum(size[other], size[x])
-                near[at[(apart > more_distance) | (ratio < 1 / _SIZE_STEP)]] = False
+        block = left[: max(8, min(64, _PAIRS // len(left))), None]
+        linked = np.zeros(len(block), bool)
+        for i in range(0, len(left), _COLUMNS):
+            near = np.bitwise_count(block ^ left[i : i + _COLUMNS]) <= distance
+            if not i:
+                np.fill_diagonal(near, False)
             if near.any():
-                found = rest[near]
-                own += found.tolist()
-                queue += found.tolist()
-                rest = rest[~near]
-        if len(own) > 1:
-            yield np.array(own)
+                x, y = np.divmod(np.flatnonzero(near), near.shape[1])
+                linked[x[agree(rest[x], rest[i + y])] if more.shape[1] else x] = True
+        seeds = rest[: len(block)][linked]
+        rest, left = rest[len(block) :], left[len(block) :]
+        if len(seeds):
+            rest, left = np.concatenate([seeds, rest]), np.concatenate([fp[seeds], left])
+        while len(seeds):
+            queue = [int(seeds[0])]
+            own = list(queue)
+            rest, left = rest[1:], left[1:]
+            while queue and len(rest):
+                x = queue.pop()
+                near = np.bitwise_count(left ^ fp[x]) <= distance
+                if more.shape[1] and near.any():
+                    at = np.flatnonzero(near)
+                    near[at] = agree(x, rest[at])
+                if near.any():
+                    found = rest[near]
+                    own += found.tolist()
+                    queue += found.tolist()
+                    rest, left = rest[~near], left[~near]
+            seeds = seeds[~np.isin(seeds, own)]
+            if len(own) > 1:
+                yield np.array(own)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
@@ -215,8 +240,8 @@ def _similar(sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
             yield np.array(own)
 
 
-def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table, int, int], Iterator[tuple]], flush: int = 100_000) -> DataFrame:
-    """What `work` makes of each group of rows with one `key`: the table and the group's first and last place in it."""
+def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table], Callable[[int, int], Iterator[tuple]]], flush: int = 100_000) -> DataFrame:
+    """What `work` makes of each group of rows with one `key`: it gets a table, and then each group's first and last place in it."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +253,8 @@ def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table, int, int], I
             table = pa.Table.from_batches(held).combine_chunks()
             key = table["key"].to_numpy()
             bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)] if last else []]).astype(int)
-            out = [x for i, j in itertools.pairwise(bounds) if j - i > 1 for x in work(table, i, j)]
+            of_group = work(table)
+            out = [x for i, j in itertools.pairwise(bounds.tolist()) if j - i > 1 for x in of_group(i, j)]
             held = [] if last else table.slice(bounds[-1]).to_batches()
             n = size = 0
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
@@ -246,37 +272,42 @@ def _by_key(rows: DataFrame, schema: str, work: Callable[[pa.Table, int, int], I
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(go, schema)
 
 
-def _under_keys(prints: DataFrame, plan: list[tuple[list[int], int]], by_size: bool) -> DataFrame:
-    """(key, by_least, node, fp, more, size): every row of `prints` under each of its keys, and, small sets, under its least
-    hashes (by_least 1)."""
+def _under_keys(prints: DataFrame, masks: list[tuple[int, int]], by_size: bool, first: int = 0) -> DataFrame:
+    """(key, at, node, fp, more, size): every row of `prints` under its keys by `masks`, which are number `first` and so on, in `at`;
+    with the first of all, small sets also under their least hashes (at -1)."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "by_least", "node", "fp", "more", "size"]
+        names = ["key", "at", "node", "fp", "more", "size"]
         for batch in batches:
             fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             step = np.floor(np.log(np.maximum(1, batch.column(3).to_numpy(zero_copy_only=False))) / math.log(_SIZE_STEP)).astype(np.uint64)
             # with sizes compared, a row also goes under its keys with the next size step, where rows of that step are
             steps = [step, step + np.uint64(1)] if by_size else [np.zeros_like(step)]
             rows = [batch.column(i) for i in range(4)]
-            for key in _keys(fp, plan):
+            for at, (number, mask) in enumerate(masks, first):
+                key = _more_bits(fp & np.uint64(mask), number)
                 for s in steps:
-                    yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ s, 99).view(np.int64)), pa.array(np.zeros(len(fp), np.int32)), *rows], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ s, 99).view(np.int64)), pa.array(np.full(len(fp), at, np.int32)), *rows], names=names)
+            if first:
+                continue
             least = batch.column(4)
             at = pa.array(np.repeat(np.arange(len(fp)), pc.list_value_length(least).fill_null(0).to_numpy(zero_copy_only=False)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pc.list_flatten(least), pa.array(np.ones(len(at), np.int32)), *(c.take(at) for c in rows)], names=names)
+                yield pa.RecordBatch.from_arrays([pc.list_flatten(least), pa.array(np.full(len(at), -1, np.int32)), *(c.take(at) for c in rows)], names=names)
 
-    return prints.select("node", "fp", "more", "size", "least").mapInArrow(spread, "key long, by_least int, node long, fp long, more array<long>, size int")
+    return prints.select("node", "fp", "more", "size", "least").mapInArrow(spread, "key long, at int, node long, fp long, more array<long>, size int")
 
 
-def _divided(prints: DataFrame, keyed: DataFrame, plan: list[tuple[list[int], int]], distance: int, by_size: bool, most: int) -> DataFrame:
-    """`keyed`, with keys of more than `most` rows replaced by `distance` + 1 keys each: the 64 bits in so many parts, of which
-    two fingerprints within `distance` share one. Which keys those are only decides how the work is dealt, so an estimate
-    from a sample of the fingerprints will do; what is found is the same."""
+def _hot_keys(prints: DataFrame, masks: list[tuple[int, int]], by_size: bool, most: int) -> DataFrame:
+    """(key, at, count) of keys with more than `most` rows, as estimated from every 64th row, with its count there."""
     every = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)) == 0
-    hot = materialize(_under_keys(prints.where(every), plan, by_size).where("by_least = 0").groupBy("key").count().where(F.col("count") > most / 64).select("key", F.lit(True).alias("hot")))
-    if hot.isEmpty():
-        return keyed
+    return materialize(_under_keys(prints.where(every), masks, by_size).where("at >= 0").groupBy("key", "at").count().where(F.col("count") > most / 64))
+
+
+def _divided(keyed: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
+    """`keyed`, with keys in `hot` replaced by `distance` + 1 keys each: the 64 bits in so many parts, of which two fingerprints
+    within `distance` share one. Which keys those are only decides how the work is dealt, so an estimate from a sample of the
+    fingerprints will do; what is found is the same."""
     masks = [sum(1 << b for b in range(64 * i // (distance + 1), 64 * (i + 1) // (distance + 1))) for i in range(distance + 1)]
 
     def divide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,35 +317,66 @@ def _divided(prints: DataFrame, keyed: DataFrame, plan: list[tuple[list[int], in
             for i, mask in enumerate(masks):
                 yield pa.RecordBatch.from_arrays([pa.array(_more_bits(key ^ _more_bits(fp & np.uint64(mask), 1 + i), 98).view(np.int64)), *batch.columns[1:]], names=batch.schema.names)
 
-    marked = keyed.join(hot, "key", "left")
+    marked = keyed.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
     return marked.where("hot IS NULL").drop("hot").unionByName(marked.where("hot").drop("hot").mapInArrow(divide, keyed.schema))
 
 
+def _passes(shares: list[float], most: float) -> Iterator[tuple[int, int]]:
+    """First and last place of stretches of `shares` that come to `most` at most, or have one place."""
+    first, held = 0, 0.0
+    for i, share in enumerate(shares):
+        if i > first and held + share > most:
+            yield first, i
+            first, held = i, 0.0
+        held += share
+    yield first, len(shares)
+
+
 def link(prints: DataFrame, plan: list[tuple[list[int], int]], distance: int, more_distance: int = 0, groups: bool = False, most: int = MAX_UNDER_KEY) -> DataFrame:
     """Links (a, b) between rows (node, fp, more, size, least), distinct fingerprints, at most `distance` bits apart in fp and, where
     there are further words, `more_distance` in those, with sizes of a ratio of at least 0.8. Not all links: as many as keep the
     components. With `groups`, rows (key, node) in their place: groups of nodes that such links, or a common least hash, hold
-    together, each group once however many keys it was found under."""
-
-    def verify(table: pa.Table, i: int, j: int) -> Iterator[tuple]:
-        part = table.slice(i, j - i)
-        node, fp, size = (part[c].to_numpy() for c in ("node", "fp", "size"))
-        if part["by_least"][0].as_py():
-            found: Iterable[np.ndarray] = [np.arange(j - i)]
-        else:
-            more = part["more"].combine_chunks()
-            flat = more.values.to_numpy(zero_copy_only=False).view(np.uint64)[more.offsets[0].as_py() : more.offsets[-1].as_py()].reshape(j - i, -1)
-            found = _clusters(fp.view(np.uint64), flat, size, distance, more_distance)
-        for own in found:
-            if groups:
-                members = np.unique(node[own])
-                key = int(np.array([xxhash.xxh64_intdigest(members.tobytes())], np.uint64).view(np.int64)[0])
-                yield from ((key, m) for m in members.tolist())
-            else:
-                yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
-
-    keyed = _divided(prints, _under_keys(prints, plan, bool(more_distance)), plan, distance, bool(more_distance), most)
-    return _by_key(keyed, "key long, node long" if groups else "a long, b long", verify).distinct()
+    together, each group once however many keys it was found under. Each pass over the keys is written before the next one begins."""
+
+    def verify(table: pa.Table) -> Callable[[int, int], Iterator[tuple]]:
+        at, node, fp, size = (table[c].to_numpy() for c in ("at", "node", "fp", "size"))
+        fp = fp.view(np.uint64)
+        more = table["more"].combine_chunks()
+        flat = more.values.to_numpy(zero_copy_only=False).view(np.uint64)[more.offsets[0].as_py() : more.offsets[-1].as_py()].reshape(len(fp), -1)
+
+        def of_group(i: int, j: int) -> Iterator[tuple]:
+            for own in [np.arange(j - i)] if at[i] < 0 else _clusters(fp[i:j], flat[i:j], size[i:j], distance, more_distance):
+                if groups:
+                    members = np.unique(node[i + own])
+                    key = int(np.array([xxhash.xxh64_intdigest(members.tobytes())], np.uint64).view(np.int64)[0])
+                    yield from ((key, m) for m in members.tolist())
+                else:
+                    yield from ((int(node[i + own[0]]), int(y)) for y in node[i + own[1:]])
+
+        return of_group
+
+    masks, by_size = _masks(plan), bool(more_distance)
+    hot = _hot_keys(prints, masks, by_size, most)
+    shares = [1.0] * len(masks)
+    in_hot = {r["at"]: r["n"] for r in hot.groupBy("at").agg(F.sum("count").alias("n")).collect()}
+    if in_hot:  # a divided row is sent `distance` more times
+        rows = max(1, prints.count()) * (1 + by_size)
+        shares = [1 + distance * min(1.0, 64 * in_hot.get(i, 0) / rows) for i in range(len(masks))]
+    tables = []
+    for i, j in _passes(shares, max(KEYS_AT_ONCE, distance + 1)):
+        keyed = _under_keys(prints, masks[i:j], by_size, i)
+        tables.append(materialize(_by_key(_divided(keyed, hot, distance) if in_hot else keyed, "key long, node long" if groups else "a long, b long", verify).distinct()))
+    return functools.reduce(DataFrame.unionByName, tables).distinct()
+
+
+def _whole(members: DataFrame, most: int = MAX_GROUP) -> DataFrame:
+    """`members` (key, node), a table, with all groups that hang together put into one where those have at most `most` nodes: a
+    node is then sent once, not with each of its groups. Any two nodes of a group still meet."""
+    first = members.groupBy("key").agg(F.min("node").alias("b"))
+    of_node = materialize(connected_components(members.join(first, "key").select(F.col("node").alias("a"), "b")))
+    small = materialize(of_node.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("component"))
+    apart = members.join(of_node.join(small, "component", "left_anti").select("node"), "node", "left_semi").select("key", "node")
+    return of_node.join(small, "component", "left_semi").select(F.col("component").alias("key"), "node").unionByName(apart)
 
 
 def _in_blocks(members: DataFrame, most: int) -> DataFrame:
@@ -332,11 +394,14 @@ def similar_links(members: DataFrame, sets: DataFrame, similarity: float, most:
     """Links (a, b) that keep the components of exact Jaccard similarities of at least `similarity` within each group of
     `members` (key, node), a table. `sets`: (node, hashes). What a task holds at once is bounded by `most` sets."""
 
-    def verify(table: pa.Table, i: int, j: int) -> Iterator[tuple]:
-        part = table.slice(i, j - i)
-        node = part["node"].to_numpy()
-        for own in _similar([np.frombuffer(x.as_buffer(), np.uint64) for x in part["hashes"].combine_chunks()], similarity):
-            yield from ((int(node[own[0]]), int(y)) for y in node[own[1:]])
+    def verify(table: pa.Table) -> Callable[[int, int], Iterator[tuple]]:
+        node, hashes = table["node"].to_numpy(), table["hashes"].combine_chunks()
+
+        def of_group(i: int, j: int) -> Iterator[tuple]:
+            for own in _similar([np.frombuffer(x.as_buffer(), np.uint64) for x in hashes[i:j]], similarity):
+                yield from ((int(node[i + own[0]]), int(y)) for y in node[i + own[1:]])
+
+        return of_group
 
     return _by_key(_in_blocks(members, most).join(sets, "node").select("key", "node", "hashes"), "a long, b long", verify, flush=4_000).distinct()
 
@@ -351,6 +416,11 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int
     are capped, and no pairs are sent: a group under a key costs its task its distinct fingerprints, and where shingles decide,
     those of the members that have a candidate.
     """
+    with brief_shuffles(docs.sparkSession):
+        return _grouped(docs, shingle_words, distance, more_words, more_distance, similarity, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, shingle_words: int, distance: int, more_words: int, more_distance: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     prepare = lambda rows, sets: fingerprints(rows, shingle_words, more_words, id_col, text_col, as_set=bool(similarity), similarity=similarity, with_hashes=sets).withColumn("node", F.col("fp") if not more_words else F.xxhash64("fp", "more", "size"))
     prints = materialize(prepare(docs, False).drop("hashes"))
     known = prints.where(F.col(id_col).isNotNull()) if similarity else prints
@@ -370,6 +440,7 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, distance: int
         links = links.distinct()
     links = materialize(links)
     if similarity:
+        links = materialize(_whole(links))
         # the shingles of one document per node that has a candidate, and of no others
         asked = materialize(nodes.join(links.select("node").distinct(), "node").select("node", F.col("first_id").alias("_asked")))
         name = free_name(docs, "_asked")

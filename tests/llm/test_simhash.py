@@ -1,8 +1,13 @@
+import contextlib
 import random
+import threading
+from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import xxhash
 from corpusloom.llm import simhash
+from corpusloom.llm.common import brief_shuffles, materialize
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.queries import QUERIES
@@ -161,3 +166,79 @@ def test_large_groups_meet_in_blocks(spark):
     assert parts[0] == parts[1] and len(parts[0]) > 150
     dealt = simhash._in_blocks(members, 20).groupBy("key").count().collect()
     assert max(r["count"] for r in dealt) <= 45 and len(dealt) > 100
+
+
+def shuffle_files(spark):
+    found = {}
+    for top in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs():
+        for path in Path(str(top)).rglob("shuffle_*.data"):
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                found[str(path)] = path.stat().st_size
+    return found
+
+
+def test_disk_of_a_plan_with_many_keys(spark):
+    """A plan for many rows sends each fingerprint under 64 keys; what lies on disk at once is that of a pass over 16."""
+    rng, n = np.random.default_rng(6), 6000
+    words = rng.integers(-(2**63), 2**63, (n, 4))
+    words[::10] = words[1::10] ^ (1 << rng.integers(0, 62, (n // 10, 4)))
+    nodes = materialize(spark.createDataFrame([(i, int(w[0]), w[1:].tolist(), 100, []) for i, w in enumerate(words)], "node long, fp long, more array<long>, size int, least array<long>").repartition(4))
+    plan = [(list(range(8 * g, 8 * g + 8)), 1) for g in range(8)]
+    before, most, over = shuffle_files(spark).keys(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], sum(v for k, v in shuffle_files(spark).items() if k not in before))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        with brief_shuffles(spark):
+            rows = materialize(simhash.link(nodes, plan, 15, 50, groups=True)).collect()
+    finally:
+        over.set()
+        watcher.join()
+    pairs = {(min(a, b), max(a, b)) for a, b in ((i, i + 1) for i in range(0, n, 10))}
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r.key].add(r.node)
+    assert {tuple(sorted(g)) for g in groups.values()} == pairs and len(rows) == 2 * len(pairs)
+    print("bytes a row:", most[0] / n)
+    assert 0 < most[0] / n < 3500  # 32 rows of about 60 bytes under 16 keys and 2 sizes; 128 rows under all
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_passes():
+    assert list(simhash._passes([1.0] * 64, 16)) == [(0, 16), (16, 32), (32, 48), (48, 64)]
+    assert list(simhash._passes([1.0] * 5, 16)) == [(0, 5)]
+    assert list(simhash._passes([16.0, 1.0, 15.0, 1.0], 16)) == [(0, 1), (1, 3), (3, 4)]
+
+
+def test_groups_that_hang_together_are_sent_once(spark):
+    """Groups of a small component become one; those of a large one stay, whose pairs are not all worth comparing."""
+    small, large = [(1, (1, 2)), (2, (2, 3)), (3, (1, 2, 3)), (4, (8, 9))], [(10, (20, 21, 22)), (11, (22, 23)), (12, (23, 24))]
+    members = spark.createDataFrame([(k, n) for k, nodes in small + large for n in nodes], "key long, node long")
+    groups = defaultdict(set)
+    for r in simhash._whole(members, 4).collect():
+        assert r.node not in groups[r.key]
+        groups[r.key].add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [8, 9], [20, 21, 22], [22, 23], [23, 24]]
+
+
+def test_one_pass_finds_what_all_keys_do(spark, monkeypatch):
+    """Clusters with many near ones by the first word only: the same links for any number of keys at once, keys divided or not."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, (5, 4))
+    words = base[rng.integers(0, 5, 400)]
+    for _ in range(9):
+        words[:, 0] ^= 1 << rng.integers(0, 62, 400)
+        words[:, 1:] ^= np.where(rng.random((400, 3)) < 0.6, 1 << rng.integers(0, 62, (400, 3)), 0)
+    words[::3, 1:] = rng.integers(0, 2**62, (len(words[::3]), 3))
+    nodes = spark.createDataFrame([(i, int(w[0]), w[1:].tolist(), 100 + i % 40, []) for i, w in enumerate(words)], "node long, fp long, more array<long>, size int, least array<long>")
+    near = {(i, j) for i in range(400) for j in range(i) if int(np.bitwise_count(words[i, 0] ^ words[j, 0])) <= 15 and int(np.bitwise_count(words[i, 1:] ^ words[j, 1:]).sum()) <= 50 and (100 + min(i % 40, j % 40)) / (100 + max(i % 40, j % 40)) >= 0.8}
+    want = {r.node: r.component for r in connected_components(spark.createDataFrame(sorted(near), "a long, b long")).collect()}
+    plan = [(list(range(4 * g, 4 * g + 4)), 0) for g in range(16)]
+    for at_once, most in ((1, simhash.MAX_UNDER_KEY), (100, simhash.MAX_UNDER_KEY), (5, 1)):
+        monkeypatch.setattr(simhash, "KEYS_AT_ONCE", at_once)
+        got = {r.node: r.component for r in connected_components(simhash.link(nodes, plan, 15, 50, most=most)).collect()}
+        assert got == want and len(want) > 100
