@@ -81,6 +81,56 @@ def test_sparse_channel_in_rounds(spark):
         assert {(r.query, r["rank"]): (r.item, round(r.score, 6)) for r in got.collect()} == want
 
 
+def test_sparse_shares_and_sketches(spark, monkeypatch):
+    """Queries sent in several shares, with ids that share a text, ids of two texts and negative weights: as by hand. Pairs whose sketch
+    can't reach the least score aren't scored, though the product of lengths does."""
+    from collections import Counter
+
+    import numpy as np
+    from corpusloom.operators import retrieval
+
+    texts = [(i, f"a b{i % 7} c{i % 5} d{i % 3} " + "a " * (i % 4) + " ".join(f"e{i * j % 31}" for j in range(i % 23))) for i in range(300)] + [(4, "a c1 e3"), (8, "\tc2  C2\n"), (9, None)]
+    joined = {}
+    for i, t in texts:
+        joined.setdefault(i, Counter()).update((t or "").lower().split())
+    weights = {i: {w: min(1.0, round(0.2 * n, 6)) for w, n in c.items()} for i, c in joined.items()}
+    rows = retrieval.written(retrieval.term_weights(spark.createDataFrame(texts, "id int, text string"), "id", "text"))
+    assert {r.id: sorted(r.weights) for r in rows.collect()} == {i: sorted(w.values()) for i, w in weights.items()}
+    signed = spark.createDataFrame([(i, [hash(w) for w in ws], [x if len(w) < 3 else -x for w, x in ws.items()]) for i, ws in weights.items()], "id long, words array<long>, weights array<double>")
+    monkeypatch.setattr(retrieval, "ASKED_WORDS", 200)
+    for table, sign in ((rows, 1), (signed, -1)):
+        value = {i: {w: x if len(w) < 3 else sign * x for w, x in ws.items()} for i, ws in weights.items()}
+        want = {}
+        for q in range(0, 300, 9):
+            score = {i: round(sum(x * value[i].get(w, 0) for w, x in value[q].items()), 6) for i in value if i != q}
+            want |= {(q, rank): (i, score[i]) for rank, i in enumerate(sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:4], 1)}
+        got = retrieval.sparse_channel(table.where("id % 9 = 0"), table, 4, 32, 20, 16)
+        assert {(r.query, r["rank"]): (r.item, round(r.score, 6)) for r in got.collect()} == want
+
+    scored = []
+    monkeypatch.setattr(retrieval, "_inner", lambda q, r, known, f=retrieval._inner: scored.append((len(q[1]), len(r[1]))) or f(q, r, known))
+    ids, own = np.arange(40), np.arange(400)
+    some = retrieval._Asked(ids, own, np.full(40, 10), np.ones(400)).after(ids, np.full(40, 9.0))
+    # each row has five words of each of two queries, but for the last, which has all of query 7
+    other = np.concatenate([np.r_[i * 10 : i * 10 + 5, i * 10 + 10 : i * 10 + 15] for i in range(39)] + [own[70:80]])
+    known, at = np.unique(other, return_inverse=True)
+    got = [x for b in some.best(np.arange(100, 140), np.full(40, 10), known, at, np.ones(400), 5) for x in b.to_pylist()]
+    assert got == [{"query": 7, "item": 139, "score": 10.0}] and sum(a * b for a, b in scored) < 400
+
+
+def test_words_stay_with_their_text(spark):
+    """Only words of texts that share an id are dealt out; blocks of rows aren't joined with those of queries."""
+    from corpusloom.operators import retrieval
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "a")], "id long, text string")
+    weights = retrieval.term_weights(rows, "id", "text")
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: sorted(r.weights) for r in weights.collect()} == {1: [0.2, 0.4], 2: [0.2, 0.2], 3: [0.2]}
+    weights = retrieval.written(weights)
+    plan = retrieval.sparse_channel(weights, weights, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+
+
 def test_three_channels(spark):
     """Rank fusion, cut, rerank, best per label and abstention by hand over the three channels' rows."""
     import hashlib
